@@ -15,7 +15,6 @@ from leadgrid.config import PitConfig
 from leadgrid.functions.temporal import (
     epoch_hour,
     format_iso,
-    from_epoch_seconds,
     shift,
     trunc_half_hour,
 )
@@ -23,6 +22,7 @@ from leadgrid.operators.reshape import time_axis, variable_names
 
 VARIABLE = "temperature_2m"
 HOURLY = PitConfig(series=("series_id",))
+NATIONAL = PitConfig()
 DAILY = PitConfig(series=("series_id",), publication_lag_hours=24)
 
 # Days of the month that stand in for holidays, by feed key.
@@ -63,6 +63,13 @@ def order_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _demand(orders, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"))
 
 
+def national_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series without a key."""
+    events = table(spark, sf_dir, "events")
+    half_hour = trunc_half_hour(F.col("ts"))
+    return _demand(events, F.lit("all"), half_hour, F.col("value") * 100).drop("series_id")
+
+
 def demand_envelopes(demand: DataFrame) -> DataFrame:
     """Silver demand back to the records it would have been landed as."""
     record = F.struct(
@@ -104,18 +111,6 @@ def weather_wide(demand: DataFrame, cfg: PitConfig, step_hours: int = 1) -> Data
     return time_axis(weather_responses(demand, cfg, step_hours), names, list(cfg.series))
 
 
-def forecast_envelopes(long: DataFrame) -> DataFrame:
-    record = F.struct(
-        "series_id",
-        format_iso(F.col("target_ts")).alias("target_ts"),
-        "variable",
-        "value",
-        *(["N"] if "N" in long.columns else []),
-        format_iso(F.col("issue_ts")).alias("issue_ts"),
-    )
-    return long.select(F.array(record).alias("data"), F.col("issue_ts").cast("date").alias("issue_date"))
-
-
 def holiday_feed(demand: DataFrame) -> DataFrame:
     """Holiday documents over the demand's calendar, one document a year."""
     dates = demand.select(F.col("start_time").cast("date").alias("d")).distinct()
@@ -135,9 +130,3 @@ def holiday_feed(demand: DataFrame) -> DataFrame:
     return dates.groupBy(F.year("d").alias("_year")).agg(*divisions).select(
         *[F.col(f"`{c}`") for c in schemas.HOLIDAY_FEED.names]
     )
-
-
-__all__ = [
-    "DAILY", "HOURLY", "VARIABLE", "demand_envelopes", "event_demand", "forecast_envelopes",
-    "from_epoch_seconds", "holiday_feed", "order_demand", "table", "weather_responses", "weather_wide",
-]

@@ -4,7 +4,7 @@ returns no row; ``count_violations`` turns several into one table."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,11 +155,15 @@ def mart_checks(mart: DataFrame, cfg: PitConfig) -> DataFrame:
     return row_counts(mart, rules).unionByName(count_violations(grain))
 
 
+def _lacks(key: str, record: Column) -> Column:
+    return record[key].isNull()
+
+
 def payload_checks(envelopes: DataFrame, required: Iterable[str], name: str) -> DataFrame:
     """Tripwire on landed envelopes: missing or empty ``data``, missing keys."""
+    required = list(required)
     missing = [
-        F.coalesce(F.size(F.filter("data", lambda r, c=c: r[c].isNull())), F.lit(0)).alias(c)
-        for c in required
+        F.coalesce(F.size(F.filter("data", partial(_lacks, c))), F.lit(0)).alias(c) for c in required
     ]
     size = F.size("data")
     rows = envelopes.select(F.col("data").isNull().alias("_none"), size.alias("_size"), *missing)

@@ -62,17 +62,26 @@ class Fold(NamedTuple):
 
 def folds(spans: DataFrame, max_lead: int) -> DataFrame:
     """One fold per whole month of the span: train on all before the month,
-    less a purge of ``max_lead`` days, then test on the month."""
+    less a purge of ``max_lead`` days, then test on the month.
+
+    Months are stepped one from the other, so windows tile whatever day of the
+    month the span starts on.
+    """
     start, end = F.col("start_date"), F.col("end_date")
-    months = F.floor(F.months_between(end, start)).cast("int")
-    index = F.when(months >= 1, F.sequence(F.lit(0), months - 1))
-    rows = spans.select("start_date", "end_date", F.explode(index).alias("_i")).select(
-        "end_date",
-        F.add_months("start_date", F.col("_i")).alias("test_start"),
-        F.add_months("start_date", F.col("_i") + 1).alias("test_end"),
+    months = F.floor(F.months_between(end, start)).cast("int") + 1
+    bounds = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(months, F.lit(1))),
+        F.array(start),
+        lambda dates, _: F.concat(dates, F.array(F.add_months(F.element_at(dates, -1), 1))),
     )
-    return rows.where(F.col("test_end") <= end).select(
-        F.date_sub("test_start", max_lead).alias("train_end"), "test_start", "test_end"
+    steps = F.transform(
+        bounds,
+        lambda d: F.struct(d.alias("test_start"), F.add_months(d, 1).alias("test_end")),
+    )
+    return (
+        spans.select("end_date", F.inline(steps))
+        .where(F.col("test_end") <= F.col("end_date"))
+        .select(F.date_sub("test_start", max_lead).alias("train_end"), "test_start", "test_end")
     )
 
 

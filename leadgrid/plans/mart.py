@@ -65,15 +65,29 @@ def build_mart(
     return keep_trainable(rows).select(*mart_columns(cfg))
 
 
+def joined_features(
+    forecast: DataFrame, hourly: DataFrame, holidays: DataFrame, cfg: PitConfig
+) -> DataFrame:
+    """The mart's columns for every forecast row, one left join per value."""
+    rows = attach_label(forecast, hourly, cfg)
+    rows = attach_cutoff_lag(add_cutoff(rows, cfg), hourly, cfg)
+    rows = attach_calendar(attach_anchors(rows, hourly, cfg), holidays, cfg)
+    return add_degree_hinges(rows, cfg).select(*mart_columns(cfg))
+
+
 def build_mart_by_joins(
     forecast: DataFrame, hourly: DataFrame, holidays: DataFrame, cfg: PitConfig
 ) -> DataFrame:
-    """The same mart as a chain of left joins, one per looked-up value.
+    """The same mart as a chain of left joins.
 
     Takes any lead; every join reshuffles the forecast rows unless the hourly
     table is small enough to broadcast.
     """
-    rows = attach_label(forecast, hourly, cfg)
-    rows = attach_cutoff_lag(add_cutoff(rows, cfg), hourly, cfg)
-    rows = attach_calendar(attach_anchors(rows, hourly, cfg), holidays, cfg)
-    return keep_trainable(add_degree_hinges(rows, cfg)).select(*mart_columns(cfg))
+    return keep_trainable(joined_features(forecast, hourly, holidays, cfg))
+
+
+def serving_rows(
+    forecast: DataFrame, hourly: DataFrame, holidays: DataFrame, cfg: PitConfig
+) -> DataFrame:
+    """Feature rows to predict: targets need no label yet, only a known lag."""
+    return joined_features(forecast, hourly, holidays, cfg).dropna(subset=["demand_lag_mw"])
