@@ -89,13 +89,18 @@ def demand_envelopes(demand: DataFrame) -> DataFrame:
 def weather_responses(demand: DataFrame, cfg: PitConfig, step_hours: int) -> DataFrame:
     """One response per series: axis bounds and a value array per variable.
 
-    Arrays are as long as the series' calendar, not as its row count.
+    Arrays are as long as the series' calendar, not as its row count. The few
+    spans are spread over all shuffle partitions before they grow into arrays;
+    by their own size they would be packed into one.
     """
     hour = epoch_hour(F.col("start_time"))
     step = 3600 * step_hours
     spans = demand.groupBy(*cfg.series).agg(
         (F.min(hour) * 3600).alias("start"), (F.max(hour) * 3600 + step).alias("end")
     )
+    if cfg.series:
+        partitions = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spans = spans.repartition(partitions)
     axis = F.sequence("start", F.col("end") - step, F.lit(step).cast("bigint"))
 
     def reading(lead: int) -> Column:

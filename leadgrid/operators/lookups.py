@@ -1,4 +1,9 @@
-"""Exact time lookups on an hourly grid without one join per offset."""
+"""Past values on an hourly grid, without one join per offset.
+
+Time is cut into blocks, and the tail of a block is copied into the next one
+as history. Work is then spread by (series, block): a long or lone series is
+still many bounded groups, and one shuffle serves any number of offsets.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,33 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadgrid.functions.temporal import epoch_hour
+from leadgrid.functions.temporal import EPOCH, epoch_hour, ntz, shift
 
-READ = "_read"
+BLOCK = "_block"
 MIN_BLOCK_HOURS = 24 * 56
 
 
+def block_hours(reach: int) -> int:
+    """Length of a block that looks back ``reach`` hours: history is at most a
+    quarter of it."""
+    return max(MIN_BLOCK_HOURS, 4 * reach)
+
+
+def block_of(hour: Column, length: int) -> Column:
+    """The first hour of the block that holds ``hour``."""
+    return hour - F.pmod(hour, F.lit(length))
+
+
+def _with_history(hourly: DataFrame, time_col: str, reach: int) -> DataFrame:
+    """Each row in its own block, and in the next if that looks back to it."""
+    length = block_hours(reach)
+    hour = F.col("_hour")
+    blocks = F.sequence(
+        block_of(hour, length), block_of(hour + reach, length), F.lit(length).cast("bigint")
+    )
+    return hourly.withColumn("_hour", epoch_hour(F.col(time_col))).withColumn(BLOCK, F.explode(blocks))
+
+
 def over_hours(
     hourly: DataFrame,
     series: tuple[str, ...],
@@ -25,30 +51,16 @@ def over_hours(
     over the rows of the same series between ``oldest`` and ``newest`` hours
     before this one. Frames are ranges of time, not row counts, so an hour
     missing from the series is simply absent and never shifts its neighbours.
-
-    Time is cut into blocks and the tail of a block is copied into the next
-    one as history, so windows are spread by (series, block): a long or lone
-    series is still many bounded tasks, behind a single shuffle.
     """
     reach = max(oldest for _, oldest, _ in columns.values())
-    block = max(MIN_BLOCK_HOURS, 4 * reach)
-    hour = F.col("_hour")
-    last = hour + reach
-    spread = (
-        hourly.withColumn("_hour", epoch_hour(F.col(time_col)))
-        .withColumn("_own", hour - F.pmod(hour, F.lit(block)))
-        .withColumn(
-            "_block",
-            F.explode(F.sequence("_own", last - F.pmod(last, F.lit(block)), F.lit(block).cast("bigint"))),
-        )
-    )
-    w = Window.partitionBy(*series, "_block").orderBy("_hour")
+    w = Window.partitionBy(*series, BLOCK).orderBy("_hour")
     framed = {
         name: agg.over(w.rangeBetween(-oldest, -newest))
         for name, (agg, oldest, newest) in columns.items()
     }
-    own = F.col("_own") == F.col("_block")
-    return spread.withColumns(framed).where(own).drop("_hour", "_own", "_block")
+    own = F.col(BLOCK) == block_of(F.col("_hour"), block_hours(reach))
+    rows = _with_history(hourly, time_col, reach).withColumns(framed)
+    return rows.where(own).drop("_hour", BLOCK)
 
 
 def values_before(
@@ -57,11 +69,50 @@ def values_before(
     value: str,
     hours: Mapping[str, int],
     time_col: str = "target_hour",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add, per name, ``struct(ts, value)`` read exactly that many hours
-    earlier; ``ts`` is the hour it was read from, as provenance. Null when the
-    series has no such hour."""
-    # one shared input column, or the shuffle would carry a copy per name
-    read = hourly.withColumn(READ, F.struct(F.col(time_col).alias("ts"), F.col(value).alias("value")))
-    frames = {name: (F.max(READ), n, n) for name, n in hours.items()}
-    return over_hours(read, series, frames, time_col).drop(READ)
+    """Per hour of a series its value, its ``carry`` columns and, per name, ``struct(ts, value)`` read
+    exactly that many hours earlier.
+
+    ``ts`` is the hour the value was read from, as provenance; the struct is
+    null when the series has no such hour. Every value is sent forward to the
+    hours that look back to it and gathered there by an aggregate inside the
+    block, so the rows are shuffled once, before they multiply.
+    """
+    reach = max(hours.values())
+    length = block_hours(reach)
+    offsets = sorted({0, *hours.values()})
+    keys = [*series, BLOCK]
+
+    spread = (
+        _with_history(hourly.select(*series, time_col, value, *carry), time_col, reach)
+        .select(*keys, "_hour", F.col(value).alias("_value"), *carry)
+        .repartition(*keys)
+    )
+    sent = spread.select(
+        *keys, "_hour", "_value", *carry, F.explode(F.array(*[F.lit(n) for n in offsets])).alias("_ahead")
+    ).withColumn("_at", F.col("_hour") + F.col("_ahead"))
+    gathered = (
+        sent.where(block_of(F.col("_at"), length) == F.col(BLOCK))
+        .groupBy(*keys, "_at")
+        .agg(
+            *[F.max(F.when(F.col("_ahead") == n, F.col("_hour"))).alias(f"_from_{n}") for n in offsets],
+            *[F.max(F.when(F.col("_ahead") == n, F.col("_value"))).alias(f"_value_{n}") for n in offsets],
+            *[F.max(F.when(F.col("_ahead") == 0, F.col(c))).alias(c) for c in carry],
+        )
+    )
+
+    def read(n: int) -> Column:
+        source = F.col(f"_from_{n}")
+        return F.when(
+            source.isNotNull(),
+            F.struct(shift(ntz(EPOCH), hours=source.cast("int")).alias("ts"), F.col(f"_value_{n}").alias("value")),
+        )
+
+    return gathered.where(F.col("_from_0").isNotNull()).select(
+        *series,
+        shift(ntz(EPOCH), hours=F.col("_at").cast("int")).alias(time_col),
+        F.col("_value_0").alias(value),
+        *carry,
+        *[read(n).alias(name) for name, n in hours.items()],
+    )

@@ -38,15 +38,22 @@ def lead_of(variable: Column) -> Column:
     return F.coalesce(digits.try_cast("int"), F.lit(0))
 
 
-def _melt(wide: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
-    ids = [*keys, "date"]
-    return wide.unpivot(ids, variables, "variable", "value").withColumnRenamed("date", "target_ts")
-
-
 def melt_previous_runs(wide: DataFrame, cfg: PitConfig, variables: list[str]) -> DataFrame:
     """Melt the issue axis: every column is the same variable at another lead,
-    so each row's issue time follows from its column name."""
-    long = _melt(wide, list(cfg.series), variables).withColumn("N", lead_of(F.col("variable")))
+    so each row's issue time follows from its column name.
+
+    The lead is taken from the name as a literal and folded when the query is
+    planned, so no row pays for the pattern.
+    """
+    records = [
+        F.struct(
+            F.lit(name).alias("variable"),
+            F.col(name).cast("double").alias("value"),
+            lead_of(F.lit(name)).alias("N"),
+        )
+        for name in variables
+    ]
+    long = wide.select(*cfg.series, F.col("date").alias("target_ts"), F.inline(F.array(*records)))
     return long.withColumn("issue_ts", shift(trunc_day(F.col("target_ts")), days=-F.col("N")))
 
 
@@ -55,5 +62,7 @@ def melt_live_run(
 ) -> DataFrame:
     """Melt the variable axis of one run: all rows carry the run's date."""
     issued = run_date if isinstance(run_date, Column) else F.lit(run_date)
-    long = _melt(wide, list(cfg.series), variables)
-    return long.withColumn("issue_ts", issued.cast("date").cast("timestamp_ntz"))
+    long = wide.unpivot([*cfg.series, "date"], variables, "variable", "value")
+    return long.withColumnRenamed("date", "target_ts").withColumn(
+        "issue_ts", issued.cast("date").cast("timestamp_ntz")
+    )

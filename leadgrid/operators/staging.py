@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadgrid.config import PitConfig
 from leadgrid.functions.temporal import parse_iso, trunc_hour
+from leadgrid.operators.reshape import LEAD_SUFFIX
 
 # Feed key -> division label.
 DIVISIONS = {"england-and-wales": "eng&wales", "scotland": "scotland"}
@@ -47,7 +48,7 @@ def pivot_forecast(long: DataFrame, cfg: PitConfig, variables=("temperature_2m",
     lead = F.datediff(F.col("target_ts").cast("date"), F.col("issue_ts").cast("date"))
     if "N" in long.columns:
         lead = F.coalesce(F.col("N"), lead)
-    base = F.regexp_replace("variable", r"_previous_day\d+$", "")
+    base = F.regexp_replace("variable", LEAD_SUFFIX, "")
     return (
         long.withColumns({"lead_days": lead, "base": base})
         .groupBy(*cfg.series, "target_ts", "issue_ts", "lead_days")

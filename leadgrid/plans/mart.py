@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadgrid.config import PitConfig
-from leadgrid.functions.measures import gated
-from leadgrid.functions.temporal import shift
 from leadgrid.operators.features import (
     add_cutoff,
     add_degree_hinges,
@@ -24,21 +22,24 @@ from leadgrid.operators.lookups import values_before
 def hour_features(hourly: DataFrame, holidays: DataFrame, cfg: PitConfig) -> DataFrame:
     """Everything that depends on the target hour alone, one row per hour.
 
-    All past values come from one windowed pass over the hourly series;
-    ``lags`` holds the lagged demand of every lead, in lead order. Calendar
-    features are joined here, before the fan-out to leads.
+    All past values come from one pass over the hourly series; ``_lags`` holds
+    the lagged demand of every lead in lead order and ``_lag_hours`` the hours
+    they were read from. Calendar features are joined first, while the rows are
+    narrow and not yet fanned out to leads.
     """
-    value = "avg_initial_demand_outturn"
+    value, calendar = "avg_initial_demand_outturn", ("hour", "day", "is_holiday")
     reads = {f"_lead_{n}": cfg.lag_hours(n) for n in cfg.leads}
     reads |= {f"_{name}": hours for name, hours in cfg.anchor_columns.items()}
-    wide = values_before(hourly, cfg.series, value, reads).select(
+    dated = attach_calendar(hourly.withColumnRenamed("target_hour", "target_ts"), holidays, cfg)
+    return values_before(dated, cfg.series, value, reads, "target_ts", calendar).select(
         *cfg.series,
-        F.col("target_hour").alias("target_ts"),
+        "target_ts",
+        *calendar,
         F.col(value).alias("demand_mw"),
-        F.array(*[f"_lead_{n}" for n in cfg.leads]).alias("_lags"),
-        *[f"_{name}" for name in cfg.anchor_columns],
+        F.array(*[f"_lead_{n}.value" for n in cfg.leads]).alias("_lags"),
+        F.array(*[f"_lead_{n}.ts" for n in cfg.leads]).alias("_lag_hours"),
+        *[F.col(f"_{name}.value").alias(f"_{name}") for name in cfg.anchor_columns],
     )
-    return attach_calendar(wide, holidays, cfg)
 
 
 def build_mart(
@@ -46,19 +47,24 @@ def build_mart(
 ) -> DataFrame:
     """One row per (target, lead) that has a label and a lagged demand.
 
-    The hourly side is looked up before it meets the leads, so the forecast
-    side is shuffled once. An inner join is enough: a target without an hourly
-    row has no label and would be dropped. A forecast without series columns
-    serves every series. Leads outside ``0..max_lead`` have no lagged demand.
+    The hourly side is looked up before it meets the leads, so the forecast,
+    the longest input, is shuffled once. An inner join is enough: a target
+    without an hourly row has no label and would be dropped. A forecast without
+    series columns serves every series. Leads outside ``0..max_lead`` have no
+    lagged demand.
+
+    An anchor ``h`` hours back was published by the cutoff exactly when ``h``
+    is at least the lead's own distance.
     """
     shared = [c for c in cfg.series if c in forecast.columns]
     rows = forecast.join(hour_features(hourly, holidays, cfg), [*shared, "target_ts"])
-    rows = add_cutoff(rows, cfg).withColumn("_lag", F.get("_lags", F.col("lead_days")))
-    rows = rows.withColumns({"demand_lag_mw": F.col("_lag.value"), "demand_lag_ts": F.col("_lag.ts")})
+    lead = F.col("lead_days")
+    rows = add_cutoff(rows, cfg).withColumns(
+        {"demand_lag_mw": F.get("_lags", lead), "demand_lag_ts": F.get("_lag_hours", lead)}
+    )
+    distance = lead * 24 + cfg.publication_lag_hours
     anchors = {
-        name: gated(
-            F.col(f"_{name}.value"), shift(F.col("target_ts"), hours=-hours), F.col("cutoff")
-        )
+        name: F.when(distance <= hours, F.col(f"_{name}"))
         for name, hours in cfg.anchor_columns.items()
     }
     rows = add_degree_hinges(rows.withColumns(anchors), cfg)
