@@ -166,8 +166,31 @@ _BREAKS = """SELECT series_id, target_hour FROM (
   SELECT series_id, target_hour, lag(target_hour) OVER (PARTITION BY series_id ORDER BY target_hour) AS prev
   FROM hourly) WHERE target_hour <> prev + INTERVAL 1 HOUR"""
 
+_DEMAND_CHECKS = [
+    ("demand.start_time not null", _rows("demand", "start_time IS NULL")),
+    ("demand.initial_demand_outturn not null", _rows("demand", "outturn IS NULL")),
+    ("demand.start_time unique", _copies("demand", "series_id, start_time")),
+    ("demand positive", _rows("demand", "outturn <= 0")),
+]
+_HOURLY_CHECKS = [
+    ("demand_hourly.target_hour not null", _rows("hourly", "target_hour IS NULL")),
+    ("demand_hourly.target_hour unique", _copies("hourly", "series_id, target_hour")),
+    ("demand_hourly.target_hour sequential", f"SELECT count(*) FROM ({_BREAKS})"),
+]
+_FORECAST_CHECKS = [
+    ("weather_forecast temperature range", _rows("fc", "temperature_2m < -30 OR temperature_2m > 50")),
+    ("weather_forecast grain unique", _copies("fc", "series_id, target_ts, issue_ts")),
+]
+_HOLIDAY_CHECKS = [("bank_holidays grain unique", _copies("holidays", "holiday_date, division"))]
 _NOT_NULL_MART = ["target_ts", "lead_days", "demand_mw", "demand_lag_mw", "is_holiday", "temperature_2m"]
 
+_MART_CHECKS = [
+    *[(f"demand_features.{c} not null", _rows("mart", f"{c} IS NULL")) for c in _NOT_NULL_MART],
+    ("demand_features leakage", _rows("mart", _LEAKY)),
+    ("demand_features hinge sign", _rows("mart", _WRONG_SIGN)),
+    ("demand_features grain unique", _copies("mart", "series_id, target_ts, lead_days")),
+]
+
 ORACLES: dict[str, str] = {
     "demand_halfhourly": _inputs("event") + f"SELECT {_DEMAND_COLUMNS} FROM staged",
     "demand_hourly": _inputs("event")
@@ -255,6 +278,7 @@ FROM per_series GROUP BY 1 HAVING min(n) = 192""",
     "mart_calendar": _inputs("order") + f"SELECT {_FORECAST_COLUMNS}, hour, day, is_holiday FROM joined",
     "mart_hinges": _inputs("event")
     + f"SELECT {_FORECAST_COLUMNS}, heating_degrees, cooling_degrees FROM joined",
+    "bronze_to_gold": _inputs("event") + "SELECT * FROM mart",
     "mart_full": _inputs("event") + "SELECT * FROM mart",
     "mart_full_by_joins": _inputs("event") + "SELECT * FROM mart",
     "mart_national": _inputs("national") + "SELECT * EXCLUDE (series_id) FROM mart",
@@ -283,37 +307,18 @@ GROUP BY 1, 2, 3""",
   WINDOW w AS (PARTITION BY series_id ORDER BY target_hour RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW))
 SELECT {", ".join("c." + x for x in _FORECAST_COLUMNS.split(", "))}, c.cutoff, mean_24h, min_24h, max_24h
 FROM cut c LEFT JOIN rolled r ON r.series_id = c.series_id AND r.target_hour = date_trunc('hour', c.cutoff)""",
-    "check_demand": _inputs("event")
-    + _checks(
-        ("demand.start_time not null", _rows("demand", "start_time IS NULL")),
-        ("demand.initial_demand_outturn not null", _rows("demand", "outturn IS NULL")),
-        ("demand.start_time unique", _copies("demand", "series_id, start_time")),
-        ("demand positive", _rows("demand", "outturn <= 0")),
-    ),
-    "check_hourly": _inputs("event")
-    + _checks(
-        ("demand_hourly.target_hour not null", _rows("hourly", "target_hour IS NULL")),
-        ("demand_hourly.target_hour unique", _copies("hourly", "series_id, target_hour")),
-        ("demand_hourly.target_hour sequential", f"SELECT count(*) FROM ({_BREAKS})"),
-    ),
+    "check_demand": _inputs("event") + _checks(*_DEMAND_CHECKS),
+    "check_hourly": _inputs("event") + _checks(*_HOURLY_CHECKS),
+    "check_range": _inputs("event")
+    + "SELECT series_id, target_hour, mw AS avg_initial_demand_outturn FROM hourly WHERE mw < 1000 OR mw > 20000",
+    "check_duplicates": "SELECT user_id, date_trunc('hour', ts) AS target_hour, count(*) AS n FROM events "
+    "GROUP BY 1, 2 HAVING count(*) > 1",
     "check_sequence": _inputs("user") + _BREAKS,
-    "check_forecast": _inputs("event")
-    + _checks(
-        (
-            "weather_forecast temperature range",
-            _rows("fc", "temperature_2m < -30 OR temperature_2m > 50"),
-        ),
-        ("weather_forecast grain unique", _copies("fc", "series_id, target_ts, issue_ts")),
-    ),
-    "check_holidays": _inputs("order")
-    + _checks(("bank_holidays grain unique", _copies("holidays", "holiday_date, division"))),
-    "check_mart": _inputs("event")
-    + _checks(
-        *[(f"demand_features.{c} not null", _rows("mart", f"{c} IS NULL")) for c in _NOT_NULL_MART],
-        ("demand_features leakage", _rows("mart", _LEAKY)),
-        ("demand_features hinge sign", _rows("mart", _WRONG_SIGN)),
-        ("demand_features grain unique", _copies("mart", "series_id, target_ts, lead_days")),
-    ),
+    "check_forecast": _inputs("event") + _checks(*_FORECAST_CHECKS),
+    "check_holidays": _inputs("order") + _checks(*_HOLIDAY_CHECKS),
+    "check_mart": _inputs("event") + _checks(*_MART_CHECKS),
+    "check_all_layers": _inputs("event")
+    + _checks(*_DEMAND_CHECKS, *_HOURLY_CHECKS, *_FORECAST_CHECKS, *_HOLIDAY_CHECKS, *_MART_CHECKS),
     "check_leakage_mutated": _inputs("event")
     + f""", leaky AS (
   SELECT * REPLACE (demand_mw AS demand_lag_mw, target_ts AS demand_lag_ts) FROM mart)

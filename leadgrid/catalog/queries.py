@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from leadgrid.catalog import standins
 from leadgrid.catalog.standins import DAILY, HOURLY, NATIONAL, VARIABLE, table
 from leadgrid.config import PitConfig
-from leadgrid.functions.temporal import iso_weekday, shift, to_local
+from leadgrid.functions.temporal import iso_weekday, shift, to_local, trunc_hour
 from leadgrid.operators import checks, features, reshape, scoring, staging, tiling
-from leadgrid.plans import tracking, walk_forward
+from leadgrid.plans import medallion, tracking, walk_forward
 from leadgrid.plans.mart import build_mart, build_mart_by_joins, serving_rows
 from leadgrid.sources import bronze
 from leadgrid.sources.storage import as_table, as_view, scratch_path, stored
@@ -202,6 +202,29 @@ def layers_roundtrip(spark, sf_dir):
     return as_table(staging.hourly_demand(demand, HOURLY), "demand_hourly")
 
 
+def _land_all(spark, sf_dir) -> medallion.BronzePaths:
+    inputs = by_event(spark, sf_dir)
+    paths = medallion.BronzePaths(*(scratch_path(spark, f"bronze-{n}") for n in ("d", "f", "h")))
+    bronze.land(standins.demand_envelopes(inputs.demand), paths.demand, bronze.DEMAND_KEY)
+    bronze.land(bronze.forecast_envelopes(inputs.long), paths.forecast, bronze.FORECAST_KEY)
+    bronze.land_reference(standins.holiday_feed(inputs.demand), paths.holidays)
+    return paths
+
+
+@query
+def bronze_to_gold(spark, sf_dir):
+    """The mart table built from landed files through every layer."""
+    medallion.build_silver(spark, _land_all(spark, sf_dir), HOURLY)
+    return medallion.build_gold(spark, HOURLY)
+
+
+@query
+def check_all_layers(spark, sf_dir):
+    medallion.build_silver(spark, _land_all(spark, sf_dir), HOURLY)
+    medallion.build_gold(spark, HOURLY)
+    return medallion.run_checks(spark, HOURLY)
+
+
 @query
 def check_payload(spark, sf_dir):
     """Tripwires on payloads with faults: outturns above 10,000 are withheld,
@@ -394,6 +417,21 @@ def check_hourly(spark, sf_dir):
     return checks.hourly_checks(by_event(spark, sf_dir).hourly, HOURLY)
 
 
+@query
+def check_range(spark, sf_dir):
+    """Hourly demand outside a range, row by row."""
+    hourly = by_event(spark, sf_dir).hourly
+    return checks.out_of_range(hourly, "avg_initial_demand_outturn", 1000, 20_000)
+
+
+@query
+def check_duplicates(spark, sf_dir):
+    """Hours in which a user acted more than once: the grain check on raw rows."""
+    events = table(spark, sf_dir, "events")
+    hours = events.select("user_id", trunc_hour(F.col("ts")).alias("target_hour"))
+    return checks.duplicates(hours, ["user_id", "target_hour"])
+
+
 @query
 def check_sequence(spark, sf_dir):
     """The hours that break the sequence, per user."""

@@ -26,11 +26,6 @@ MART_NOT_NULL = (
 )
 
 
-def null_counts(df: DataFrame, columns: Iterable[str], prefix: str) -> DataFrame:
-    """(check, n_violations) for every column from a single pass."""
-    return row_counts(df, {f"{prefix}.{c} not null": F.col(c).isNull() for c in columns})
-
-
 def row_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """(check, n_violations) for several row predicates from a single pass."""
     counted = df.agg(*[F.count_if(rule).alias(f"_{i}") for i, rule in enumerate(rules.values())])
@@ -46,6 +41,33 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
+def grain_and_row_counts(
+    df: DataFrame, grain: str, keys: list[str], rules: Mapping[str, Column], ignore_null: str | None = None
+) -> DataFrame:
+    """(check, n_violations) for a unique key and row predicates together.
+
+    Rows are counted per key and the counts summed up, so an expensive input
+    is evaluated once for all of them. ``ignore_null`` names a key column
+    whose nulls are not held to be copies of each other.
+    """
+    per_key = df.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        *[F.count_if(rule).alias(f"_{i}") for i, rule in enumerate(rules.values())],
+    )
+    copied = F.col("_n") > 1
+    if ignore_null:
+        copied = copied & F.col(ignore_null).isNotNull()
+    totals = per_key.agg(
+        F.count_if(copied).alias("_grain"),
+        *[F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(rules))],
+    )
+    named = {grain: "_grain"} | {name: f"_{i}" for i, name in enumerate(rules)}
+    pairs = [
+        F.struct(F.lit(name).alias("check"), F.col(c).alias("n_violations")) for name, c in named.items()
+    ]
+    return totals.select(F.inline(F.array(*pairs)))
+
+
 def sequence_breaks(hourly: DataFrame, cfg: PitConfig) -> DataFrame:
     """Hours that do not follow their series' previous hour.
 
@@ -58,8 +80,12 @@ def sequence_breaks(hourly: DataFrame, cfg: PitConfig) -> DataFrame:
     return starts.join(first, key, "left_anti")
 
 
-def out_of_range(df: DataFrame, column: str, lo, hi) -> DataFrame:
-    return df.where((F.col(column) < lo) | (F.col(column) > hi))
+def range_rule(column: str, lo: float, hi: float) -> Column:
+    return (F.col(column) < lo) | (F.col(column) > hi)
+
+
+def out_of_range(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
+    return df.where(range_rule(column, lo, hi))
 
 
 def not_positive(demand: DataFrame) -> DataFrame:
@@ -108,51 +134,44 @@ def count_violations(checks: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _null_rules(prefix: str, columns: Iterable[str]) -> dict[str, Column]:
+    return {f"{prefix}.{c} not null": F.col(c).isNull() for c in columns}
+
+
 def demand_checks(demand: DataFrame, cfg: PitConfig) -> DataFrame:
-    nulls = null_counts(demand, STAGED_DEMAND_NOT_NULL, "demand")
-    rest = {
-        "demand.start_time unique": duplicates(demand, [*cfg.series, "start_time"]),
-        "demand positive": not_positive(demand),
-    }
-    return nulls.unionByName(count_violations(rest))
+    rules = _null_rules("demand", STAGED_DEMAND_NOT_NULL)
+    rules["demand positive"] = F.col("initial_demand_outturn") <= 0
+    keys = [*cfg.series, "start_time"]
+    return grain_and_row_counts(demand, "demand.start_time unique", keys, rules, "start_time")
 
 
 def hourly_checks(hourly: DataFrame, cfg: PitConfig) -> DataFrame:
-    nulls = null_counts(hourly, ["target_hour"], "demand_hourly")
-    rest = {
-        "demand_hourly.target_hour unique": duplicates(hourly, [*cfg.series, "target_hour"]),
-        "demand_hourly.target_hour sequential": sequence_breaks(hourly, cfg),
-    }
-    return nulls.unionByName(count_violations(rest))
+    rules = _null_rules("demand_hourly", ["target_hour"])
+    keys = [*cfg.series, "target_hour"]
+    rows = grain_and_row_counts(hourly, "demand_hourly.target_hour unique", keys, rules, "target_hour")
+    breaks = {"demand_hourly.target_hour sequential": sequence_breaks(hourly, cfg)}
+    return rows.unionByName(count_violations(breaks))
 
 
 def forecast_checks(forecast: DataFrame, cfg: PitConfig) -> DataFrame:
     keys = [*(c for c in cfg.series if c in forecast.columns), "target_ts", "issue_ts"]
-    return count_violations(
-        {
-            "weather_forecast temperature range": out_of_range(
-                forecast, "temperature_2m", *TEMPERATURE_RANGE
-            ),
-            "weather_forecast grain unique": duplicates(forecast, keys),
-        }
-    )
+    rules = {"weather_forecast temperature range": range_rule("temperature_2m", *TEMPERATURE_RANGE)}
+    return grain_and_row_counts(forecast, "weather_forecast grain unique", keys, rules)
 
 
 def holiday_checks(holidays: DataFrame) -> DataFrame:
-    return count_violations(
-        {"bank_holidays grain unique": duplicates(holidays, ["holiday_date", "division"])}
-    )
+    keys = ["holiday_date", "division"]
+    return grain_and_row_counts(holidays, "bank_holidays grain unique", keys, {})
 
 
 def mart_checks(mart: DataFrame, cfg: PitConfig) -> DataFrame:
-    """All mart checks: the row rules in one pass, the grain in another."""
-    rules = {f"demand_features.{c} not null": F.col(c).isNull() for c in MART_NOT_NULL}
+    """All mart checks from one evaluation of the mart."""
+    rules = _null_rules("demand_features", MART_NOT_NULL)
     rules |= {
         "demand_features leakage": leakage_rule(cfg),
         "demand_features hinge sign": hinge_rule(cfg),
     }
-    grain = {"demand_features grain unique": duplicates(mart, cfg.grain)}
-    return row_counts(mart, rules).unionByName(count_violations(grain))
+    return grain_and_row_counts(mart, "demand_features grain unique", cfg.grain, rules)
 
 
 def _lacks(key: str, record: Column) -> Column:

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgrid.config import LAYERS, table_name
+from leadgrid.config import table_name
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -45,7 +45,10 @@ def as_view(df: DataFrame, table: str) -> DataFrame:
 
 
 def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=()) -> DataFrame:
-    """Silver and Gold tables: a full rebuild, stored as Parquet."""
+    """Silver and Gold tables: a full rebuild, stored as Parquet.
+
+    A schema that does not exist yet is created in the shared folder.
+    """
     spark, name = df.sparkSession, table_name(table, layer)
     schema = name.split(".")[0]
     if not spark.catalog.databaseExists(schema):
@@ -55,4 +58,6 @@ def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=(
     return spark.table(name)
 
 
-__all__ = ["LAYERS", "as_table", "as_view", "scratch_path", "shared_dir", "stored"]
+def load(spark: SparkSession, table: str, layer: str | None = None) -> DataFrame:
+    """A stored table by its layer's name."""
+    return spark.table(table_name(table, layer))
