@@ -15,8 +15,9 @@ from leadgrid.config import PitConfig
 from leadgrid.functions.temporal import (
     epoch_hour,
     format_iso,
+    from_half_hour_slot,
+    half_hour_slot,
     shift,
-    trunc_half_hour,
 )
 from leadgrid.operators.reshape import time_axis, variable_names
 
@@ -33,13 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _demand(rows: DataFrame, series: Column, start: Column, amount: Column) -> DataFrame:
-    sums = rows.groupBy(series.alias("series_id"), start.alias("start_time")).agg(
+def _demand(rows: DataFrame, series: Column, ts: Column, amount: Column) -> DataFrame:
+    sums = rows.groupBy(series.alias("series_id"), half_hour_slot(ts).alias("_slot")).agg(
         F.sum(F.round(amount).cast("bigint")).alias("initial_demand_outturn"),
         F.count("*").alias("_n"),
     )
     at = F.col("start_time")
-    return sums.select(
+    return sums.withColumn("start_time", from_half_hour_slot(F.col("_slot"))).select(
         "series_id",
         shift(at, hours=1).alias("publish_time"),
         "start_time",
@@ -54,8 +55,7 @@ def _demand(rows: DataFrame, series: Column, start: Column, amount: Column) -> D
 
 def event_demand(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
     events = table(spark, sf_dir, "events")
-    half_hour = trunc_half_hour(F.col("ts"))
-    return _demand(events, F.col(key).cast("string"), half_hour, F.col("value") * 100)
+    return _demand(events, F.col(key).cast("string"), F.col("ts"), F.col("value") * 100)
 
 
 def order_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,7 @@ def order_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def national_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as one series without a key."""
     events = table(spark, sf_dir, "events")
-    half_hour = trunc_half_hour(F.col("ts"))
-    return _demand(events, F.lit("all"), half_hour, F.col("value") * 100).drop("series_id")
+    return _demand(events, F.lit("all"), F.col("ts"), F.col("value") * 100).drop("series_id")
 
 
 def demand_envelopes(demand: DataFrame) -> DataFrame:

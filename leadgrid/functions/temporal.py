@@ -42,16 +42,24 @@ def trunc_hour(ts: Column) -> Column:
     return trunc_day(ts) + interval(hours=F.hour(ts))
 
 
-def trunc_half_hour(ts: Column) -> Column:
-    half = F.when(F.minute(ts) >= 30, 30).otherwise(0)
-    return trunc_day(ts) + interval(hours=F.hour(ts), minutes=half)
-
-
 def epoch_hour(ts: Column) -> Column:
     """Whole hours since 1970, the integer axis for range windows."""
     return F.unix_date(ts.cast("date")).cast("long") * 24 + F.hour(ts)
 
 
+def from_epoch_hour(hour: Column) -> Column:
+    return shift(ntz(EPOCH), hours=hour.cast("int"))
+
+
+def half_hour_slot(ts: Column) -> Column:
+    """Whole half hours since 1970, a compact grouping key."""
+    return epoch_hour(ts) * 2 + (F.minute(ts) >= 30).cast("int")
+
+
+def from_half_hour_slot(slot: Column) -> Column:
+    return ntz(EPOCH) + interval(minutes=slot.cast("int") * 30)
+
+
 def from_epoch_seconds(seconds: Column) -> Column:
     return ntz(EPOCH) + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")

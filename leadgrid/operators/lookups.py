@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadgrid.functions.temporal import EPOCH, epoch_hour, ntz, shift
+from leadgrid.functions.temporal import epoch_hour, from_epoch_hour
 
 BLOCK = "_block"
 MIN_BLOCK_HOURS = 24 * 56
@@ -71,8 +71,8 @@ def values_before(
     time_col: str = "target_hour",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per hour of a series its value, its ``carry`` columns and, per name, ``struct(ts, value)`` read
-    exactly that many hours earlier.
+    """Per hour of a series its value, its ``carry`` columns and, per name,
+    ``struct(ts, value)`` read exactly that many hours earlier.
 
     ``ts`` is the hour the value was read from, as provenance; the struct is
     null when the series has no such hour. Every value is sent forward to the
@@ -106,12 +106,12 @@ def values_before(
         source = F.col(f"_from_{n}")
         return F.when(
             source.isNotNull(),
-            F.struct(shift(ntz(EPOCH), hours=source.cast("int")).alias("ts"), F.col(f"_value_{n}").alias("value")),
+            F.struct(from_epoch_hour(source).alias("ts"), F.col(f"_value_{n}").alias("value")),
         )
 
     return gathered.where(F.col("_from_0").isNotNull()).select(
         *series,
-        shift(ntz(EPOCH), hours=F.col("_at").cast("int")).alias(time_col),
+        from_epoch_hour(F.col("_at")).alias(time_col),
         F.col("_value_0").alias(value),
         *carry,
         *[read(n).alias(name) for name, n in hours.items()],

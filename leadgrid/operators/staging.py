@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadgrid.config import PitConfig
-from leadgrid.functions.temporal import parse_iso, trunc_hour
+from leadgrid.functions.temporal import epoch_hour, from_epoch_hour, parse_iso
 from leadgrid.operators.reshape import LEAD_SUFFIX
 
 # Feed key -> division label.
@@ -73,9 +73,12 @@ def stage_holidays(bronze: DataFrame) -> DataFrame:
 def hourly_demand(demand: DataFrame, cfg: PitConfig) -> DataFrame:
     """Half hours averaged to hours labelled by their start.
 
+    Rows are grouped by an integer hour, which becomes a timestamp afterwards.
     The aggregate combines map-side, so a series holding a large share of the
     input reaches the shuffle as at most one row per hour and task.
     """
-    return demand.groupBy(
-        *cfg.series, trunc_hour(F.col("start_time")).alias("target_hour")
-    ).agg(F.avg("initial_demand_outturn").alias("avg_initial_demand_outturn"))
+    hours = demand.groupBy(*cfg.series, epoch_hour(F.col("start_time")).alias("_hour")).agg(
+        F.avg("initial_demand_outturn").alias("avg_initial_demand_outturn")
+    )
+    at = from_epoch_hour(F.col("_hour")).alias("target_hour")
+    return hours.select(*cfg.series, at, "avg_initial_demand_outturn")

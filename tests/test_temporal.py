@@ -11,11 +11,16 @@ def one(spark, expr, value, kind="timestamp_ntz"):
     return spark.createDataFrame([(value,)], f"c {kind}").select(expr(F.col("c"))).first()[0]
 
 
+def half_hour(c):
+    return t.from_half_hour_slot(t.half_hour_slot(c))
+
+
 TRUNCATIONS = [
     (t.trunc_day, "2024-03-10 02:45:10", "2024-03-10 00:00:00"),
     (t.trunc_hour, "2024-03-10 02:45:10.5", "2024-03-10 02:00:00"),
-    (t.trunc_half_hour, "2024-03-10 02:45:10", "2024-03-10 02:30:00"),
-    (t.trunc_half_hour, "2024-03-10 02:29:59.999999", "2024-03-10 02:00:00"),
+    (half_hour, "2024-03-10 02:45:10", "2024-03-10 02:30:00"),
+    (half_hour, "2024-03-10 02:29:59.999999", "2024-03-10 02:00:00"),
+    (half_hour, "1969-12-31 23:30:00", "1969-12-31 23:30:00"),
 ]
 
 
