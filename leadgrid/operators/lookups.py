@@ -74,44 +74,46 @@ def values_before(
     """Per hour of a series its value, its ``carry`` columns and, per name,
     ``struct(ts, value)`` read exactly that many hours earlier.
 
-    ``ts`` is the hour the value was read from, as provenance; the struct is
-    null when the series has no such hour. Every value is sent forward to the
-    hours that look back to it and gathered there by an aggregate inside the
-    block, so the rows are shuffled once, before they multiply.
+    ``ts`` is the hour the value was sent from, as provenance; the struct is
+    null when the series has no value at that hour. Every value is sent forward
+    to the hours that look back to it and gathered there by an aggregate inside
+    the block, so the rows are shuffled once, before they multiply. The number
+    of partitions is given, as they would otherwise be packed by the size they
+    have before.
     """
     reach = max(hours.values())
     length = block_hours(reach)
     offsets = sorted({0, *hours.values()})
     keys = [*series, BLOCK]
+    partitions = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, ahead = F.col("_at"), F.col("_ahead")
 
     spread = (
         _with_history(hourly.select(*series, time_col, value, *carry), time_col, reach)
         .select(*keys, "_hour", F.col(value).alias("_value"), *carry)
-        .repartition(*keys)
+        .repartition(partitions, *keys)
     )
-    sent = spread.select(
-        *keys, "_hour", "_value", *carry, F.explode(F.array(*[F.lit(n) for n in offsets])).alias("_ahead")
-    ).withColumn("_at", F.col("_hour") + F.col("_ahead"))
+    targets = F.explode(F.array(*[F.lit(n) for n in offsets])).alias("_ahead")
+    sent = spread.select(*keys, "_hour", "_value", *carry, targets).withColumn("_at", F.col("_hour") + ahead)
     gathered = (
-        sent.where(block_of(F.col("_at"), length) == F.col(BLOCK))
+        sent.where(block_of(at, length) == F.col(BLOCK))
         .groupBy(*keys, "_at")
         .agg(
-            *[F.max(F.when(F.col("_ahead") == n, F.col("_hour"))).alias(f"_from_{n}") for n in offsets],
-            *[F.max(F.when(F.col("_ahead") == n, F.col("_value"))).alias(f"_value_{n}") for n in offsets],
-            *[F.max(F.when(F.col("_ahead") == 0, F.col(c))).alias(c) for c in carry],
+            F.max(ahead == 0).alias("_present"),
+            *[F.max(F.when(ahead == n, F.col("_value"))).alias(f"_value_{n}") for n in offsets],
+            *[F.max(F.when(ahead == 0, F.col(c))).alias(c) for c in carry],
         )
     )
 
     def read(n: int) -> Column:
-        source = F.col(f"_from_{n}")
-        return F.when(
-            source.isNotNull(),
-            F.struct(from_epoch_hour(source).alias("ts"), F.col(f"_value_{n}").alias("value")),
-        )
+        found = F.col(f"_value_{n}")
+        source = F.struct(from_epoch_hour(at - n).alias("ts"), found.alias("value"))
+        return F.when(found.isNotNull(), source)
 
-    return gathered.where(F.col("_from_0").isNotNull()).select(
+    # an hour that was only looked back from is not an hour of the series
+    return gathered.where("_present").select(
         *series,
-        from_epoch_hour(F.col("_at")).alias(time_col),
+        from_epoch_hour(at).alias(time_col),
         F.col("_value_0").alias(value),
         *carry,
         *[read(n).alias(name) for name, n in hours.items()],
