@@ -22,6 +22,7 @@ class PitConfig:
     is empty for a single national series.
     """
 
+    # The national series' own rules.
     publication_lag_hours: int = 2
     base_temperature: float = 15.5
     local_tz: str = "Europe/London"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadgrid.config import PitConfig
 from leadgrid.functions.temporal import from_epoch_seconds, shift, trunc_day
 
+# Fixed value: how a column's name tells its lead.
 LEAD_SUFFIX = r"_previous_day(\d+)$"
 
 

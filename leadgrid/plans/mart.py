@@ -43,15 +43,19 @@ def hour_features(hourly: DataFrame, holidays: DataFrame, cfg: PitConfig) -> Dat
 
 
 def build_mart(
-    forecast: DataFrame, hourly: DataFrame, holidays: DataFrame, cfg: PitConfig
+    forecast: DataFrame,
+    hourly: DataFrame,
+    holidays: DataFrame,
+    cfg: PitConfig,
+    other_leads: bool = False,
 ) -> DataFrame:
     """One row per (target, lead) that has a label and a lagged demand.
 
     The hourly side is looked up before it meets the leads, so the forecast,
     the longest input, is shuffled once. An inner join is enough: a target
     without an hourly row has no label and would be dropped. A forecast without
-    series columns serves every series. Leads outside ``0..max_lead`` have no
-    lagged demand.
+    series columns serves every series. Set ``other_leads`` if the forecast may
+    hold leads outside ``0..max_lead``: those rows then go through the joins.
 
     An anchor ``h`` hours back was published by the cutoff exactly when ``h``
     is at least the lead's own distance.
@@ -68,13 +72,21 @@ def build_mart(
         for name, hours in cfg.anchor_columns.items()
     }
     rows = add_degree_hinges(rows.withColumns(anchors), cfg)
-    return keep_trainable(rows).select(*mart_columns(cfg))
+    mart = keep_trainable(rows).select(*mart_columns(cfg))
+    if other_leads:
+        rest = forecast.where(~lead.between(0, cfg.max_lead))
+        mart = mart.unionByName(build_mart_by_joins(rest, hourly, holidays, cfg))
+    return mart
 
 
 def joined_features(
     forecast: DataFrame, hourly: DataFrame, holidays: DataFrame, cfg: PitConfig
 ) -> DataFrame:
     """The mart's columns for every forecast row, one left join per value."""
+    absent = [c for c in cfg.series if c not in forecast.columns]
+    if absent:
+        every = hourly.select(*cfg.series, F.col("target_hour").alias("target_ts"))
+        forecast = forecast.join(every, [c for c in every.columns if c not in absent])
     rows = attach_label(forecast, hourly, cfg)
     rows = attach_cutoff_lag(add_cutoff(rows, cfg), hourly, cfg)
     rows = attach_calendar(attach_anchors(rows, hourly, cfg), holidays, cfg)

@@ -15,6 +15,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 STRING, LONG, INT, DOUBLE = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 NTZ, DATE, BOOL = T.TimestampNTZType(), T.DateType(), T.BooleanType()
 
+# Key spellings of the landed files and columns of the mart.
 DEMAND_RECORD = _struct(
     ("publishTime", STRING),
     ("startTime", STRING),

@@ -149,3 +149,23 @@ def test_longer_publication_lag_drops_the_weekly_anchor_earlier(spark):
     assert mart.where("lead_days >= 6 and lag_7d is not null").count() == 0
     assert mart.where("lead_days = 5 and lag_7d is not null").count() > 0
     assert mart.count() == 192 * DAYS - head_loss(cfg)
+
+
+@pytest.mark.parametrize("other_leads, most", [(False, 7), (True, 9)])
+def test_leads_past_the_limit(spark, other_leads, most):
+    times = hours("2024-01-01", 24 * 20)
+    args = forecast_frame(spark, times, range(-1, 10)), hourly_frame(spark, times), holiday_frame(spark)
+    mart = build_mart(*args, CFG, other_leads)
+    assert mart.agg(F.max("lead_days")).first()[0] == most
+    if other_leads:
+        joined = build_mart_by_joins(*args, CFG)
+        assert mart.exceptAll(joined).count() == joined.exceptAll(mart).count() == 0
+
+
+def test_shared_weather_by_joins(spark):
+    cfg = PitConfig(series=("s",))
+    times = hours("2024-01-01", 24 * 10)
+    hourly = hourly_frame(spark, times).withColumn("s", F.explode(F.array(F.lit("x"), F.lit("y"))))
+    args = forecast_frame(spark, times), hourly, holiday_frame(spark), cfg
+    one, other = build_mart(*args), build_mart_by_joins(*args)
+    assert one.count() > 0 and one.exceptAll(other).count() == other.exceptAll(one).count() == 0
