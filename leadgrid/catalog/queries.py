@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +34,35 @@ def query(fn: Query) -> Query:
     return fn
 
 
-@dataclass
 class Inputs:
-    """Silver inputs of a mart. Demand is stored, so the raw table is read
-    once however many of the inputs a query uses."""
+    """Silver inputs of a mart, each built when first used. Demand is stored,
+    so the raw table is read once however many of the inputs a query uses."""
 
-    demand: DataFrame
-    cfg: PitConfig
-    step_hours: int = 1
+    def __init__(self, demand: DataFrame, cfg: PitConfig, step_hours: int = 1):
+        self.demand = stored(demand, "demand")
+        self.cfg = cfg
+        self.step_hours = step_hours
 
-    def __post_init__(self):
-        self.demand = stored(self.demand, "demand")
-        self.hourly = staging.hourly_demand(self.demand, self.cfg)
-        self.wide = standins.weather_wide(self.demand, self.cfg, self.step_hours)
+    @cached_property
+    def hourly(self) -> DataFrame:
+        return staging.hourly_demand(self.demand, self.cfg)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        return standins.weather_wide(self.demand, self.cfg, self.step_hours)
+
+    @cached_property
+    def long(self) -> DataFrame:
         names = reshape.variable_names(VARIABLE, self.cfg.max_lead)
-        self.long = reshape.melt_previous_runs(self.wide, self.cfg, names)
-        self.forecast = staging.pivot_forecast(self.long, self.cfg)
-        self.holidays = staging.stage_holidays(standins.holiday_feed(self.demand))
+        return reshape.melt_previous_runs(self.wide, self.cfg, names)
+
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return staging.pivot_forecast(self.long, self.cfg)
+
+    @cached_property
+    def holidays(self) -> DataFrame:
+        return staging.stage_holidays(standins.holiday_feed(self.demand))
 
     def mart(self) -> DataFrame:
         return build_mart(self.forecast, self.hourly, self.holidays, self.cfg)
