@@ -212,7 +212,7 @@ def layers_roundtrip(spark, sf_dir):
     """Staging view over landed files, then the hourly table built from it."""
     path = _landed_demand(spark, sf_dir)
     demand = as_view(staging.stage_demand(bronze.read_demand(spark, path, HOURLY), HOURLY), "demand")
-    return as_table(staging.hourly_demand(demand, HOURLY), "demand_hourly")
+    return as_table(staging.hourly_demand(demand, HOURLY), "demand_hourly", layer="silver_roundtrip")
 
 
 def _land_all(spark, sf_dir) -> medallion.BronzePaths:
