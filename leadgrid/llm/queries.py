@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgrid.llm import exact, sentencepiece_bpe
+from leadgrid.llm import decontaminate, exact, sentencepiece_bpe, simhash
 
 #: vocabulary files of public tokenizers; LEADGRID_TOKENIZERS names another folder
 TOKENIZERS = os.environ.get("LEADGRID_TOKENIZERS", "/opt/tokenizers")
@@ -23,12 +23,22 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(docs, f"{TOKENIZERS}/{PIECE_MODEL}", digests=True)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op7_decontamination": op7_decontamination,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
