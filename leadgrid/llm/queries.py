@@ -90,3 +90,93 @@ ORACLES: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
 }
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op5_substring_dedup"] = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+    h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM s),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM h) WHERE first < doc_id),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM r),
+    l AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+    k AS (SELECT d.doc_id, d.w, coalesce(l.gone, []) AS gone FROM d LEFT JOIN l USING (doc_id)),
+    x AS (SELECT doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(gone, p)) AS kept FROM k)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+           sha256(coalesce(array_to_string(list_transform(kept, lambda p: w[p]), ' '), '')) AS kept_sha256
+    FROM x
+"""
+
+ORACLES["op7_decontamination"] = f"""
+    WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+    b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+    i AS (SELECT item_id, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i, w FROM b WHERE len(w) > 0),
+    v AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS v FROM i),
+    s AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d CROSS JOIN (SELECT DISTINCT n FROM v) WHERE len(w) >= n),
+    m AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS v FROM s),
+    h AS (SELECT m.doc_id, m.i, m.n, v.item_id FROM m JOIN v USING (n, v)),
+    p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES["op8_tool_calls"] = """
+    WITH RECURSIVE c AS (
+        SELECT conv_id, turn, 'c' || turn AS id, text,
+               CASE WHEN turn % 7 = 6 THEN 'note' WHEN turn % 2 = 0 THEN 'search' ELSE 'count' END AS name,
+               CASE WHEN turn % 5 = 4 THEN '"' || length(text) || '"' ELSE length(text)::VARCHAR END AS lim,
+               CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS "after"
+        FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+    r AS (SELECT conv_id, turn, 'c' || (turn - 1) AS id, text FROM conversations WHERE role = 'assistant'),
+    d AS (SELECT conv_id, turn, 0::BIGINT AS depth FROM c
+          WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+          UNION ALL SELECT c.conv_id, c.turn, d.depth + 1 FROM d JOIN c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2),
+    e AS (SELECT c.*, d.depth, r.turn AS result_turn, r.text AS content,
+                 concat_ws('; ', CASE WHEN "after" IS NOT NULL AND p.turn IS NULL THEN 'after: no such call' END,
+                                 CASE WHEN c.turn % 5 = 4 AND name <> 'note' THEN 'limit: not of type integer' END,
+                                 CASE WHEN name = 'note' THEN 'name: unknown tool' END) AS errors
+          FROM c JOIN d USING (conv_id, turn) LEFT JOIN r ON r.conv_id = c.conv_id AND r.id = c.id
+          LEFT JOIN (SELECT conv_id, turn FROM c) p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2),
+    f AS (SELECT *, CASE WHEN errors <> '' THEN 'invalid' WHEN result_turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status FROM e)
+    SELECT conv_id, id, turn, 'call' AS kind, status, depth, result_turn, errors,
+           '{' || coalesce('"after":"' || "after" || '",', '') || '"arguments":{"limit":' || lim || ',"text":' || to_json(text)
+           || '},"conv_id":' || conv_id || ',"depth":' || depth || ',"id":"' || id || '","name":"' || name || '"'
+           || coalesce(',"result":' || to_json(content), '') || ',"status":"' || status || '","turn":' || turn || '}' AS json
+    FROM f
+    UNION ALL
+    SELECT r.conv_id, r.id, r.turn, 'result', 'orphan', NULL, NULL, '',
+           '{"conv_id":' || r.conv_id || ',"id":"' || r.id || '","result":' || to_json(r.text) || ',"status":"orphan","turn":' || r.turn || '}'
+    FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.id = r.id)
+"""
+
+_PHRASES = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: "
+    f"array_to_string(w[i : i + {len(phrase.split()) - 1}], ' ') = '{phrase}')) AS i FROM d"
+    for phrase, label in licenses.PHRASES.items()
+)
+_TEMPLATES = ", ".join(
+    f"('{label}', [{', '.join(repr(w.decode()) for w in words)}])" for label, words in licenses.template_words(licenses.TEMPLATES)
+)
+_LINE = _ALNUM.replace("coalesce(text, '')", "line")
+
+ORACLES["op6_license_scan"] = rf"""
+    WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+    p AS ({_PHRASES}),
+    b AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+    l AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|\n|\r')) AS line FROM documents),
+    t AS (SELECT * FROM (VALUES {_TEMPLATES}) v(label, words)),
+    m AS (SELECT doc_id, label, len(list_intersect(list_distinct({_LINE}), words)) / len(words) AS share FROM l CROSS JOIN t),
+    g AS (SELECT doc_id, label, share FROM m WHERE share >= {licenses.THRESHOLD} - 1e-9),
+    a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+          FROM (SELECT doc_id, label FROM g UNION SELECT doc_id, label FROM p) GROUP BY doc_id),
+    x AS (SELECT doc_id, max(share) AS share FROM g GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+    FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
