@@ -316,19 +316,19 @@ def clean(
     names, changed = docs.columns, docs
     for tables in automata(items, item_col, item_text, window, block_words):
         held = docs.sparkSession.sparkContext.broadcast(tables)
+        fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
         # a null stands for "goes"; null texts have no words and stay
-        new = _cleaner(held, longest_share)(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-        changed = changed.withColumn("_new", new).filter(F.col("_new").isNotNull())
-        text = F.when(F.col(f"`{text_col}`").isNull(), F.lit(None)).otherwise(F.col("_new"))
+        rows = changed.select(F.struct(*fields).alias("row"), text.alias("old"), _cleaner(held, longest_share)(text).alias("new"))
+        same = F.col("new") == F.col("old")
         columns = []
-        for c in names:
+        for i, c in enumerate(names):
+            value = F.col(f"row.c{i}")
             if c == text_col:
-                columns.append(text.cast("string").alias(c))
-            elif c == "n_chars" and c != text_col:
-                same = F.col("_new") == F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-                columns.append(F.when(same, F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema[c].dataType).alias(c))
-            else:
-                columns.append(F.col(f"`{c}`"))
-        changed = changed.select(*columns)
+                value = F.when(same, value).otherwise(F.col("new"))
+            elif c == "n_chars":
+                value = F.when(same, value).otherwise(F.length("new").cast(docs.schema[c].dataType))
+            columns.append(value.alias(c))
+        changed = rows.filter(F.col("new").isNotNull()).select(*columns)
     return changed
 

@@ -95,7 +95,9 @@ def links(fps: DataFrame, bits: int = BITS, pairs_up_to: int = PAIRS_UP_TO) -> D
             value.cast("byte").alias("bit"),
         )
 
-    rows = fps.select("fp", F.explode(F.array(*(variant(s, blank) for s, _, blank in kinds))).alias("v")).select(
+    # a fingerprint becomes as many rows as there are variants, so even a small table is worth many tasks
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(parts, "fp").select("fp", F.explode(F.array(*(variant(s, blank) for s, _, blank in kinds))).alias("v")).select(
         F.col("v.kind").alias("kind"), F.col("v.rest").alias("rest"), F.col("v.bit").alias("bit"), "fp"
     )
     key = ["kind", "rest"]

@@ -212,8 +212,8 @@ def featurizer(lexicon: Lexicon):
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether a row is kept from learning."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row is kept from learning; not so without an id, but labels without one teach nothing either."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
