@@ -1,0 +1,66 @@
+import re
+
+import messy
+import pytest
+from leadgrid.llm import licenses
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text):
+    return WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
+def brute(texts, templates, phrases, threshold):
+    sets = [(label, set(words_of(t))) for label, t in templates]
+    out = []
+    for i, t in texts:
+        w, at, base, more, best = words_of(t), [], set(), set(), 0.0
+        for p, label in phrases.items():
+            p = p.split()
+            places = [a for a in range(len(w)) if w[a : a + len(p)] == p]
+            at += places
+            base |= {label} if places else set()
+        for line in re.split("\r\n|\n|\r", t or ""):
+            have = set(words_of(line))
+            for label, words in sets:
+                share = len(have & words) / len(words)
+                if share >= threshold - 1e-9:
+                    more.add(label)
+                    best = max(best, share)
+        names = [",".join(sorted(x)) for x in (base, base | more)]
+        out.append((i, len(w), len(at), min(at, default=None), max(at, default=None), *names, 1.0 if at else best))
+    return sorted(out, key=repr)
+
+
+def texts():
+    return [
+        *messy.texts(),
+        (30, "x MIT-License. The mit license\nGNU general\npublic LICENSE"),
+        (31, "Licensed under the Apache License, Version 2.0 (the thing)"),
+        (32, "licensed under apache license 2"),
+        (33, "permission is granted free of charge to any person obtaining a copy of this software hereby"),
+        (34, "CC BY CC BY cc by"),
+        (35, "cc\tby-nc 4.0\rlicensed under cc by nc 4"),
+        (36, messy.prose(8, 400) + "\nReleased under the MIT License\n" + messy.prose(9, 400)),
+    ]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
+def test_matches_brute_force(spark, threshold):
+    got = licenses.scan(messy.frame(spark, texts()), threshold=threshold).collect()
+    want = brute(texts(), licenses.TEMPLATES, licenses.PHRASES, threshold)
+    assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_templates_of_common_words(spark):
+    templates = [("a", "alpha1 beta2 gamma3 delta4"), ("b", "alpha1 beta2"), ("c", "zzz alpha1 beta2 gamma3 delta4 eta5")]
+    docs = [(i, "\n".join(messy.prose(50 + 7 * i + j, 90) for j in range(4))) for i in range(40)]
+    got = licenses.scan(messy.frame(spark, docs), templates=templates, phrases={}, threshold=0.5).collect()
+    want = brute(docs, templates, {}, 0.5)
+    assert sorted(map(tuple, got), key=repr) == want
+    assert any(r.labels for r in got)
+
+
+def test_empty(spark):
+    assert licenses.scan(messy.empty(spark)).collect() == []
