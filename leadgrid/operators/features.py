@@ -14,6 +14,15 @@ from leadgrid.functions.measures import gated, hinge
 from leadgrid.functions.temporal import iso_weekday, shift, to_local, trunc_hour
 
 
+#: dates that are broadcast: a thousand years of nothing but holidays
+HOLIDAY_DATES = 366 * 1000
+
+
+def broadcast_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _lookup(
     rows: DataFrame, hourly: DataFrame, cfg: PitConfig, key: str, value: str, hour: str | None = None
 ) -> DataFrame:
@@ -59,14 +68,17 @@ def attach_calendar(rows: DataFrame, holidays: DataFrame, cfg: PitConfig) -> Dat
     """Local hour, local weekday and holiday flag.
 
     The division is chosen before the left join, so other divisions' holidays
-    never match and unmatched rows stay. Holidays are a small table: Spark
-    broadcasts it below its own size threshold and merges it otherwise.
+    never match and unmatched rows stay; a date counts once, so copies of a
+    holiday do not multiply rows. Dates are counted first: a year has 366 at
+    most, so they are broadcast unless the table is not what it should be.
     """
     local = to_local(F.col("target_ts"), cfg.local_tz)
-    dates = (
+    dates = broadcast_small(
         holidays.where(F.col("division") == cfg.holiday_division)
-        .select(F.col("holiday_date").alias("_local_date"), F.lit(True).alias("_holiday"))
-    )
+        .select(F.col("holiday_date").alias("_local_date"))
+        .distinct(),
+        HOLIDAY_DATES,
+    ).withColumn("_holiday", F.lit(True))
     return (
         rows.withColumn("_local", local)
         .withColumns(

@@ -43,14 +43,20 @@ def pivot_forecast(long: DataFrame, cfg: PitConfig, variables=("temperature_2m",
     """Long records to one column per variable, duplicates merged by max.
 
     Live records carry no lead; it is the whole days from issue to target,
-    which equals the recorded lead wherever one is recorded.
+    which equals the recorded lead wherever one is recorded. Records are dealt
+    out by series and target, which also serves a later join on these: a group
+    holds the few leads of one hour, so there is little to combine before.
     """
     lead = F.datediff(F.col("target_ts").cast("date"), F.col("issue_ts").cast("date"))
     if "N" in long.columns:
         lead = F.coalesce(F.col("N"), lead)
     base = F.regexp_replace("variable", LEAD_SUFFIX, "")
+    rows = long.withColumns({"lead_days": lead, "base": base})
+    if cfg.series:
+        partitions = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(partitions, *cfg.series, "target_ts")
     return (
-        long.withColumns({"lead_days": lead, "base": base})
+        rows
         .groupBy(*cfg.series, "target_ts", "issue_ts", "lead_days")
         .agg(*[F.max(F.when(F.col("base") == v, F.col("value"))).alias(v) for v in variables])
     )

@@ -13,12 +13,17 @@ from leadgrid.operators.features import (
     attach_calendar,
     attach_cutoff_lag,
     attach_label,
+    broadcast_small,
     keep_trainable,
     mart_columns,
 )
 from leadgrid.operators.lookups import values_before
 
 
+#: hours of a shared forecast that are broadcast, some 20 years
+SHARED_HOURS = 24 * 366 * 20
+
+
 def hour_features(hourly: DataFrame, holidays: DataFrame, cfg: PitConfig) -> DataFrame:
     """Everything that depends on the target hour alone, one row per hour.
 
@@ -42,27 +47,43 @@ def hour_features(hourly: DataFrame, holidays: DataFrame, cfg: PitConfig) -> Dat
     )
 
 
+def _meet(forecast: DataFrame, features: DataFrame, key: list[str], cfg: PitConfig) -> DataFrame:
+    """Forecast rows with the features of their hour.
+
+    A forecast that lacks a series column serves many series, and its hours
+    would be hot keys. Its rows are gathered by hour, a few leads each, and
+    that table of hours is broadcast if it is not too long.
+    """
+    if set(cfg.series) <= set(key):
+        return forecast.join(features, key)
+    runs = F.collect_list(F.struct(*[c for c in forecast.columns if c not in key])).alias("_runs")
+    hours = broadcast_small(forecast.groupBy(*key).agg(runs), SHARED_HOURS)
+    return features.join(hours, key).select(*features.columns, F.inline("_runs"))
+
+
 def build_mart(
     forecast: DataFrame,
     hourly: DataFrame,
     holidays: DataFrame,
     cfg: PitConfig,
-    other_leads: bool = False,
 ) -> DataFrame:
     """One row per (target, lead) that has a label and a lagged demand.
 
-    The hourly side is looked up before it meets the leads, so the forecast,
-    the longest input, is shuffled once. An inner join is enough: a target
+    The hourly side is looked up before it meets the leads, so forecast rows,
+    the longest input, are shuffled once. An inner join is enough: a target
     without an hourly row has no label and would be dropped. A forecast without
-    series columns serves every series. Set ``other_leads`` if the forecast may
-    hold leads outside ``0..max_lead``: those rows then go through the joins.
+    series columns serves every series.
+
+    Rows of leads outside ``0..max_lead``, in most forecasts none, go through
+    the join chain. The forecast is read for both parts: pass a stored one.
 
     An anchor ``h`` hours back was published by the cutoff exactly when ``h``
     is at least the lead's own distance.
     """
     shared = [c for c in cfg.series if c in forecast.columns]
-    rows = forecast.join(hour_features(hourly, holidays, cfg), [*shared, "target_ts"])
     lead = F.col("lead_days")
+    within = lead.between(0, cfg.max_lead)
+    rows = _meet(forecast.where(within), hour_features(hourly, holidays, cfg), [*shared, "target_ts"], cfg)
     rows = add_cutoff(rows, cfg).withColumns(
         {"demand_lag_mw": F.get("_lags", lead), "demand_lag_ts": F.get("_lag_hours", lead)}
     )
@@ -73,10 +94,7 @@ def build_mart(
     }
     rows = add_degree_hinges(rows.withColumns(anchors), cfg)
     mart = keep_trainable(rows).select(*mart_columns(cfg))
-    if other_leads:
-        rest = forecast.where(~lead.between(0, cfg.max_lead))
-        mart = mart.unionByName(build_mart_by_joins(rest, hourly, holidays, cfg))
-    return mart
+    return mart.unionByName(build_mart_by_joins(forecast.where(~within), hourly, holidays, cfg))
 
 
 def joined_features(

@@ -5,10 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import forecast_frame, holiday_frame, hourly_frame, hours
+from fixtures import forecast_frame, holiday_frame, hourly_frame, hours, long_frame
 from leadgrid.config import PitConfig
 from leadgrid.operators import checks, scoring, staging
 from leadgrid.plans.mart import build_mart, build_mart_by_joins
+from leadgrid.sources import bronze
 from leadgrid.sources.storage import stored
 
 CFG = PitConfig(series=("s",))
@@ -36,22 +37,53 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def main_part(plan: str) -> str:
+    """The first side of the union with the other leads."""
+    lines = plan.split("\n")
+    top = next(i for i, line in enumerate(lines) if "Union" in line)
+    depth = lines[top].index("Union")
+    side = []
+    for line in lines[top + 1 :]:
+        if side and line[depth:].startswith("+- "):
+            break
+        side.append(line)
+    return "\n".join(side)
+
+
 def test_the_mart_shuffles_the_forecast_once(inputs, no_broadcast):
-    plan = plan_of(build_mart(*inputs, CFG))
-    # forecast by target; hourly by date, by block and by target; holidays by date
-    assert plan.count("Exchange") == 5
-    assert plan.count("SortMergeJoin") == 2
-    assert "Broadcast" not in plan
+    plan = main_part(plan_of(build_mart(*inputs, CFG)))
+    # forecast by target; hourly by block and by target; holidays are counted and broadcast
+    assert plan.count("Exchange hashpartitioning") == 3 + 1  # the distinct holidays
+    assert plan.count("SortMergeJoin") == 1
+    assert "BroadcastHashJoin [_local_date" in plan
 
 
-def test_the_join_chain_shuffles_more(inputs, no_broadcast):
-    chain = plan_of(build_mart_by_joins(*inputs, CFG))
-    assert chain.count("Exchange") > plan_of(build_mart(*inputs, CFG)).count("Exchange")
+def test_one_shuffle_from_the_melt_to_the_mart(spark, inputs, no_broadcast):
+    """The pivot deals records out as the join needs them."""
+    _, hourly, holidays = inputs
+    two = F.explode(F.array(F.lit("x"), F.lit("y")))
+    long = stored(long_frame(spark, "2024-01-01", 20).withColumn("s", two), "long")
+    plan = main_part(plan_of(build_mart(staging.pivot_forecast(long, CFG), hourly, holidays, CFG)))
+    assert plan.count("Exchange hashpartitioning") == 3 + 1
+    assert plan.count("REPARTITION_BY_NUM") >= 1
 
 
-def test_small_holidays_need_no_shuffle(inputs):
-    plan = plan_of(build_mart(*inputs, CFG))
-    assert "BroadcastHashJoin [_local_date" in plan
+def test_completeness_needs_one_shuffle(spark, no_broadcast):
+    long = stored(long_frame(spark, "2024-01-01", 10).withColumn("s", F.lit("x")), "long")
+    plan = plan_of(bronze.by_issue(long, CFG).where("_whole"))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_shared_weather_is_not_shuffled_to_its_hours(spark, inputs, no_broadcast):
+    forecast, hourly, holidays = inputs
+    shared = stored(forecast.where("s = 'x'").drop("s"), "shared")
+    plan = main_part(plan_of(build_mart(shared, hourly, holidays, CFG)))
+    assert "BroadcastHashJoin [target_ts" in plan and "SortMergeJoin" not in plan
+
+
+def test_the_join_chain_shuffles_more(inputs, no_broadcast):
+    chain = plan_of(build_mart_by_joins(*inputs, CFG))
+    assert chain.count("Exchange") > main_part(plan_of(build_mart(*inputs, CFG))).count("Exchange")
 
 
 def test_the_mart_reads_only_its_columns(inputs):
