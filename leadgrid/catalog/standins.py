@@ -14,7 +14,6 @@ from leadgrid import schemas
 from leadgrid.config import PitConfig
 from leadgrid.functions.temporal import (
     epoch_hour,
-    format_iso,
     from_half_hour_slot,
     half_hour_slot,
     shift,
@@ -69,22 +68,6 @@ def national_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _demand(events, F.lit("all"), F.col("ts"), F.col("value") * 100).drop("series_id")
 
 
-def demand_envelopes(demand: DataFrame) -> DataFrame:
-    """Silver demand back to the records it would have been landed as."""
-    record = F.struct(
-        "series_id",
-        format_iso(F.col("publish_time")).alias("publishTime"),
-        format_iso(F.col("start_time")).alias("startTime"),
-        F.col("settlement_date").cast("string").alias("settlementDate"),
-        F.col("settlement_period").alias("settlementPeriod"),
-        F.col("initial_demand_outturn").alias("initialDemandOutturn"),
-        F.col("initial_transmission_system_demand_outturn").alias(
-            "initialTransmissionSystemDemandOutturn"
-        ),
-    )
-    return demand.select(F.array(record).alias("data"), "settlement_date")
-
-
 def weather_responses(demand: DataFrame, cfg: PitConfig, step_hours: int) -> DataFrame:
     """One response per series: axis bounds and a value array per variable.
 

@@ -61,16 +61,14 @@ def from_half_hour_slot(slot: Column) -> Column:
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
-    return ntz(EPOCH) + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")
-    )
+    return ntz(EPOCH) + F.expr("INTERVAL '1' SECOND") * seconds
 
 
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to UTC; text without an offset is taken as UTC."""
-    has_offset = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    seconds = F.unix_micros(F.to_timestamp(text)) / F.lit(1_000_000).cast("decimal(18,0)")
-    return F.when(has_offset, from_epoch_seconds(seconds)).otherwise(text.cast("timestamp_ntz"))
+    has_offset = text.endswith("Z") | text.rlike(r"[+-]\d{2}:?\d{2}$")
+    micros = F.expr("INTERVAL '0.000001' SECOND") * F.unix_micros(F.to_timestamp(text))
+    return F.when(has_offset, ntz(EPOCH) + micros).otherwise(text.cast("timestamp_ntz"))
 
 
 def format_iso(ts: Column) -> Column:

@@ -22,42 +22,51 @@ class BronzePaths:
     holidays: str
 
 
-def build_silver(spark: SparkSession, paths: BronzePaths, cfg: PitConfig) -> None:
+def build_silver(
+    spark: SparkSession, paths: BronzePaths, cfg: PitConfig, layer: str | None = None
+) -> None:
     """Staging views over Bronze, and the hourly table.
 
     The tripwires run on what was landed; the hourly table is stored because
-    every later read of past demand goes to it.
+    every later read of past demand goes to it. ``layer`` names another Silver,
+    so that builds can share a session.
     """
     demand = bronze.read_demand(spark, paths.demand, cfg)
     holidays = bronze.read_holidays(spark, paths.holidays)
     checks.enforce(checks.payload_checks(demand, checks.DEMAND_REQUIRED, "demand"))
     checks.enforce(checks.holiday_payload_checks(holidays))
-    as_view(staging.stage_demand(demand, cfg), "demand")
+    staged = as_view(staging.stage_demand(demand, cfg), "demand", layer)
     forecast = bronze.read_forecast(spark, paths.forecast, cfg)
-    as_view(staging.stage_forecast(forecast, cfg), "weather_forecast")
-    as_view(staging.stage_holidays(holidays), "bank_holidays")
-    as_table(staging.hourly_demand(spark.table("demand"), cfg), "demand_hourly")
-
-
-def build_gold(spark: SparkSession, cfg: PitConfig, partition_by_month: bool = False) -> DataFrame:
-    """The mart table, stored before it is checked so that it is built once."""
-    mart = build_mart(
-        spark.table("weather_forecast"), load(spark, "demand_hourly"), spark.table("bank_holidays"), cfg
-    )
+    as_view(staging.stage_forecast(forecast, cfg), "weather_forecast", layer)
+    as_view(staging.stage_holidays(holidays), "bank_holidays", layer)
+    as_table(staging.hourly_demand(staged, cfg), "demand_hourly", layer)
+
+
+def build_gold(
+    spark: SparkSession, cfg: PitConfig, partition_by_month: bool = False, silver: str | None = None,
+    gold: str | None = None,
+) -> DataFrame:
+    """The mart table, stored before it is checked so that it is built once.
+    The staged forecast is stored for the build, as the mart reads it twice."""
+    forecast = stored(load(spark, "weather_forecast", silver), "forecast")
+    hourly, holidays = (load(spark, t, silver) for t in ("demand_hourly", "bank_holidays"))
+    mart = build_mart(forecast, hourly, holidays, cfg)
     if not partition_by_month:
-        return as_table(mart, "demand_features")
+        return as_table(mart, "demand_features", gold)
     month = F.trunc("target_ts", "month").alias("target_month")
-    return as_table(mart.select("*", month), "demand_features", partition_by=["target_month"])
+    return as_table(mart.select("*", month), "demand_features", gold, partition_by=["target_month"])
 
 
-def run_checks(spark: SparkSession, cfg: PitConfig) -> DataFrame:
+def run_checks(
+    spark: SparkSession, cfg: PitConfig, silver: str | None = None, gold: str | None = None
+) -> DataFrame:
     """(check, n_violations) over all layers."""
     return (
-        checks.demand_checks(spark.table("demand"), cfg)
-        .unionByName(checks.hourly_checks(load(spark, "demand_hourly"), cfg))
-        .unionByName(checks.forecast_checks(spark.table("weather_forecast"), cfg))
-        .unionByName(checks.holiday_checks(spark.table("bank_holidays")))
-        .unionByName(checks.mart_checks(load(spark, "demand_features"), cfg))
+        checks.demand_checks(load(spark, "demand", silver), cfg)
+        .unionByName(checks.hourly_checks(load(spark, "demand_hourly", silver), cfg))
+        .unionByName(checks.forecast_checks(load(spark, "weather_forecast", silver), cfg))
+        .unionByName(checks.holiday_checks(load(spark, "bank_holidays", silver)))
+        .unionByName(checks.mart_checks(load(spark, "demand_features", gold), cfg))
     )
 
 
@@ -74,9 +83,9 @@ def model_report(
     whose counts must add up to all rows."""
     frame = wf.training_frame(load(spark, "demand_features"), cfg)
     rows = scoring.with_legal_anchor(wf.walk_forward(frame, folds, cfg, params=params, **how))
-    slices = stored(scoring.error_by_slices(scoring.with_slices(rows)), "slices")
-    totals = scoring.slice_totals(rows, slices)
+    measured = stored(scoring.slice_measures(scoring.with_slices(rows)), "slices")
+    totals = scoring.slice_totals(measured)
     short = totals.where(F.col("n_sliced") != F.col("n_rows")).collect()
     if short:
         raise ValueError(f"slices that do not cover all rows: {short}")
-    return {"improvement": scoring.improvement(rows), "slices": slices}
+    return {"improvement": scoring.improvement(rows), "slices": measured.where(F.col("value").isNotNull())}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,24 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from leadgrid.config import table_name
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_root: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a local session may fall back to a folder of this machine, one for
+    the whole process.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="leadgrid-")
+    if not _local_root or not os.path.isdir(_local_root[0]):
+        _local_root[:] = [tempfile.mkdtemp(prefix="leadgrid-")]
+    return _local_root[0]
+
+
+def _run_name(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/leadgrid/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/leadgrid/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the run's own folder."""
+    return f"{_run_name(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the run's folder. Call it when no result of the run is read any
+    more; frames over stored intermediates fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_name(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,26 +54,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_view(df: DataFrame, table: str) -> DataFrame:
-    """Silver staging: a view that re-reads Bronze when queried."""
-    df.createOrReplaceTempView(table)
-    return df.sparkSession.table(table)
+def as_view(df: DataFrame, table: str, layer: str | None = None) -> DataFrame:
+    """Silver staging: a view that re-reads Bronze when queried.
+
+    A session's views have no schema, so the layer is part of the name; builds
+    that share a session are told apart by their layers.
+    """
+    name = table_name(table, layer).replace(".", "__")
+    df.createOrReplaceTempView(name)
+    return df.sparkSession.table(name)
 
 
 def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=()) -> DataFrame:
     """Silver and Gold tables: a full rebuild, stored as Parquet.
 
-    A schema that does not exist yet is created in the shared folder.
+    A schema that does not exist yet is created in the session's warehouse. If
+    the catalog ends with the session, so do its tables: they get a folder of
+    the run there, and no later run finds files that no catalog knows.
     """
     spark, name = df.sparkSession, table_name(table, layer)
-    schema = name.split(".")[0]
-    if not spark.catalog.databaseExists(schema):
-        location = scratch_path(spark, schema)
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{location}'")
+    schema, place = name.split(".")[0], ""
+    if spark.conf.get("spark.sql.catalogImplementation") == "in-memory":
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        place = f" LOCATION '{warehouse}/{spark.sparkContext.applicationId}/{schema}.db'"
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}{place}")
     df.write.mode("overwrite").partitionBy(*partition_by).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
 def load(spark: SparkSession, table: str, layer: str | None = None) -> DataFrame:
-    """A stored table by its layer's name."""
-    return spark.table(table_name(table, layer))
+    """A stored table or a staging view by its layer's name."""
+    name = table_name(table, layer)
+    view = name.replace(".", "__")
+    return spark.table(view if spark.catalog.tableExists(view) else name)

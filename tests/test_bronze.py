@@ -11,6 +11,7 @@ from fixtures import CFG, H, at, hours, long_frame
 from leadgrid import schemas
 from leadgrid.config import PitConfig, table_name
 from leadgrid.operators import reshape, staging
+from leadgrid.plans import ingest
 from leadgrid.sources import bronze, storage
 
 
@@ -48,7 +49,7 @@ def test_range_read_prunes_directories(spark, tmp_path):
         row = demand_row(f"{day}T00:00:00Z", 1, 1)
         write(f"{tmp_path}/settlement_date={day}/demand.json", json.dumps({"data": [row]}))
     day = dt.date(2024, 7, 2)
-    bounded = bronze.read_demand(spark, str(tmp_path), CFG, day, day)
+    bounded = bronze.read_demand(spark, str(tmp_path), CFG, day).where(F.col("settlement_date") <= day)
     assert bounded.count() == 1
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(settlement_date" in plan
@@ -112,11 +113,69 @@ def test_a_date_with_a_missing_hour_is_not_landed(spark, tmp_path):
     )
     # a copy of another record must not make up for it
     copied = long.unionByName(long.where(F.col("target_ts") == at("2024-07-01 03:00:00")))
-    bronze.land_complete_forecast(copied, f"{tmp_path}/f", dt.date(2024, 7, 1), dt.date(2024, 7, 10), CFG)
+    withheld = bronze.land_complete_forecast(copied, f"{tmp_path}/f", dt.date(2024, 7, 1), dt.date(2024, 7, 10), CFG)
+    assert [tuple(r) for r in withheld.collect()] == [(at("2024-07-01"), 191)]
     days = {os.path.basename(p) for p in glob.glob(f"{tmp_path}/f/issue_date=*")}
     assert days == {"issue_date=2024-07-02", "issue_date=2024-07-03"}
 
 
+def test_a_gap_in_one_series_withholds_that_series_alone(spark, tmp_path):
+    cfg = PitConfig(series=("meter",))
+    two = F.explode(F.array(F.lit("a"), F.lit("b")))
+    long = long_frame(spark, "2024-07-01", 10).withColumn("meter", two)
+    gap = (F.col("meter") == "a") & (F.col("target_ts") == at("2024-07-02 03:00:00")) & (F.col("N") == 1)
+    withheld = bronze.land_complete_forecast(long.where(~gap), f"{tmp_path}/f", dt.date(2024, 7, 1), dt.date(2024, 7, 10), cfg)
+    assert [tuple(r) for r in withheld.collect()] == [("a", at("2024-07-01"), 191)]
+    rows = staging.records(bronze.read_forecast(spark, f"{tmp_path}/f", cfg))
+    counts = {(r["meter"], r["issue_ts"][:10]): r["n"] for r in rows.groupBy("meter", "issue_ts").agg(F.count("*").alias("n")).collect()}
+    assert counts == {(m, f"2024-07-0{d}"): 192 for m in "ab" for d in (1, 2, 3) if (m, d) != ("a", 1)}
+
+
+def test_a_live_run_replaces_its_own_records_only(spark, tmp_path):
+    path = f"{tmp_path}/f"
+    long = long_frame(spark, "2024-07-01", 10)
+    bronze.land_complete_forecast(long, path, dt.date(2024, 7, 1), dt.date(2024, 7, 10), CFG)
+    wide = spark.createDataFrame([(t, 99.0) for t in hours("2024-07-02", 48)], "date timestamp_ntz, temperature_2m double")
+    for _ in range(2):
+        ingest.ingest_live(wide, path, dt.date(2024, 7, 2), CFG, ["temperature_2m"])
+    rows = landed(spark, path)
+    assert rows.count() == 3 * 192
+    assert rows.where("value = 99.0").count() == 48
+    assert rows.where("value = 99.0 and N is null").count() == 48
+    staged = staging.stage_forecast(bronze.read_forecast(spark, path, CFG), CFG)
+    assert staged.count() == 3 * 192 and staged.where("temperature_2m = 99.0").agg(F.max("lead_days")).first()[0] == 1
+
+
+def test_windows_land_every_date_but_the_last(spark, tmp_path):
+    wide = spark.createDataFrame(
+        [(t, *[float(n) for n in range(8)]) for t in hours("2024-07-01", 24 * 40)],
+        "date timestamp_ntz, " + ", ".join(f"{n} double" for n in reshape.variable_names("temperature_2m", 7)),
+    )
+    span = spark.createDataFrame([(dt.date(2024, 7, 1), dt.date(2024, 8, 9))], "start_date date, end_date date")
+    withheld = ingest.ingest_windows(wide, f"{tmp_path}/f", span, 12, CFG, "temperature_2m")
+    assert sum(w.count() for w in withheld) == 0
+    assert len(glob.glob(f"{tmp_path}/f/issue_date=*")) == 33 and landed(spark, f"{tmp_path}/f").count() == 33 * 192
+
+
+def test_an_empty_required_value_stops_a_landing(spark, tmp_path):
+    wide = spark.createDataFrame([(t, None) for t in hours("2024-07-02", 2)], "date timestamp_ntz, temperature_2m double")
+    with pytest.raises(ValueError, match="missing value: 2"):
+        ingest.ingest_live(wide, f"{tmp_path}/f", dt.date(2024, 7, 2), CFG, ["temperature_2m"])
+    assert not os.path.exists(f"{tmp_path}/f")
+
+
+def test_a_bounded_read_touches_its_own_days_only(spark, tmp_path):
+    for day in ("2024-07-01", "2024-07-03"):
+        row = demand_row(f"{day}T00:00:00Z", 1, 1)
+        write(f"{tmp_path}/settlement_date={day}/demand.json", json.dumps({"data": [row]}))
+    write(f"{tmp_path}/settlement_date=2024-07-05/demand.json", '{"data":[{"startTime":"2024-0')
+    read = lambda lo, hi: bronze.read_demand(spark, str(tmp_path), CFG, dt.date(2024, 7, lo), dt.date(2024, 7, hi))
+    assert read(1, 4).count() == 2 and read(2, 2).count() == 0 and read(3, 3).first()["settlement_date"] == dt.date(2024, 7, 3)
+    assert len(read(1, 4).inputFiles()) == 2
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+        read(4, 5).collect()
+
+
 def test_leads_from_names(spark):
     names = ["temperature_2m", "temperature_2m_previous_day7", "x_previous_day12"]
     rows = spark.createDataFrame([(n,) for n in names], "v string")
@@ -147,13 +206,13 @@ def test_time_axis_is_right_open(spark):
 def session(master, **conf):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: conf.get("folder", default)),
-        sparkContext=SimpleNamespace(master=master),
+        sparkContext=SimpleNamespace(master=master, applicationId="run"),
     )
 
 
 def test_shared_folder_comes_from_the_session():
     cluster = session("yarn", folder="/shared/place/")
-    assert storage.scratch_path(cluster, "x").startswith("/shared/place/leadgrid/x-")
+    assert storage.scratch_path(cluster, "x").startswith("/shared/place/leadgrid/run/x-")
 
 
 def test_only_a_local_session_may_use_a_folder_of_its_own():
@@ -167,6 +226,9 @@ def test_tables_by_layer(spark):
     assert storage.as_table(frame, "demand_features").count() == 3
     assert spark.table("gold.demand_features").count() == 3
     assert storage.as_table(spark.range(2), "demand_features").count() == 2
+    view = storage.as_view(spark.range(4), "demand", "silver_a")
+    other = storage.as_view(spark.range(5), "demand", "silver_b")
+    assert (view.count(), other.count(), storage.load(spark, "demand", "silver_a").count()) == (4, 5, 4)
     assert table_name("demand_hourly") == "silver.demand_hourly"
     assert table_name("demand_hourly", "scratch") == "scratch.demand_hourly"
 

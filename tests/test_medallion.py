@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def landed(spark, spoil=lambda envelopes: envelopes):
     inputs = queries.by_priority(spark, SF_DIR)
     paths = medallion.BronzePaths(*(scratch_path(spark, f"test-{n}") for n in "dfh"))
-    bronze.land(spoil(standins.demand_envelopes(inputs.demand)), paths.demand, bronze.DEMAND_KEY)
+    bronze.land(spoil(bronze.demand_envelopes(inputs.demand, DAILY)), paths.demand, bronze.DEMAND_KEY)
     bronze.land(bronze.forecast_envelopes(inputs.long), paths.forecast, bronze.FORECAST_KEY)
     bronze.land_reference(standins.holiday_feed(inputs.demand), paths.holidays)
     return paths
