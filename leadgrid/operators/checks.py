@@ -16,6 +16,7 @@ from leadgrid.operators.lookups import over_hours
 # Plausible air temperature in degrees Celsius.
 TEMPERATURE_RANGE = (-30, 50)
 
+# Keys that the feeds must have.
 DEMAND_REQUIRED = ("settlementDate", "settlementPeriod", "initialDemandOutturn")
 FORECAST_REQUIRED = ("target_ts", "issue_ts", "value")
 HOLIDAY_REQUIRED = ("title", "date")
@@ -71,12 +72,13 @@ def grain_and_row_counts(
 def sequence_breaks(hourly: DataFrame, cfg: PitConfig) -> DataFrame:
     """Hours that do not follow their series' previous hour.
 
-    Such an hour has no row one hour before it and is not the series' first.
+    Such an hour has no row one hour before it and is not the series' first,
+    which is the first of those without a row before them.
     """
     key = [*cfg.series, "target_hour"]
     seen = over_hours(hourly.select(*key), cfg.series, {"_before": (F.count("*"), 1, 1)})
     starts = seen.where(F.col("_before") == 0).select(*key)
-    first = hourly.groupBy(*cfg.series).agg(F.min("target_hour").alias("target_hour"))
+    first = starts.groupBy(*cfg.series).agg(F.min("target_hour").alias("target_hour"))
     return starts.join(first, key, "left_anti")
 
 

@@ -62,8 +62,9 @@ def with_slices(rows: DataFrame) -> DataFrame:
 SLICES = ("is_holiday", "temp_band", "month", "hour", "day")
 
 
-def error_by_slices(rows: DataFrame, prediction: str = MODEL, keys=SLICES) -> DataFrame:
-    """All slices at once: (slice, value, measures...) from one pass.
+def slice_measures(rows: DataFrame, prediction: str = MODEL, keys=SLICES) -> DataFrame:
+    """All slices at once: (slice, value, measures...) from one pass; rows that
+    a slice has no value for are under a null value.
 
     Each row counts once per slice, combined map-side, so only one partial
     result per slice value and task is shuffled.
@@ -72,15 +73,18 @@ def error_by_slices(rows: DataFrame, prediction: str = MODEL, keys=SLICES) -> Da
         F.struct(F.lit(key).alias("slice"), F.col(key).cast("string").alias("value")) for key in keys
     ]
     long = rows.select(ACTUAL, prediction, F.inline(F.array(*pairs)))
-    known = long.where(F.col("value").isNotNull())
-    return known.groupBy("slice", "value").agg(*_measures(prediction), _signed_error(prediction))
+    return long.groupBy("slice", "value").agg(*_measures(prediction), _signed_error(prediction))
+
+
+def error_by_slices(rows: DataFrame, prediction: str = MODEL, keys=SLICES) -> DataFrame:
+    """``slice_measures`` of the values there are."""
+    return slice_measures(rows, prediction, keys).where(F.col("value").isNotNull())
 
 
-def slice_totals(rows: DataFrame, slices: DataFrame) -> DataFrame:
-    """Rows covered by each slice next to the rows there are."""
-    total = rows.agg(F.count("*").alias("n_rows")).first()["n_rows"]
-    covered = slices.groupBy("slice").agg(F.sum("n").alias("n_sliced"))
-    return covered.withColumn("n_rows", F.lit(total).cast("bigint"))
+def slice_totals(measured: DataFrame) -> DataFrame:
+    """Rows that each slice of ``slice_measures`` covers next to all its rows."""
+    known = F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
+    return measured.groupBy("slice").agg(known.alias("n_sliced"), F.sum("n").alias("n_rows"))
 
 
 def compare_scores(

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,9 +55,12 @@ def overlapping_windows(spans: DataFrame, days: int, max_lead: int) -> DataFrame
 
 
 class Fold(NamedTuple):
-    train_end: dt.date  # exclusive
-    test_start: dt.date  # inclusive
-    test_end: dt.date  # exclusive
+    """Training uses days before ``train_end``; the test side is the days from
+    ``test_start`` up to, but not on, ``test_end``. Field names are fixed values."""
+
+    train_end: dt.date
+    test_start: dt.date
+    test_end: dt.date
 
 
 def folds(spans: DataFrame, max_lead: int) -> DataFrame:
@@ -85,10 +88,23 @@ def folds(spans: DataFrame, max_lead: int) -> DataFrame:
     )
 
 
-def fold_violations(fold_rows: DataFrame, max_lead: int, end: dt.date) -> DataFrame:
-    """Folds that train into the purge or test past the end."""
-    purge = F.col("train_end") > F.date_sub("test_start", max_lead)
-    return fold_rows.where(purge | (F.col("test_end") > F.lit(end)))
+def fold_faults(
+    fold_rows: DataFrame, membership: DataFrame, max_lead: int, end: dt.date | Column
+) -> DataFrame:
+    """(train_end, test_start, test_end, fault), a row for each fault of a fold:
+    training into the purge, testing past the end, an empty side, or training
+    data not before the test data."""
+    keys = list(Fold._fields)
+    end = end if isinstance(end, Column) else F.lit(end)
+    faults = {
+        "purge": F.col("train_end") > F.date_sub("test_start", max_lead),
+        "end": F.col("test_end") > end,
+        "empty train": F.coalesce("n_train", F.lit(0)) == 0,
+        "empty test": F.coalesce("n_test", F.lit(0)) == 0,
+        "overlap": F.col("last_train") >= F.col("first_test"),
+    }
+    found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in faults.items()]))
+    return fold_rows.join(membership, keys, "left").select(*keys, F.explode(found).alias("fault"))
 
 
 def collect_folds(fold_rows: DataFrame) -> list[Fold]:
@@ -96,8 +112,9 @@ def collect_folds(fold_rows: DataFrame) -> list[Fold]:
     return [Fold(*row) for row in fold_rows.orderBy("test_start").collect()]
 
 
-def fold_membership(rows: DataFrame, fold_list: list[Fold]) -> DataFrame:
-    """Size and time bounds of the train and test side of every fold.
+def fold_membership(rows: DataFrame, fold_list: list[Fold], train_start: dt.date | None = None) -> DataFrame:
+    """Size and time bounds of the train and test side of every fold; training
+    begins at ``train_start``, if given.
 
     Rows are first counted per day; a day then goes to the folds whose sides
     contain it, so the expanding training windows never multiply the rows.
@@ -110,6 +127,8 @@ def fold_membership(rows: DataFrame, fold_list: list[Fold]) -> DataFrame:
         *[F.struct(*[F.lit(v).alias(n) for n, v in f._asdict().items()]) for f in fold_list]
     )
     train = F.col("_day") < F.col("train_end")
+    if train_start is not None:
+        train = train & (F.col("_day") >= F.lit(train_start))
     test = (F.col("_day") >= F.col("test_start")) & (F.col("_day") < F.col("test_end"))
     return (
         days.select("*", F.inline(every))

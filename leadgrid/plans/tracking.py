@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from leadgrid.config import PitConfig
 from leadgrid.functions.temporal import ntz, trunc_hour
 from leadgrid.operators.lookups import over_hours
-from leadgrid.operators.scoring import ACTUAL, MODEL, score_by_lead
-from leadgrid.plans.walk_forward import predicted, training_frame
+from leadgrid.functions.measures import rmse
+from leadgrid.operators.scoring import ACTUAL, MODEL
+from leadgrid.plans.walk_forward import between, encoded_frame, predicted
 
 
 def rolling_known_past(rows: DataFrame, hourly: DataFrame, cfg: PitConfig, hours: int) -> DataFrame:
@@ -34,10 +35,16 @@ def batch_forecast(
 ) -> DataFrame:
     """Predictions for the targets forecast on ``run_date``, stamped with it."""
     issued = rows.where(F.col("issue_ts") == ntz(run_date))
-    scored = predicted(model, training_frame(issued, cfg), cfg)
+    scored = predicted(model, encoded_frame(issued, cfg), cfg)
     return scored.withColumn("issue_date", F.lit(run_date))
 
 
+def published(rows: DataFrame, run_date: dt.date, cfg: PitConfig) -> DataFrame:
+    """Rows whose label was published when ``run_date`` began."""
+    last = dt.datetime.combine(run_date, dt.time()) - dt.timedelta(hours=cfg.publication_lag_hours)
+    return between(rows, None, last)
+
+
 def store_forecasts(forecasts: DataFrame, path: str) -> None:
     """Replace the run's own partition and leave other runs alone."""
     (
@@ -79,20 +86,30 @@ def accuracy_over_time(tracked: DataFrame, prediction: str, days: int) -> DataFr
 
 
 def promotion(
-    champion: DataFrame, challenger: DataFrame, since: dt.date, prediction: str = MODEL
+    champion: DataFrame, challenger: DataFrame, since: dt.date, cfg: PitConfig, prediction: str = MODEL
 ) -> DataFrame:
-    """Per lead, whether the challenger has the lower recent error."""
+    """Per lead, whether the challenger has the lower recent error.
+
+    Both are scored on the rows that both have predicted. A lead without such
+    rows is kept, without errors, and nothing is promoted there.
+    """
+    key = cfg.grain
     recent = [
-        score_by_lead(rows.where(F.col("target_ts") >= ntz(since)), prediction).select(
-            "lead_days", F.col("rmse").alias(name)
-        )
-        for rows, name in ((champion, "rmse_champion"), (challenger, "rmse_challenger"))
+        rows.where(F.col("target_ts") >= ntz(since)).select(*key, F.col(ACTUAL).alias(f"_{n}"), F.col(prediction).alias(n))
+        for rows, n in ((champion, "champion"), (challenger, "challenger"))
     ]
-    both = recent[0].join(recent[1], "lead_days")
-    return both.withColumn("promote", F.col("rmse_challenger") < F.col("rmse_champion"))
+    both = recent[0].join(recent[1], key, "full")
+    shared = F.col("champion").isNotNull() & F.col("challenger").isNotNull()
+    actual = F.coalesce("_champion", "_challenger")
+    errors = {
+        f"rmse_{n}": rmse(F.when(shared, actual), F.when(shared, F.col(n))) for n in ("champion", "challenger")
+    }
+    scored = both.groupBy("lead_days").agg(*[e.alias(n) for n, e in errors.items()])
+    better = F.col("rmse_challenger") < F.col("rmse_champion")
+    return scored.withColumn("promote", F.coalesce(better, F.lit(False)))
 
 
 __all__ = [
-    "accuracy_over_time", "batch_forecast", "promotion", "rolling_known_past",
+    "accuracy_over_time", "batch_forecast", "promotion", "published", "rolling_known_past",
     "store_forecasts", "with_actuals",
 ]

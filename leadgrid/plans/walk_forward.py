@@ -45,6 +45,7 @@ TARGET = "demand_mw"
 NOMINAL = {"hour": range(24), "day": range(1, 8)}
 NULLABLE = ("temperature_2m", "heating_degrees", "cooling_degrees", "lag_7d", "lag_14d")
 
+# What a stored prediction carries.
 PREDICTION_COLUMNS = (
     "lead_days", "demand_mw", "target_ts", MODEL, BASELINE, "is_holiday", "temperature_2m",
     "hour", "day",
@@ -91,12 +92,16 @@ def input_columns(features: Iterable[str]) -> list[str]:
     return [c for f in features for c in [f"x_{f}", *([f"x_{f}_missing"] if f in NULLABLE else [])]]
 
 
-def training_frame(mart: DataFrame, cfg: PitConfig) -> DataFrame:
-    """The mart with its baseline and encoded model inputs, stored once for
-    all folds to read."""
+def encoded_frame(mart: DataFrame, cfg: PitConfig) -> DataFrame:
+    """The mart with its baseline and encoded model inputs."""
     inputs = [c for f in FEATURES for c in _encoded(f)]
     keep = [*cfg.series, *(c for c in PREDICTION_COLUMNS if c != MODEL)]
-    return stored(with_baseline(mart, cfg).select(*keep, *inputs), "training")
+    return with_baseline(mart, cfg).select(*keep, *inputs)
+
+
+def training_frame(mart: DataFrame, cfg: PitConfig) -> DataFrame:
+    """``encoded_frame``, stored once for all folds to read."""
+    return stored(encoded_frame(mart, cfg), "training")
 
 
 def estimator(features: Iterable[str], params: TreeParams) -> Pipeline:
@@ -110,7 +115,7 @@ def estimator(features: Iterable[str], params: TreeParams) -> Pipeline:
     return Pipeline(stages=[assembler, trees])
 
 
-def between(rows: DataFrame, lo: dt.date | None, hi: dt.date) -> DataFrame:
+def between(rows: DataFrame, lo: dt.date | None, hi: dt.date | dt.datetime) -> DataFrame:
     """Half-open range ``[lo, hi)`` of target times."""
     rows = rows.where(F.col("target_ts") < ntz(hi))
     return rows if lo is None else rows.where(F.col("target_ts") >= ntz(lo))
@@ -124,8 +129,8 @@ def predicted(model: PipelineModel, rows: DataFrame, cfg: PitConfig) -> DataFram
     return model.transform(rows).select(*cfg.series, *PREDICTION_COLUMNS)
 
 
-def check_folds(frame: DataFrame, folds: list[Fold]) -> None:
-    bad = membership_violations(fold_membership(frame, folds)).collect()
+def check_folds(frame: DataFrame, folds: list[Fold], train_start: dt.date | None = None) -> None:
+    bad = membership_violations(fold_membership(frame, folds, train_start)).collect()
     if bad:
         raise ValueError(f"folds with an empty or overlapping side: {bad}")
 
@@ -138,14 +143,17 @@ def walk_forward(
     params: TreeParams = PARAMS,
     train_start: dt.date | None = None,
     parallelism: int = 1,
+    checked: bool = False,
 ) -> DataFrame:
     """Out-of-sample predictions of every fold, in one table.
 
     Each fold trains on ``[train_start, train_end)`` and predicts
     ``[test_start, test_end)``. ``parallelism`` fits run at a time. Predictions
-    are stored, so scoring them does not evaluate the models again.
+    are stored, so scoring them does not evaluate the models again. Folds are
+    checked first, in a pass over the frame, unless they are ``checked``.
     """
-    check_folds(frame, folds)
+    if not checked:
+        check_folds(frame, folds, train_start)
     features = tuple(features)
 
     def run(fold: Fold) -> DataFrame:
@@ -158,8 +166,13 @@ def walk_forward(
     return stored(reduce(DataFrame.unionByName, parts), "predictions")
 
 
-def ablation(frame: DataFrame, folds: list[Fold], cfg: PitConfig, params=PARAMS, **how) -> DataFrame:
+def ablation(
+    frame: DataFrame, folds: list[Fold], cfg: PitConfig, params=PARAMS, checked: bool = False, **how
+) -> DataFrame:
     """Scores per lead with all features and without weather, on the same rows."""
+    if not checked:
+        check_folds(frame, folds, how.get("train_start"))
+    how["checked"] = True
     full, without = (
         score_by_lead(with_legal_anchor(walk_forward(frame, folds, cfg, names, params, **how)), MODEL)
         for names in (FEATURES, NON_WEATHER_FEATURES)
@@ -171,8 +184,9 @@ def seed_sweep(
     frame: DataFrame, folds: list[Fold], cfg: PitConfig, seeds=(42, 0, 1, 2, 3), params=BAGGED, **how
 ) -> DataFrame:
     """The ablation once per seed, bagged: its spread is the noise floor."""
+    check_folds(frame, folds, how.get("train_start"))
     runs = [
-        ablation(frame, folds, cfg, replace(params, seed=seed), **how).withColumn("seed", F.lit(seed))
+        ablation(frame, folds, cfg, replace(params, seed=seed), True, **how).withColumn("seed", F.lit(seed))
         for seed in seeds
     ]
     return reduce(DataFrame.unionByName, runs)

@@ -140,5 +140,5 @@ def test_promotion(spark):
     recent, old = dt.datetime(2024, 2, 1), dt.datetime(2023, 1, 1)
     champion = spark.createDataFrame([(recent, 0, 10.0, 12.0), (recent, 1, 10.0, 11.0), (old, 0, 10.0, 10.0)], schema)
     challenger = spark.createDataFrame([(recent, 0, 10.0, 11.0), (recent, 1, 10.0, 11.0), (old, 0, 10.0, 99.0)], schema)
-    got = {r["lead_days"]: r["promote"] for r in tracking.promotion(champion, challenger, dt.date(2024, 1, 1)).collect()}
+    got = {r["lead_days"]: r["promote"] for r in tracking.promotion(champion, challenger, dt.date(2024, 1, 1), CFG).collect()}
     assert got == {0: True, 1: False}

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from leadgrid.operators import tiling
 
@@ -64,8 +65,15 @@ def test_default_folds(spark):
     assert got[0] == (D(2025, 6, 24), D(2025, 7, 1), D(2025, 8, 1))
     assert all(a.test_end == b.test_start for a, b in zip(got, got[1:]))
     assert got[-1].test_end == D(2026, 7, 1)
-    assert tiling.fold_violations(table, 7, end).count() == 0
-    assert tiling.fold_violations(table, 8, end).count() == 12
+    members = table.select(
+        "*", F.lit(1).alias("n_train"), F.lit(1).alias("n_test"),
+        F.col("train_end").alias("last_train"), F.col("test_start").alias("first_test"),
+    )
+    assert tiling.fold_faults(table, members, 7, end).count() == 0
+    assert {r["fault"] for r in tiling.fold_faults(table, members, 8, end).collect()} == {"purge"}
+    assert tiling.fold_faults(table, members, 8, end).count() == 12
+    none = tiling.fold_faults(table, members.limit(0), 7, end)
+    assert {r["fault"] for r in none.collect()} == {"empty train", "empty test"} and none.count() == 24
 
 
 def test_folds_from_the_end_of_a_month(spark):
