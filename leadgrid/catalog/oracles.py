@@ -191,6 +191,13 @@ _MART_CHECKS = [
     ("demand_features grain unique", _copies("mart", "series_id, target_ts, lead_days")),
 ]
 
+_GAP = "AND NOT (series_id = 'error' AND lead_days = 3 AND hour(target_ts) = 10 AND day(target_ts) % 5 = 0)"
+_PER_SERIES = """, per_series AS (
+  SELECT issue_ts, series_id, count(*) AS n FROM fc
+  WHERE issue_ts >= (SELECT min(CAST(start_time AS DATE)) FROM demand)
+    AND issue_ts <= (SELECT max(CAST(start_time AS DATE)) - 7 FROM demand) {but} GROUP BY 1, 2)
+"""
+
 ORACLES: dict[str, str] = {
     "demand_halfhourly": _inputs("event") + f"SELECT {_DEMAND_COLUMNS} FROM staged",
     "demand_hourly": _inputs("event")
@@ -265,12 +272,30 @@ SELECT window_start, window_end, window_end - 7 AS writable_end,
 FROM w""",
     "rows_per_issue": _inputs("event") + "SELECT series_id, issue_ts, count(*) AS n FROM fc GROUP BY 1, 2",
     "complete_partitions": _inputs("event")
-    + """, per_series AS (
-  SELECT issue_ts, series_id, count(*) AS n FROM fc
-  WHERE issue_ts >= (SELECT min(CAST(start_time AS DATE)) FROM demand)
-    AND issue_ts <= (SELECT max(CAST(start_time AS DATE)) - 7 FROM demand) GROUP BY 1, 2)
-SELECT CAST(issue_ts AS DATE) AS issue_date, CAST(sum(n) AS BIGINT) AS n
-FROM per_series GROUP BY 1 HAVING min(n) = 192""",
+    + _PER_SERIES.format(but=_GAP)
+    + """SELECT CAST(issue_ts AS DATE) AS issue_date, CAST(sum(n) AS BIGINT) AS n
+FROM per_series WHERE n = 192 GROUP BY 1""",
+    "withheld_partitions": _inputs("event")
+    + _PER_SERIES.format(but=_GAP)
+    + "SELECT series_id, issue_ts, n FROM per_series WHERE n <> 192",
+    "ingest_windows": _inputs("event")
+    + _PER_SERIES.format(but="")
+    + """SELECT CAST(issue_ts AS DATE) AS issue_date, CAST(sum(n) AS BIGINT) AS n
+FROM per_series WHERE n = 192 GROUP BY 1""",
+    "live_over_backfill": _inputs("event")
+    + _PER_SERIES.format(but="")
+    + """, landed AS (
+  SELECT fc.* FROM fc JOIN per_series p USING (series_id, issue_ts) WHERE p.n = 192),
+run AS (SELECT max(CAST(start_time AS DATE)) - 7 AS run FROM demand),
+live AS (
+  SELECT series_id, target_ts, CAST(run AS TIMESTAMP) AS issue_ts,
+         CAST(date_diff('day', run, CAST(target_ts AS DATE)) AS INTEGER) AS lead_days,
+         temperature_2m + 100 AS temperature_2m
+  FROM fc, run WHERE lead_days = 0 AND CAST(target_ts AS DATE) BETWEEN run AND run + 2)
+SELECT series_id, target_ts, issue_ts, lead_days, temperature_2m
+FROM landed l WHERE NOT EXISTS (
+  SELECT 1 FROM live v WHERE (v.series_id, v.target_ts, v.issue_ts) = (l.series_id, l.target_ts, l.issue_ts))
+UNION ALL SELECT * FROM live""",
     "mart_label": _inputs("event") + f"SELECT {_FORECAST_COLUMNS}, demand_mw FROM joined",
     "mart_cutoff_lag": _inputs("event")
     + f"SELECT {_FORECAST_COLUMNS}, cutoff, demand_lag_mw, demand_lag_ts FROM joined",
@@ -289,6 +314,10 @@ FROM per_series GROUP BY 1 HAVING min(n) = 192""",
              "span AS (\n  SELECT s.series_id, min(h.target_hour) AS lo, max(h.target_hour) AS hi\n"
              "  FROM hourly h CROSS JOIN (SELECT DISTINCT series_id FROM hourly) s GROUP BY 1)")
     + "SELECT * FROM mart",
+    "mart_all_leads": _inputs("event")
+    .replace("unnest(range(8))", "unnest(range(-1, 16))")
+    .replace("lead_days * 13", "greatest(lead_days, 0) * 13")
+    + "SELECT * FROM mart",
     "mart_summary": _inputs("event")
     + """SELECT lead_days, count(*) AS n, sum(demand_lag_mw) AS sum_demand_lag_mw,
   round(sum(temperature_2m), 4) AS sum_temperature_2m, count(lag_7d) AS n_lag_7d, count(lag_14d) AS n_lag_14d
@@ -390,6 +419,42 @@ WINDOW w AS (PARTITION BY lead_days ORDER BY target_date
 errors AS (
   SELECT lead_days, sqrt(avg((demand_mw - baseline_prediction) * (demand_mw - baseline_prediction))) AS a,
          sqrt(avg((demand_mw - demand_lag_mw) * (demand_mw - demand_lag_mw))) AS b
-  FROM recent GROUP BY 1)
-SELECT lead_days, round(a, 4) AS rmse_champion, round(b, 4) AS rmse_challenger, b < a AS promote FROM errors""",
+  FROM recent WHERE lead_days < 6 GROUP BY 1
+  UNION ALL SELECT DISTINCT lead_days, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM recent WHERE lead_days >= 6)
+SELECT lead_days, round(a, 4) AS rmse_champion, round(b, 4) AS rmse_challenger, coalesce(b < a, false) AS promote FROM errors""",
+    "fold_checks": _inputs("order")
+    + ", "
+    + _HOLDOUT
+    + """, listed AS (
+  SELECT train_end, test_start, test_end FROM folds
+  UNION ALL SELECT start_date, start_date, start_date + 28 FROM holdout
+  UNION ALL SELECT end_date - 7, end_date, end_date + 28 FROM holdout
+  UNION ALL SELECT DATE '1900-01-01', DATE '1900-02-01', DATE '1900-03-01'),
+counted AS (
+  SELECT train_end, test_start, test_end, count(*) FILTER (WHERE target_ts < train_end) AS n_train,
+         count(*) FILTER (WHERE target_ts >= test_start AND target_ts < test_end) AS n_test,
+         max(target_ts) FILTER (WHERE target_ts < train_end) AS last_train,
+         min(target_ts) FILTER (WHERE target_ts >= test_start AND target_ts < test_end) AS first_test
+  FROM listed CROSS JOIN mart GROUP BY 1, 2, 3)
+SELECT train_end, test_start, test_end, fault FROM (
+  SELECT train_end, test_start, test_end, unnest([
+    CASE WHEN train_end > test_start - 7 THEN 'purge' END,
+    CASE WHEN test_end > (SELECT end_date FROM holdout) THEN 'end' END,
+    CASE WHEN n_train = 0 THEN 'empty train' END, CASE WHEN n_test = 0 THEN 'empty test' END,
+    CASE WHEN last_train >= first_test THEN 'overlap' END]) AS fault FROM counted)
+WHERE fault IS NOT NULL""",
+    "walk_forward_rows": _inputs("order")
+    + ", "
+    + _HOLDOUT
+    + """SELECT series_id, target_ts, lead_days, demand_mw, baseline_prediction FROM based
+WHERE EXISTS (SELECT 1 FROM folds WHERE target_ts >= test_start AND target_ts < test_end)""",
+    "ablation_rows": _inputs("order")
+    + ", "
+    + _HOLDOUT
+    + """SELECT lead_days, count(*) AS n_full, count(*) AS n_ablated, avg(demand_mw) AS mean_demand_full,
+  avg(demand_mw) AS mean_demand_ablated FROM scored
+WHERE EXISTS (SELECT 1 FROM folds WHERE target_ts >= test_start AND target_ts < test_end) GROUP BY 1""",
+    "serving_features": _inputs("order")
+    + f"""SELECT {_MART_COLUMNS} FROM joined WHERE demand_lag_mw IS NOT NULL
+  AND issue_ts = (SELECT CAST(CAST(max(o_orderdate) AS DATE) - 7 AS TIMESTAMP) FROM orders)""",
 }
