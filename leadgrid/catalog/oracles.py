@@ -191,6 +191,12 @@ _MART_CHECKS = [
     ("demand_features grain unique", _copies("mart", "series_id, target_ts, lead_days")),
 ]
 
+def _on(bad: str, relation: str, checks: list[tuple[str, str]]) -> str:
+    """Checks of a relation made on a spoilt one."""
+    moved = [(name, sql.replace(f"FROM {relation} ", "FROM bad ")) for name, sql in checks]
+    return f", bad AS ({bad})\n" + _checks(*moved)
+
+
 _GAP = "AND NOT (series_id = 'error' AND lead_days = 3 AND hour(target_ts) = 10 AND day(target_ts) % 5 = 0)"
 _PER_SERIES = """, per_series AS (
   SELECT issue_ts, series_id, count(*) AS n FROM fc
@@ -232,14 +238,14 @@ ORACLES: dict[str, str] = {
     "check_payload": _inputs("event")
     + _checks(
         ("demand no payload", "0"),
-        ("demand no data key", "0"),
-        ("demand empty data", "0"),
+        ("demand no data key", _rows("demand", "day(start_time) = 2")),
+        ("demand empty data", _rows("demand", "day(start_time) = 3")),
         ("demand missing settlementDate", "0"),
         ("demand missing settlementPeriod", _rows("demand", "series_id = 'error'")),
         ("demand missing initialDemandOutturn", _rows("demand", "outturn > 10000")),
         ("forecast empty", "0"),
-        ("forecast missing target_ts", "0"),
-        ("forecast missing issue_ts", "0"),
+        ("forecast missing target_ts", _rows("fc", "hour(target_ts) = 3 AND lead_days = 1")),
+        ("forecast missing issue_ts", _rows("fc", "hour(target_ts) = 4 AND lead_days = 2")),
         ("forecast missing value", _rows("fc", "temperature_2m <= 0")),
         ("holidays missing division", "0"),
         ("holidays no payload", "0"),
@@ -348,6 +354,51 @@ FROM cut c LEFT JOIN rolled r ON r.series_id = c.series_id AND r.target_hour = d
     "check_mart": _inputs("event") + _checks(*_MART_CHECKS),
     "check_all_layers": _inputs("event")
     + _checks(*_DEMAND_CHECKS, *_HOURLY_CHECKS, *_FORECAST_CHECKS, *_HOLIDAY_CHECKS, *_MART_CHECKS),
+    "check_demand_faults": _inputs("event")
+    + _on(
+        """SELECT series_id, start_time, CASE WHEN hour(start_time) = 5 AND day(start_time) = 2 THEN NULL
+  WHEN hour(start_time) = 3 THEN -outturn ELSE outturn END AS outturn FROM demand
+UNION ALL SELECT series_id, start_time, outturn FROM demand WHERE day(start_time) = 3""",
+        "demand",
+        _DEMAND_CHECKS,
+    ),
+    "check_hourly_faults": _inputs("event")
+    + """, bad AS (SELECT series_id, target_hour FROM hourly WHERE hour(target_hour) <> 7
+  UNION ALL SELECT series_id, target_hour FROM hourly WHERE hour(target_hour) = 9
+  UNION ALL SELECT series_id, NULL FROM hourly WHERE hour(target_hour) = 8),
+"""
+    + "known AS (SELECT DISTINCT series_id, target_hour FROM bad WHERE target_hour IS NOT NULL)\n"
+    + _checks(
+        ("demand_hourly.target_hour not null", _rows("bad", "target_hour IS NULL")),
+        ("demand_hourly.target_hour unique", _copies("(SELECT * FROM bad WHERE target_hour IS NOT NULL)", "series_id, target_hour")),
+        (
+            "demand_hourly.target_hour sequential",
+            """SELECT count(*) FROM bad b WHERE target_hour > (SELECT min(target_hour) FROM known k WHERE k.series_id = b.series_id)
+  AND NOT EXISTS (SELECT 1 FROM known k WHERE k.series_id = b.series_id AND k.target_hour = b.target_hour - INTERVAL 1 HOUR)""",
+        ),
+    ),
+    "check_forecast_faults": _inputs("event")
+    + _on(
+        """SELECT * REPLACE (temperature_2m + CASE WHEN lead_days = 3 AND hour(target_ts) = 10 THEN 100 ELSE 0 END AS temperature_2m) FROM fc
+UNION ALL SELECT * FROM fc WHERE lead_days = 2""",
+        "fc",
+        _FORECAST_CHECKS,
+    ),
+    "check_holiday_faults": _inputs("order")
+    + _on("SELECT * FROM holidays UNION ALL SELECT * FROM holidays WHERE division = 'scotland'", "holidays", _HOLIDAY_CHECKS),
+    "check_mart_faults": _inputs("event")
+    + _on(
+        """SELECT * REPLACE (
+  CASE WHEN NOT (lead_days = 0 AND hour(target_ts) = 4) THEN demand_mw END AS demand_mw,
+  CASE WHEN NOT (lead_days = 5 AND hour(target_ts) = 6) THEN is_holiday END AS is_holiday,
+  CASE WHEN NOT (lead_days = 2 AND hour(target_ts) = 4) THEN temperature_2m END AS temperature_2m,
+  CASE WHEN lead_days = 3 THEN 1 ELSE heating_degrees END AS heating_degrees,
+  CASE WHEN lead_days = 4 THEN target_ts ELSE demand_lag_ts END AS demand_lag_ts) FROM mart
+UNION ALL SELECT * FROM mart WHERE lead_days = 1""",
+        "mart",
+        _MART_CHECKS,
+    ),
+    "forecast_pivot_copies": _inputs("event") + f"SELECT {_FORECAST_COLUMNS} FROM fc",
     "check_leakage_mutated": _inputs("event")
     + f""", leaky AS (
   SELECT * REPLACE (demand_mw AS demand_lag_mw, target_ts AS demand_lag_ts) FROM mart)

@@ -265,8 +265,19 @@ def check_payload(spark, sf_dir):
         }
     )
     payload = bronze.demand_envelopes(faulty, HOURLY)
+    # envelopes without their key, and with nothing in them
+    keyless = payload.where(F.dayofmonth("settlement_date") == 2).withColumn("data", F.lit(None).cast(payload.schema["data"].dataType))
+    hollow = payload.where(F.dayofmonth("settlement_date") == 3).withColumn("data", F.slice("data", 1, 0))
+    payload = payload.unionByName(keyless).unionByName(hollow)
     long = by_event(spark, sf_dir).long
-    long = long.withColumn("value", F.when(F.col("value") > 0, F.col("value")))
+    hour = F.hour("target_ts")
+    long = long.withColumns(
+        {
+            "value": F.when(F.col("value") > 0, F.col("value")),
+            "target_ts": F.when((hour != 3) | (F.col("N") != 1), F.col("target_ts")),
+            "issue_ts": F.when((hour != 4) | (F.col("N") != 2), F.col("issue_ts")),
+        }
+    )
     feed = standins.holiday_feed(standins.order_demand(spark, sf_dir))
     results = [
         checks.payload_checks(payload, checks.DEMAND_REQUIRED, "demand"),
@@ -532,6 +543,65 @@ def check_mart(spark, sf_dir):
     return checks.mart_checks(by_event(spark, sf_dir).mart(), HOURLY)
 
 
+@query
+def check_demand_faults(spark, sf_dir):
+    """The same checks on demand with missing, negative and repeated outturns."""
+    demand = standins.event_demand(spark, sf_dir)
+    hour, day, outturn = F.hour("start_time"), F.dayofmonth("start_time"), F.col("initial_demand_outturn")
+    spoilt = F.when((hour == 5) & (day == 2), None).when(hour == 3, -outturn).otherwise(outturn)
+    bad = demand.withColumn("initial_demand_outturn", spoilt).unionByName(demand.where(day == 3))
+    return checks.demand_checks(bad, HOURLY)
+
+
+@query
+def check_hourly_faults(spark, sf_dir):
+    """Hours that are there twice, without a time, or missing."""
+    hourly = by_event(spark, sf_dir).hourly
+    at = F.col("target_hour")
+    kept = hourly.where(F.hour(at) != 7)
+    nameless = hourly.where(F.hour(at) == 8).withColumn("target_hour", F.lit(None).cast("timestamp_ntz"))
+    return checks.hourly_checks(kept.unionByName(hourly.where(F.hour(at) == 9)).unionByName(nameless), HOURLY)
+
+
+@query
+def check_forecast_faults(spark, sf_dir):
+    forecast = by_event(spark, sf_dir).forecast
+    hot = (F.col("lead_days") == 3) & (F.hour("target_ts") == 10)
+    bad = forecast.withColumn("temperature_2m", F.col("temperature_2m") + F.when(hot, 100).otherwise(0))
+    return checks.forecast_checks(bad.unionByName(forecast.where("lead_days = 2")), HOURLY)
+
+
+@query
+def check_holiday_faults(spark, sf_dir):
+    holidays = holidays_union(spark, sf_dir)
+    return checks.holiday_checks(holidays.unionByName(holidays.where("division = 'scotland'")))
+
+
+@query
+def check_mart_faults(spark, sf_dir):
+    """Nulls, swapped hinges, a lag read too late, and rows that are there twice."""
+    mart = by_event(spark, sf_dir).mart()
+    lead, hour = F.col("lead_days"), F.hour("target_ts")
+    bad = mart.withColumns(
+        {
+            "demand_mw": F.when((lead == 0) & (hour == 4), None).otherwise(F.col("demand_mw")),
+            "is_holiday": F.when((lead == 5) & (hour == 6), None).otherwise(F.col("is_holiday")),
+            "temperature_2m": F.when((lead == 2) & (hour == 4), None).otherwise(F.col("temperature_2m")),
+            "heating_degrees": F.when(lead == 3, 1.0).otherwise(F.col("heating_degrees")),
+            "demand_lag_ts": F.when(lead == 4, F.col("target_ts")).otherwise(F.col("demand_lag_ts")),
+        }
+    )
+    return checks.mart_checks(bad.unionByName(mart.where(lead == 1)), HOURLY)
+
+
+@query
+def forecast_pivot_copies(spark, sf_dir):
+    """Records that were landed twice, the second time with lower values."""
+    long = by_event(spark, sf_dir).long
+    lower = long.where(F.col("N") < 3).withColumn("value", F.col("value") - 5)
+    return staging.pivot_forecast(long.unionByName(lower), HOURLY)
+
+
 @query
 def check_leakage_mutated(spark, sf_dir):
     """The guard on a mart whose lag was read at the target itself."""
