@@ -19,7 +19,6 @@ Windows are compared by two 64-bit hashes, of the anchor and of the whole.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +39,25 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _VOCABULARY = 300_000
 
 
+class _Words(dict):
+    """Word hashes, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Hasher:
     """Hashes of runs of words, by prefix sums of word hashes times powers of a base, modulo 2**64."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
-        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.known = _Words()
         self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
     def words(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > _VOCABULARY:
             self.known.clear()
-            self.hashes = self.hashes[:0]
-        ids = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self.known) > len(self.hashes):
-            new = list(self.known)[len(self.hashes) :]
-            fresh = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
-            self.hashes = np.concatenate([self.hashes, fresh])
-        return self.hashes[ids]
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
         n = len(hashes)
