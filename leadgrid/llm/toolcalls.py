@@ -81,7 +81,8 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, list[tuple[str,
         joined = skew.join_groups(rows, stored(first, what), key, "size", how="left")
         return stored(joined.withColumn("is_first", F.coalesce(F.col("first.row") == F.col("row"), F.lit(False))).drop("first", "size", "row"), what)
 
-    calls, results = firsts(calls, "calls"), firsts(results, "results")
+    calls = firsts(calls.select(*key, "turn", "name", "arguments", "after"), "calls")
+    results = firsts(results.select(*key, "turn", "content"), "results")
     linkable = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
     depth = depths(calls.filter("is_first").select(*key, "after")).withColumn("is_first", F.lit(True))
     first_results = results.filter("is_first").select(*key, "is_first", F.col("turn").alias("result_turn"), "content")
