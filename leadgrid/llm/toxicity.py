@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadgrid.llm.text import text_bytes
+from leadgrid.llm.text import alnum_words, text_bytes
 
 #: labelled rows that the lexicon and the classifier learn from
 SAMPLE = 40_000
@@ -34,6 +34,8 @@ SAMPLE = 40_000
 TERMS = 2_000
 STEMS = (4, 5, 6)
 LEAST_DOCS = 4
+#: ... and in such a share of the toxic documents, so that what a few copies share is no term
+LEAST_SHARE = 0.01
 #: a term's share among toxic documents must be so many times that among others
 LEAST_RATIO = 20.0
 #: words on either side of a hit that make its window
@@ -42,14 +44,17 @@ REACH = 10
 MENTION = 4
 FEATURES = ("plain", "quoted", "near", "window", "share", "weight")
 _STATES = 200_000
-_SEEN = 300_000
+_SEEN = 600_000
 
 # Words that announce a quotation, in the languages of the documents.
 REPORTING = frozenset(
     "said says say called calls quote quoted wrote word term sagte sagt schrieb genannt wort dit disait mot appelé dijo dice palabra llamado".split()
 )
 
-_TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+_TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F\u201c-\u201e\u00ab\u00bb]+|[\"“”„«»]")
+# quotation marks are not ASCII, so the fast cut into words leaves them on words
+_QUOTES = "“”„«»"
+_MARKS = frozenset('"' + _QUOTES)
 
 
 def edits(term: str) -> int:
@@ -161,34 +166,39 @@ class Fuzzy:
 
 
 def tokens(text: str) -> list[str]:
+    """Words and quotation marks."""
     return _TOKEN.findall(text.lower())
 
 
+def word_of(raw: bytes) -> str:
+    """A word as it is matched, from a word of `alnum_words`."""
+    return raw.decode("utf-8", "replace").lower().strip(_QUOTES)
+
+
 def featurizer(lexicon: Lexicon):
     """A function from a text to the values of FEATURES."""
-    fuzzy, seen = Fuzzy(lexicon), {}
-    plain_words = re.compile(r"[^\W\d_]+").findall
-
-    def match(word: str):
-        got = seen.get(word, 0)
-        if got == 0:
-            if len(seen) > _SEEN:
-                seen.clear()
-            got = seen[word] = fuzzy.match(word)
-        return got
-
-    def features(text: str) -> list[float]:
-        words = plain_words(text.lower())
-        if not lexicon.terms or not any(map(match, words)):
+    fuzzy = Fuzzy(lexicon)
+
+    class Seen(dict):
+        def __missing__(self, raw: bytes):
+            if len(self) > _SEEN:
+                self.clear()
+            got = self[raw] = fuzzy.match(word_of(raw))
+            return got
+
+    match = Seen().__getitem__
+
+    def features(data: bytes) -> list[float]:
+        if not lexicon.terms or not any(map(match, alnum_words(data))):
             return [0.0] * len(FEATURES)
         at, quote, mention, hits = 0, False, -MENTION - 1, []
-        for token in tokens(text):
-            if not token[0].isalpha():
+        for token in tokens(data.decode("utf-8", "replace")):
+            if token in _MARKS:
                 quote = token not in "”»" and (token in "“„«" or not quote)
                 continue
             if token in REPORTING:
                 mention = at
-            found = match(token)
+            found = match(token.encode())
             if found:
                 hits.append((at, found[0], -found[1], quote or at - mention <= MENTION))
             at += 1
@@ -217,14 +227,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic, half) of a sample of labelled rows; of an id with several labels the largest counts."""
+    """(text, toxic, half) of a sample of labelled rows. Equal texts count once, or a copied text's words would all be
+    telling; of several labels of an id or a text the largest counts."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = known.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(order, "doc_id").limit(sample)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text_bytes(F.col(f"`{text_col}`")).alias("text"))
     # at most `sample` rows
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("half"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.xxhash64("text").alias("h"))
+    rows = rows.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return rows.select("text", "toxic", (F.pmod(F.shiftright("h", 5), F.lit(2)) == 0).alias("half"))
 
 
 def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
@@ -235,7 +248,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
         n = ({}, {})
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in re.findall(r"[^\W\d_]+", text.as_buffer().to_pybytes().decode("utf-8", "replace").lower()) if len(w) > 2}
+                words = {w for w in map(word_of, set(alnum_words(text.as_buffer().to_pybytes()))) if len(w) > 2}
                 own = {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) >= k} | {("", False)}
                 side = n[1 if toxic else 0]
                 for key in own:
@@ -262,7 +275,12 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
     if not all(total):
         return Lexicon({})
     weight = lambda r: math.log((r.toxic + 0.5) / (total[0] + 1)) - math.log((r.clean + 0.5) / (total[1] + 1))
-    good = {(r.term, r.stem): (weight(r), r.toxic) for r in telling if r.term and weight(r) >= math.log(LEAST_RATIO)}
+    least = max(LEAST_DOCS, LEAST_SHARE * total[0])
+    good = {
+        (r.term, r.stem): (weight(r), r.toxic)
+        for r in telling
+        if r.term and r.toxic >= least and weight(r) >= math.log(LEAST_RATIO)
+    }
     # a stem that one longer stem explains adds nothing; nor do words that a chosen stem covers
     longer = Counter()
     for (term, stem), (_, toxic) in good.items():
@@ -286,7 +304,7 @@ def _featured(docs: DataFrame, lexicon, kind: str):
     def run(batches):
         features = featurizer(Lexicon(held.value))
         for batch in batches:
-            rows = [features(t.as_buffer().to_pybytes().decode("utf-8", "replace")) for t in batch.column(0)]
+            rows = [features(t.as_buffer().to_pybytes()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), *batch.columns[1:]], ["features", *batch.schema.names[1:]]
             )
@@ -356,4 +374,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col="text", threshold: float
         for texts in batches:
             yield pd.Series([float(np.dot(features(t), w)) + constant < bar for t in texts], dtype=bool)
 
-    return docs.filter(clean(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return docs.filter(clean(text_bytes(F.col(f"`{text_col}`"))))

@@ -46,14 +46,16 @@ def test_automaton_equals_plain_distance(seed):
 
 def test_quoted_hits_are_told_apart():
     features = toxicity.featurizer(Lexicon({"moron": (8.0, False)}))
-    names = dict(zip(toxicity.FEATURES, features("you moron"), strict=True))
-    quoted = dict(zip(toxicity.FEATURES, features('the word in "that moron" here'), strict=True))
-    said = dict(zip(toxicity.FEATURES, features("he said moron"), strict=True))
-    near = dict(zip(toxicity.FEATURES, features("you mor0n and morron"), strict=True))
+    names = dict(zip(toxicity.FEATURES, features(b"you moron"), strict=True))
+    quoted = dict(zip(toxicity.FEATURES, features(b'the word in "that moron" here'), strict=True))
+    said = dict(zip(toxicity.FEATURES, features(b"he said moron"), strict=True))
+    near = dict(zip(toxicity.FEATURES, features(b"you mor0n and morron"), strict=True))
     assert names["plain"] > 0 and names["quoted"] == 0
     assert quoted["plain"] == said["plain"] == 0 and quoted["quoted"] > 0 and said["quoted"] > 0
     assert quoted["window"] < names["window"] and near["near"] > 0 and near["plain"] == 0
-    assert features("") == features("clean words") == [0.0] * len(toxicity.FEATURES)
+    marked = dict(zip(toxicity.FEATURES, features("so “moron” it".encode()), strict=True))
+    assert marked["quoted"] > 0 and marked["plain"] == 0
+    assert features(b"") == features(b"clean words") == [0.0] * len(toxicity.FEATURES)
 
 
 def corpus(n=700):
