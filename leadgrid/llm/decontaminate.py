@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadgrid.llm.text import ALNUM_TABLE, alnum_words, merged, text_bytes
+from leadgrid.llm.text import ALNUM_TABLE, alnum_words, merged, string_bytes, text_bytes
 
 WINDOW = 10
 #: item words in one automaton, about 60 MB of tables
@@ -280,28 +279,36 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _cleaner(held, longest_share: float):
-    @F.pandas_udf("string")
-    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        match = Matcher(pickle.loads(held.value))
-
-        def one(text: str) -> str | None:
-            data = text.encode()
-            words = alnum_words(data)
-            found, _ = match(words)
-            if not found:
-                return text
-            if sum(b - a for a, b in found) > longest_share * len(words):
-                return None
-            while found:
-                data = without(data, found)
-                found, _ = match(alnum_words(data))
-            return data.decode("utf-8", "replace")
-
-        for texts in batches:
-            yield texts.map(one)
+def _cleaner(held, longest_share: float, text_at: int, chars_at: int | None):
+    def cleaned(match: Matcher, data: bytes) -> bytes | None:
+        """The text without hits; None if the document goes."""
+        words = alnum_words(data)
+        found, _ = match(words)
+        if sum(b - a for a, b in found) > longest_share * len(words):
+            return None
+        while found:
+            data = without(data, found)
+            found, _ = match(alnum_words(data))
+        return data
 
-    return cleaned
+    def run(batches):
+        match = Matcher(pickle.loads(held.value))
+        for batch in batches:
+            old = [string_bytes(t) for t in batch.column(text_at)]
+            new = [cleaned(match, data) for data in old]
+            changed = [x is not None and x != y for x, y in zip(new, old, strict=True)]
+            if any(changed):
+                columns, texts = list(batch.columns), batch.column(text_at).to_pylist()
+                texts = [x.decode("utf-8", "replace") if c else t for x, c, t in zip(new, changed, texts, strict=True)]
+                columns[text_at] = pa.array(texts, columns[text_at].type)
+                if chars_at is not None:
+                    counts = columns[chars_at].to_pylist()
+                    counts = [len(t) if c else n for t, c, n in zip(texts, changed, counts, strict=True)]
+                    columns[chars_at] = pa.array(counts, columns[chars_at].type)
+                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield batch.filter(pa.array([x is not None for x in new], pa.bool_()))
+
+    return run
 
 
 def clean(
@@ -313,22 +320,10 @@ def clean(
     Documents of which more than `longest_share` of the words are hit go; documents without a hit stay as they are.
     Words that come together where a span goes are matched again, until nothing is hit.
     """
-    names, changed = docs.columns, docs
+    text_at = docs.columns.index(text_col)
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    changed = docs
     for tables in automata(items, item_col, item_text, window, block_words):
         held = docs.sparkSession.sparkContext.broadcast(tables)
-        fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-        # a null stands for "goes"; null texts have no words and stay
-        rows = changed.select(F.struct(*fields).alias("row"), text.alias("old"), _cleaner(held, longest_share)(text).alias("new"))
-        same = F.col("new") == F.col("old")
-        columns = []
-        for i, c in enumerate(names):
-            value = F.col(f"row.c{i}")
-            if c == text_col:
-                value = F.when(same, value).otherwise(F.col("new"))
-            elif c == "n_chars":
-                value = F.when(same, value).otherwise(F.length("new").cast(docs.schema[c].dataType))
-            columns.append(value.alias(c))
-        changed = rows.filter(F.col("new").isNotNull()).select(*columns)
+        changed = changed.mapInArrow(_cleaner(held, longest_share, text_at, chars_at), docs.schema)
     return changed
-

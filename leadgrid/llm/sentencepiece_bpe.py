@@ -30,7 +30,7 @@ from leadgrid.llm.text import text_bytes
 
 SPACE = "▁"
 #: words and piece pairs remembered by a task, in entries
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 64
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 

@@ -20,15 +20,15 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadgrid.llm import bloom, skew
 from leadgrid.llm.components import connected
-from leadgrid.llm.text import spaced_words, text_bytes
+from leadgrid.llm.text import spaced_words, string_bytes, text_bytes
 from leadgrid.sources.storage import stored
 
 SEED = 42
@@ -109,7 +109,8 @@ def links(fps: DataFrame, bits: int = BITS, pairs_up_to: int = PAIRS_UP_TO) -> D
         .filter((F.col("size") > 1) & (~blanked | (F.col("lo") < F.col("hi"))))
         .drop("lo", "hi")
     )
-    met = stored(rows.join(shared, key), "simhash-variants")
+    # a merge join, as the planner takes the exploded rows for a few and would broadcast them
+    met = stored(rows.join(shared.hint("merge"), key), "simhash-variants")
 
     few = met.filter(F.col("size") <= pairs_up_to).groupBy(*key).agg(F.collect_list(F.struct("fp", "bit")).alias("m"))
     pairs = few.select("kind", F.explode("m").alias("x"), "m").select(
@@ -185,14 +186,17 @@ def keep_one(
     """One row of each component, columns as they were: that with the smallest id; rows with null ids go last."""
     names = docs.columns
 
-    @F.pandas_udf("bigint")
-    def fp_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    at = names.index(text_col)
 
-    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    rows = docs.select(F.struct(*fields).alias("row"), fp_of(text_bytes(F.col(f"`{text_col}`"))).alias("fp"))
-    rows = stored(rows, "simhash-rows")
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(string_bytes(t), shingle) for t in batch.column(at)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, "fp"])
+
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    rows = stored(plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())])), "simhash-rows")
     doc_id = F.col(f"row.c{names.index(id_col)}").cast("bigint")
+    rows = rows.select(F.struct(*plain.columns).alias("row"), "fp")
     groups = cluster(rows.select(doc_id.alias("doc_id"), "fp"), bits, pairs_up_to)
     # rows that surely are alone in their component pass as they are; only the others are shuffled
     crowded = groups.filter("members > 1").select(F.xxhash64("fp").alias("h"))

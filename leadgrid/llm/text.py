@@ -31,6 +31,11 @@ def text_bytes(col: str | Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("")).cast("binary")
 
 
+def string_bytes(scalar) -> bytes:
+    """The UTF-8 bytes of an Arrow string; null counts as empty."""
+    return scalar.as_buffer().to_pybytes() if scalar.is_valid else b""
+
+
 def merged(spans) -> list[tuple[int, int]]:
     """Sorted, disjoint spans that cover the same positions; ends are exclusive."""
     out: list[tuple[int, int]] = []

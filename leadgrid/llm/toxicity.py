@@ -17,16 +17,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadgrid.llm.text import alnum_words, text_bytes
+from leadgrid.llm.text import alnum_words, string_bytes, text_bytes
 
 #: labelled rows that the lexicon and the classifier learn from
 SAMPLE = 40_000
@@ -366,12 +364,14 @@ def keep_clean(docs: DataFrame, model: Model, text_col="text", threshold: float
         return docs
     held = docs.sparkSession.sparkContext.broadcast((model.lexicon.terms, [float(x) for x in model.weights]))
 
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index(text_col)
+
+    def run(batches):
         terms, (*w, constant) = held.value
         features = featurizer(Lexicon(terms))
         bar = math.log(threshold / (1 - threshold))
-        for texts in batches:
-            yield pd.Series([float(np.dot(features(t), w)) + constant < bar for t in texts], dtype=bool)
+        for batch in batches:
+            toxic = (float(np.dot(features(string_bytes(t)), w)) + constant >= bar for t in batch.column(at))
+            yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
 
-    return docs.filter(clean(text_bytes(F.col(f"`{text_col}`"))))
+    return docs.mapInArrow(run, docs.schema)
