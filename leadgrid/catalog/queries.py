@@ -779,17 +779,17 @@ def _training(spark, sf_dir):
 
 @query
 def walk_forward_gbt(spark, sf_dir):
-    return walk_forward.walk_forward(*_training(spark, sf_dir), params=QUICK, parallelism=4)
+    return walk_forward.walk_forward(*_training(spark, sf_dir), params=QUICK, parallelism=8)
 
 
 @query
 def ablation_gbt(spark, sf_dir):
-    return walk_forward.ablation(*_training(spark, sf_dir), params=QUICK, parallelism=4)
+    return walk_forward.ablation(*_training(spark, sf_dir), params=QUICK, parallelism=8)
 
 
 @query
 def seed_sweep_gbt(spark, sf_dir):
-    return walk_forward.seed_sweep(*_training(spark, sf_dir), params=QUICK_BAGGED, parallelism=4)
+    return walk_forward.seed_sweep(*_training(spark, sf_dir), params=QUICK_BAGGED, parallelism=8)
 
 
 @query
