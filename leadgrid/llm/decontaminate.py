@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadgrid.llm import bloom
 from leadgrid.llm.text import ALNUM_TABLE, alnum_words, merged, string_bytes, text_bytes
+from leadgrid.sources.storage import stored
 
 WINDOW = 10
 #: item words in one automaton, about 60 MB of tables
@@ -279,12 +282,34 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+def _rewritten(batch: pa.RecordBatch, new: list[bytes | None], text_at: int, chars_at: int | None) -> pa.RecordBatch:
+    """The batch with new texts and their `n_chars`; rows whose text is None go, others keep what they have."""
+    old = [string_bytes(t) for t in batch.column(text_at)]
+    changed = [x is not None and x != y for x, y in zip(new, old, strict=True)]
+    if any(changed):
+        columns, texts = list(batch.columns), batch.column(text_at).to_pylist()
+        texts = [x.decode("utf-8", "replace") if c else t for x, c, t in zip(new, changed, texts, strict=True)]
+        columns[text_at] = pa.array(texts, columns[text_at].type)
+        if chars_at is not None:
+            counts = columns[chars_at].to_pylist()
+            counts = [len(t) if c else n for t, c, n in zip(texts, changed, counts, strict=True)]
+            columns[chars_at] = pa.array(counts, columns[chars_at].type)
+        batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+    return batch.filter(pa.array([x is not None for x in new], pa.bool_()))
+
+
+def _too_much(spans, words: list[bytes], longest_share: float) -> bool:
+    return sum(b - a for a, b in spans) > longest_share * len(words)
+
+
 def _cleaner(held, longest_share: float, text_at: int, chars_at: int | None):
+    """Cuts the hits of one block, the only one, until nothing is hit."""
+
     def cleaned(match: Matcher, data: bytes) -> bytes | None:
         """The text without hits; None if the document goes."""
         words = alnum_words(data)
         found, _ = match(words)
-        if sum(b - a for a, b in found) > longest_share * len(words):
+        if _too_much(found, words, longest_share):
             return None
         while found:
             data = without(data, found)
@@ -294,23 +319,72 @@ def _cleaner(held, longest_share: float, text_at: int, chars_at: int | None):
     def run(batches):
         match = Matcher(pickle.loads(held.value))
         for batch in batches:
-            old = [string_bytes(t) for t in batch.column(text_at)]
-            new = [cleaned(match, data) for data in old]
-            changed = [x is not None and x != y for x, y in zip(new, old, strict=True)]
-            if any(changed):
-                columns, texts = list(batch.columns), batch.column(text_at).to_pylist()
-                texts = [x.decode("utf-8", "replace") if c else t for x, c, t in zip(new, changed, texts, strict=True)]
-                columns[text_at] = pa.array(texts, columns[text_at].type)
-                if chars_at is not None:
-                    counts = columns[chars_at].to_pylist()
-                    counts = [len(t) if c else n for t, c, n in zip(texts, changed, counts, strict=True)]
-                    columns[chars_at] = pa.array(counts, columns[chars_at].type)
-                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
-            yield batch.filter(pa.array([x is not None for x in new], pa.bool_()))
+            yield _rewritten(batch, [cleaned(match, string_bytes(t)) for t in batch.column(text_at)], text_at, chars_at)
 
     return run
 
 
+def _finder(held):
+    """(row, spans) of the texts that a block hits, from (row, text)."""
+
+    def run(batches):
+        match = Matcher(pickle.loads(held.value))
+        for batch in batches:
+            rows, spans = [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, _ = match(alnum_words(string_bytes(text)))
+                if found:
+                    rows.append(row)
+                    spans.append([{"start": a, "end": b} for a, b in found])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, kind)], ["row", "spans"])
+
+    return run
+
+
+def _cutter(share: float | None, text_at: int, chars_at: int | None):
+    """Cuts the spans, the last column, which it drops; the share rule is applied if there is a share."""
+
+    def cut(data: bytes, spans: list[dict]) -> bytes | None:
+        found = merged((s["start"], s["end"]) for s in spans)
+        return None if share is not None and _too_much(found, alnum_words(data), share) else without(data, found)
+
+    def run(batches):
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            new = [cut(string_bytes(t), s) for t, s in zip(batch.column(text_at), batch.column(-1).to_pylist(), strict=True)]
+            yield _rewritten(plain, new, text_at, chars_at)
+
+    return run
+
+
+def _clean_by_blocks(docs: DataFrame, blocks: list[bytes], longest_share: float, text_at: int, chars_at: int | None) -> DataFrame:
+    """Whole passes: all blocks search the same texts, then what they found is cut at once, until no block hits."""
+    names = docs.columns
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    # the first pass reads the rows by number, so they are written with their numbers once
+    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "leaks-rows")
+    sent = [docs.sparkSession.sparkContext.broadcast(tables) for tables in blocks]
+    done, share = [], longest_share
+    while True:
+        texts = rows.select("row", f"c{text_at}")
+        found = [stored(texts.mapInArrow(_finder(held), f"row bigint, spans {_SPANS}"), "leaks-spans") for held in sent]
+        spans = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = stored(spans, "leaks-found")
+        n = spans.count()
+        if not n:
+            return reduce(DataFrame.unionByName, [*done, rows]).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+        # only rows that are hit are shuffled
+        may = bloom.probe(rows, bloom.build(spans.select(F.xxhash64("row")), bloom.slots_for(n)), F.xxhash64("row"))
+        flagged = rows.withColumn("maybe", may)
+        done += [flagged.filter(~F.col("maybe")).drop("maybe")]
+        maybe = flagged.filter("maybe").drop("maybe")
+        done += [maybe.join(spans.select("row"), "row", "left_anti").select(*rows.columns)]
+        hit = maybe.join(spans, "row").select(*rows.columns, "spans")
+        rows = stored(hit.mapInArrow(_cutter(share, text_at, chars_at), rows.schema), "leaks-rows")
+        share = None
+
+
 def clean(
     docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text",
     window: int = WINDOW, longest_share: float = 0.8, block_words: int = BLOCK_WORDS,
@@ -318,12 +392,15 @@ def clean(
     """The documents without hit spans, columns as they were and `n_chars`, if there is one, counted anew.
 
     Documents of which more than `longest_share` of the words are hit go; documents without a hit stay as they are.
-    Words that come together where a span goes are matched again, until nothing is hit.
+    Words that come together where a span goes are matched again, until nothing is hit. Items in several blocks give
+    the same result as items in one.
     """
     text_at = docs.columns.index(text_col)
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    changed = docs
-    for tables in automata(items, item_col, item_text, window, block_words):
+    blocks = list(automata(items, item_col, item_text, window, block_words))
+    if len(blocks) > 1:
+        return _clean_by_blocks(docs, blocks, longest_share, text_at, chars_at)
+    for tables in blocks:
         held = docs.sparkSession.sparkContext.broadcast(tables)
-        changed = changed.mapInArrow(_cleaner(held, longest_share, text_at, chars_at), docs.schema)
-    return changed
+        docs = docs.mapInArrow(_cleaner(held, longest_share, text_at, chars_at), docs.schema)
+    return docs

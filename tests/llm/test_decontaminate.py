@@ -70,6 +70,24 @@ def test_clean_leaves_no_window_and_spares_the_rest(spark, block_words):
     assert len(rows) == len(texts()) - sum((i, len(words_of(t))) in gone for i, t in texts())
 
 
+def test_blocks_do_not_change_what_is_cut(spark):
+    w = messy.prose(60, 60).split()
+    line = lambda a, b: " ".join(w[a:b])
+    some = [(1, line(0, 10)), (2, line(5, 15)), (3, line(20, 30)), (4, line(15, 20) + " " + line(30, 35)), (5, line(40, 50)), (6, line(48, 60))]
+    far = messy.prose(61, 30)
+    docs = [
+        (1, far + " " + line(0, 15) + " " + far), (2, far + " " + line(15, 35) + " " + far), (3, line(40, 60) + " far off"),
+        (4, far), (5, None), (6, line(0, 10) + " " + messy.prose(62, 11) + " " + line(20, 30)),
+    ]
+    bench = spark.createDataFrame(some, "item_id long, text string")
+    got = [
+        sorted((r.doc_id, r.text, r.n_chars) for r in decontaminate.clean(messy.frame(spark, docs), bench, block_words=n).collect())
+        for n in (200_000, 12)
+    ]
+    assert got[0] == got[1]
+    assert [(i, t) for i, t, _ in got[0]] == [(1, far + "  " + far), (2, far + "  " + far), (4, far), (5, None), (6, f" {messy.prose(62, 11)} ")]
+
+
 def test_text_round_a_span_is_unchanged():
     text = b"One, two;  THREE four. Five"
     assert decontaminate.without(text, [(1, 3)]) == b"One,  four. Five"
