@@ -97,7 +97,9 @@ def _cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.when(_guard(name, F.col("text")), found(pattern, False)).otherwise(F.array().cast(kind)).alias(name)
         for name, pattern in FORMATS
     ]
-    tokens = F.when(F.col("text").rlike("[0-9]{3}|[0-9]\\.[0-9]"), found(TOKEN, True)).otherwise(F.array().cast(kind)).alias("token")
+    # a token that looks like an identifier has four digits, so a text with fewer has none
+    digits = F.col("text").rlike(r"\A(?:[^0-9]*+[0-9]){4}")
+    tokens = F.when(digits, found(TOKEN, True)).otherwise(F.array().cast(kind)).alias("token")
     return stored(rows.select("doc_id", "row", *columns, tokens), "pii-matches")
 
 

@@ -67,6 +67,15 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert rows[0].n_email == 2 and "id" not in rows[0].spans
 
 
+@pytest.mark.parametrize("name", ["AB12-CD34", "12-34-56", "a1b2c3d4e5"])
+def test_identifiers_without_a_run_of_digits(spark, name):
+    texts = [(i, f"please reach member: user{i:04d}@mail.example and later contact: person{i:04d}@mail.example now") for i in range(40)]
+    plain = f"member: {name} then contact: {name} end"
+    texts += [(100, plain), (101, plain + " 123"), (102, plain + " 1.5")]
+    rows = {r.doc_id: r.spans for r in pii.find(messy.frame(spark, texts)).collect()}
+    assert rows[100].count("id:") == 2 and rows[100] == rows[101] == rows[102]
+
+
 def test_no_python_runs(spark):
     plan = pii.find(messy.frame(spark, messy.texts()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
