@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgrid.llm import decontaminate, exact, nearcopies, sentencepiece_bpe, toxicity
+from leadgrid.llm import decontaminate, exact, sentencepiece_bpe, simhash, toxicity
 from leadgrid.llm.queries import PIECE_MODEL, TOKENIZERS, table
 from leadgrid.sources.storage import stored
 
@@ -25,8 +25,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by their five-word shingles, Jaccard similarity from 0.8, the document with the smallest id."""
-    return nearcopies.keep_one(docs)
+    """Of texts linked by their SimHash fingerprints (three-word shingles, two bits at most) the document with the smallest id."""
+    return simhash.keep_one(docs, shingle=simhash.SHINGLE, bits=simhash.BITS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
