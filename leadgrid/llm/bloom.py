@@ -83,17 +83,19 @@ def build(hashes: DataFrame, slots: int, column: str = "seen") -> np.ndarray:
     return bits
 
 
+def held_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit hash may be in the filter."""
+    a, b = _slots(hashes, len(bits) * 8)
+    bit = lambda s: (bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1
+    return (bit(a) & bit(b)).astype(bool)
+
+
 def probe(df: DataFrame, bits: np.ndarray, col: Column) -> Column:
     """Whether a bigint hash may be in the filter; false for null."""
     held = df.sparkSession.sparkContext.broadcast(bits)
-    slots = len(bits) * 8
 
     @F.pandas_udf("boolean")
     def may_hold(h: pd.Series) -> pd.Series:
-        table = held.value
-        known = h.notna().to_numpy()
-        a, b = _slots(h.fillna(0).to_numpy(dtype=np.int64), slots)
-        bit = lambda s: (table[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1
-        return pd.Series((bit(a) & bit(b)).astype(bool) & known)
+        return pd.Series(held_in(held.value, h.fillna(0).to_numpy(dtype=np.int64)) & h.notna().to_numpy())
 
     return may_hold(col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgrid.llm import decontaminate, exact, licenses, pii, sentencepiece_bpe, simhash, substrings, toolcalls, toxicity, warc
+from leadgrid.llm import collocations, decontaminate, exact, licenses, pii, sentencepiece_bpe, simhash, substrings, toolcalls, toxicity, warc
 
 #: vocabulary files of public tokenizers; LEADGRID_TOKENIZERS names another folder
 TOKENIZERS = os.environ.get("LEADGRID_TOKENIZERS", "/opt/tokenizers")
@@ -61,6 +61,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_calls": op8_tool_calls,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -180,3 +185,29 @@ ORACLES["op6_license_scan"] = rf"""
            CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
     FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN x USING (doc_id)
 """
+
+_SPANS = " UNION ALL ".join(
+    f"SELECT lang, {k}::BIGINT AS k, unnest([array_to_string(w[i : i + {k - 1}], ' ') FOR i IN range(1, len(w) - {k} + 2)]) AS phrase FROM w WHERE len(w) >= {k}"
+    for k in range(1, collocations.WORDS + 1)
+)
+
+ORACLES["op11_collocations"] = rf"""
+    WITH p AS (SELECT coalesce(lang, '{collocations.UNKNOWN_LANG}') AS lang,
+                      unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM ({_SPANS}) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+    s AS (SELECT x.lang, x.phrase, x.a, x.cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+          FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[: x.cut], ' ')
+                 JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1 :], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    i AS (SELECT lang, unnest([array_to_string(w[j : j + m - 1], ' ') FOR j IN range(1, k - m + 2)]) AS phrase, a
+          FROM (SELECT *, unnest(range(2, k)) AS m FROM c)),
+    d AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM b LEFT JOIN d USING (lang, phrase) JOIN n USING (lang)
+    WHERE longer IS NULL OR 100 * longer < {collocations.ABSORBED} * a
+    QUALIFY rank <= {collocations.TOP}
+"""
