@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
-from array import array
 from collections.abc import Callable
+from math import inf
 from operator import add
 
 import ahocorasick
@@ -29,9 +28,10 @@ from pyspark.sql import functions as F
 from leadgrid.llm.text import text_bytes
 
 SPACE = "▁"
-#: words and piece pairs remembered by a task, in entries
-REMEMBERED = 400_000
+#: words of a generation, and piece pairs, that a worker remembers from task to task, in entries
+REMEMBERED = 150_000
 _LONGEST_REMEMBERED = 64
+_LETTERS = "0-9A-Za-z\u00c0-\u024f"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 
 
@@ -50,20 +50,38 @@ def remerge(symbols: list[str], scores: dict[str, float]) -> list[str]:
     return symbols
 
 
-def compatible(left: str, right: str, scores: dict[str, float]) -> bool:
-    """Whether merging the characters of both pieces gives the two pieces again."""
-    symbols, cut = [*left, *right], len(left)
+def last_merge(piece: str, scores: dict[str, float]) -> tuple[str, str] | None:
+    """The two pieces that merging the characters of `piece` joins last; None for one character."""
+    symbols, before = list(piece), None
     while len(symbols) > 1:
-        best, at = None, -1
-        for i in range(len(symbols) - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
-            if score is not None and (best is None or score > best):
-                best, at = score, i
-        if best is None or at == cut - 1:
-            break
-        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        cut -= at < cut
-    return best is None and cut == 1 and len(symbols) == 2
+        best = max(range(len(symbols) - 1), key=lambda i: (scores.get(symbols[i] + symbols[i + 1], -inf), -i))
+        if scores.get(symbols[best] + symbols[best + 1]) is None:
+            return None
+        before = (symbols[best], symbols[best + 1])
+        symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+    return before
+
+
+def compatible(left: str, right: str, ranks: dict[str, int], splits: dict[str, tuple[str, str]]) -> bool:
+    """Whether merging the characters of both pieces gives the two pieces again.
+
+    The merges are taken back one at a time, the latest first. At each point the pieces that touch are those that stood
+    there then, so merging went across if they make a piece that comes before all merges taken back so far. `ranks`
+    orders pieces by score, the best first; `splits` has the last merge of each piece.
+    """
+    limit = inf
+    while True:
+        joined = ranks.get(left + right)
+        if joined is not None and joined < limit:
+            return False
+        a, b = ranks.get(left, -1), ranks.get(right, -1)
+        # of equal merges the left one comes first, so it is the later to be taken back
+        if (a > b and left in splits) or right not in splits:
+            if left not in splits:
+                return True
+            limit, left = a, splits[left][1]
+        else:
+            limit, right = b + 1, splits[right][0]
 
 
 def read_model(model: bytes) -> dict:
@@ -75,12 +93,16 @@ def read_model(model: bytes) -> dict:
         raise ValueError("models with unused pieces are not supported")
     scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not special(i)}
     byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
+    # pieces that merging their own characters does not give can never come out
+    splits = {p: pair for p in scores if (pair := last_merge(p, scores))}
+    by_score = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
     return {
         "model": model,
         "scores": scores,
+        "ranks": {p: by_score[x] for p, x in scores.items()},
+        "splits": splits,
         "ids": {p: sp.piece_to_id(p) for p in scores},
-        # pieces that merging their own characters does not give can never come out
-        "whole": [p for p in scores if len(remerge(list(p), scores)) == 1],
+        "whole": [p for p in scores if len(p) == 1 or p in splits],
         "bytes": [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None,
         "unknown": sp.unk_id(),
         "ends": [[i] if i >= 0 else [] for i in (sp.bos_id(), sp.eos_id())],
@@ -97,77 +119,92 @@ def encoder(tables: dict) -> Callable[[str], bytes]:
     find.make_automaton()
     whole = set(tables["whole"])
     inner = {piece[i : i + 2] for piece in scores for i in range(len(piece) - 1)}
-    longest_piece = max(map(len, whole))
-    shorter: dict[str, str | None] = {}
-    fits: dict[tuple[str, str], bool] = {}
-    known = fits.get
-
-    def prefix(text: str) -> str | None:
-        """The longest piece that starts the text; a single character always counts."""
-        for n in range(min(len(text), longest_piece), 0, -1):
-            if n == 1 or text[:n] in whole:
-                return text[:n]
-        return None
-
-    def fit(left: str, right: str) -> bool:
-        if len(fits) > REMEMBERED:
-            fits.clear()
-        ok = fits[left, right] = compatible(left, right, scores)
-        return ok
+    ranks, splits = tables["ranks"], tables["splits"]
+    longest: dict[str, int] = {}
+    for piece in whole:
+        longest[piece[0]] = max(len(piece), longest.get(piece[0], 1))
+
+    def prefix(text: str, at: int, to: int) -> str | None:
+        """The longest piece at `at` that ends by `to`; a single character always counts."""
+        for end in range(min(at + longest.get(text[at], 1), to), at, -1):
+            if text[at:end] in whole:
+                return text[at:end]
+        return text[at] if at < to else None
+
+    class Shorter(dict):
+        """The longest piece that starts a piece, but for itself."""
+
+        def __missing__(self, piece: str) -> str | None:
+            got = self[piece] = prefix(piece, 0, len(piece) - 1)
+            return got
+
+    class Fits(dict):
+        """Whether a piece may follow the left one."""
+
+        def __init__(self, left: str):
+            super().__init__()
+            self.left = left
+
+        def __missing__(self, right: str) -> bool:
+            got = self[right] = compatible(self.left, right, ranks, splits)
+            after.size += 1
+            return got
+
+    class After(dict):
+        size = 0
+
+        def __missing__(self, left: str) -> Fits:
+            if self.size > REMEMBERED:
+                self.clear()
+                self.size = 0
+            got = self[left] = Fits(left)
+            return got
+
+    class Anything(dict):
+        def __missing__(self, right: str) -> bool:
+            return True
+
+    shorter, after, start = Shorter(), After(), Anything()
 
     def pieces(text: str) -> list[str]:
+        if text in whole:
+            return [text]
         # the leftmost-longest matches, right as they are if they cover the text and all neighbours fit
-        matches = list(find.iter_long(text))
-        out = [piece for _, piece in matches]
-        size = len(text)
-        at = covered = len("".join(out))
-        n = len(out)
-        if covered == size:
-            n = 1
-            for pair in zip(out, out[1:], strict=False):
-                ok = known(pair)
-                if not (fit(*pair) if ok is None else ok):
-                    break
-                n += 1
-            if n == len(out):
-                return out
-            at = matches[n - 1][0] + 1
-        else:
-            n = at = 0
-        longest = {end + 1 - len(piece): piece for end, piece in matches}
-        del out[n:]
+        out, at, fits, size = [], 0, start, len(text)
+        for end, piece in find.iter_long(text):
+            if end + 1 - len(piece) != at or not fits[piece]:
+                break
+            out.append(piece)
+            at = end + 1
+            fits = after[piece]
+        if at == size:
+            return out
         failed = bytearray(size + 1)
-        last = out[-1] if out else ""
-        piece = longest.get(at) or prefix(text[at : at + longest_piece])
+        piece = prefix(text, at, size)
         while True:
             while piece:
                 to = at + len(piece)
-                if not failed[to]:
-                    ok = not last or known((last, piece))
-                    if ok or ok is None and fit(last, piece):
-                        break
-                if piece not in shorter:
-                    shorter[piece] = prefix(piece[:-1])
+                if not failed[to] and fits[piece]:
+                    break
                 piece = shorter[piece]
-            if not piece:
+            if piece:
+                out.append(piece)
+                if to == size:
+                    return out
+                at, fits = to, after[piece]
+                piece = prefix(text, at, size)
+            else:
                 failed[at] = 1
                 piece = out.pop()
                 at -= len(piece)
-                last = out[-1] if out else ""
-                continue
-            out.append(piece)
-            if to == size:
-                return out
-            at, last = to, piece
-            piece = longest.get(at) or prefix(text[at : at + longest_piece])
+                fits = after[out[-1]] if out else start
+
+    as_bytes = {piece: np.array([i], dtype="<u4").tobytes() for piece, i in ids.items()}.__getitem__
 
     def encoded(text: str) -> bytes:
         found = pieces(text)
         try:
-            out = array("I", map(ids.__getitem__, found))
-            if sys.byteorder == "big":
-                out.byteswap()
-            return out.tobytes()
+            return b"".join(map(as_bytes, found))
         except KeyError:
             pass  # some character has no piece
         out = []
@@ -184,20 +221,32 @@ def encoder(tables: dict) -> Callable[[str], bytes]:
         return np.array(out, dtype="<u4").tobytes()
 
     class Words(dict):
+        """Two generations: what was not asked for while the younger filled up is forgotten."""
+
+        old: dict[str, bytes] = {}
+
         def __missing__(self, text: str) -> bytes:
-            cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
-            if cuts:
-                got = b"".join(self[text[a:b]] for a, b in zip([0, *cuts], [*cuts, None], strict=True))
-            else:
-                got = encoded(text)
             if len(text) <= _LONGEST_REMEMBERED:
-                if len(self) > REMEMBERED:
+                got = self.old.get(text)
+                if got is None:
+                    got = encoded(text)
+                if len(self) >= REMEMBERED:
+                    self.old = dict(self)
                     self.clear()
                 self[text] = got
-            return got
+                return got
+            cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
+            if not cuts:
+                return encoded(text)
+            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, None], strict=True)]
+            return b"".join(self[p] if len(p) <= _LONGEST_REMEMBERED else encoded(p) for p in parts)
 
     word = Words().__getitem__
-    in_words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+    # a word ends before a sign that no piece holds after a letter or digit
+    letters = re.compile(f"[{_LETTERS}]").match
+    held = {pair[1] for pair in inner if letters(pair)}
+    signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in held) or SPACE
+    in_words = re.compile(f"{SPACE}*[{_LETTERS}]++(?=[{signs}])|{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def encode(text: str) -> bytes:
         if not text:
@@ -222,7 +271,7 @@ def encode_decode(
     def run(batches):
         held = tables.value
         sp = sentencepiece.SentencePieceProcessor(model_proto=held["model"])
-        encode = encoder(held)
+        encode = held.get("encode") or held.setdefault("encode", encoder(held))
         begin, end = (np.array(x, dtype="<u4").tobytes() for x in held["ends"])
         for batch in batches:
             counts, encoded, texts = [], [], []

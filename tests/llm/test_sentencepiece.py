@@ -43,9 +43,17 @@ def test_small_memories_change_nothing(model, monkeypatch):
 def test_compatible_is_remerging(model):
     _, tables = model
     pick, pieces, scores = random.Random(2), list(tables["whole"]), tables["scores"]
-    for _ in range(5000):
+    ranks, splits = tables["ranks"], tables["splits"]
+    known, valid = set(pieces), 0
+    for _ in range(20000):
         a, b = pick.choice(pieces), pick.choice(pieces)
-        assert sentencepiece_bpe.compatible(a, b, scores) == (sentencepiece_bpe.remerge(list(a + b), scores) == [a, b])
+        if len(a) > 1 and pick.random() < 0.5:  # parts of one piece
+            cut = pick.randrange(1, len(a))
+            a, b = (a[:cut], a[cut:]) if {a[:cut], a[cut:]} <= known else (a, b)
+        want = sentencepiece_bpe.remerge(list(a + b), scores) == [a, b]
+        valid += want
+        assert sentencepiece_bpe.compatible(a, b, ranks, splits) == want, (a, b)
+    assert 5000 < valid < 18000
 
 
 def test_documents(spark, model):
