@@ -21,9 +21,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
-from collections import defaultdict
-from heapq import nsmallest
+from array import array
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -39,61 +40,111 @@ END = 0
 SHARD = 1 << 16
 #: a bin with at most this much room is done
 ROOM = 8
-#: emptiest bins that others take from at a time
-DONORS = 256
-REMEMBERED = 300_000
+#: bins that others take from at a time, and how often the next ones give if none was emptied
+DONORS = 64
+WINDOWS = 12
+#: words of a generation that a worker remembers from task to task
+REMEMBERED = 150_000
 _LONGEST_REMEMBERED = 48
+#: Latin letters
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# fixed values: how the byte-level kind of vocabulary cuts texts
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ROW_BITS, _SHARD_BITS = 56, 36
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", row bigint, sequence_id bigint, offset bigint, done boolean"
 
 
+def merge_ranks(rules: dict) -> dict[bytes, int] | None:
+    """Token bytes and ids, if ids follow the order of the merges, so that the least id is the next merge; else None."""
+    vocab, merges = rules["model"]["vocab"], rules["model"]["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    first = len(vocab) - len(pairs)
+    if first != 256 or any(vocab.get(a + b) != first + k for k, (a, b) in enumerate(pairs)):
+        return None
+    # byte-level vocabularies write bytes that are no printable Latin-1 characters as those from U+0100 on
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    byte_of = {chr(b): b for b in plain}
+    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+
+
 def encoder(model: str):
-    """A function from a list of texts to the bytes of their ids, little-endian unsigned 32-bit integers."""
+    """A function from a text to the bytes of its ids, little-endian unsigned 32-bit integers.
+
+    They are those of the tokenizers library. Words of Latin letters, digits and ASCII signs are merged by tiktoken from
+    the same vocabulary, which is faster; all others, and vocabularies of another kind, by the library itself.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     library = Tokenizer.from_str(model)
     rules = json.loads(model)
     added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in rules["added_tokens"]}
-    at_added = re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True)) or "(?!)")
-    by_words = rules["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-    # a blank before something else than white space starts a token; Python counts more as white space than the tokenizer
+    at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def slow(text: str) -> bytes:
+        return packed(library.encode(text, add_special_tokens=False).ids)
+
+    ranks = merge_ranks(rules) if rules["model"]["type"] == "BPE" and rules["pre_tokenizer"] == BYTE_LEVEL and rules["normalizer"] is None else None
+    if ranks is None:
+        return slow
+    merge = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    simple = re.compile(f"[\\x00-\\x1b\\x20-\\x7f{_LETTERS}]*").fullmatch
+
+    def plain(text: str) -> bytes:
+        return packed(merge(text)) if simple(text) else slow(text)
+
+    # a sign ends a word's token, whatever follows it
+    at_sign = re.compile(f"([{_LETTERS}]+)([.,;:!?)\"].*)", re.DOTALL).fullmatch
+
+    class Memory(dict):
+        """Two generations: what was not asked for while the younger filled up is forgotten."""
+
+        old: dict[str, bytes] = {}
+
+        def __init__(self, before: str):
+            super().__init__()
+            self.before = before
+
+        def __missing__(self, word: str) -> bytes:
+            cut = at_sign(word)
+            if cut:
+                return self[cut[1]] + ends[cut[2]]
+            got = self.old.get(word)
+            if got is None:
+                got = plain(self.before + word)
+            if len(word) <= _LONGEST_REMEMBERED:
+                if len(self) >= REMEMBERED:
+                    self.old = dict(self)
+                    self.clear()
+                self[word] = got
+            return got
+
+    # the ids of a blank and the word, and of what ends a word
+    known, ends = Memory(" "), Memory("")
+    look = known.__getitem__
+    # a blank before something else than white space starts a token; Python counts more as white space than the pattern
     at_blank = re.compile(r" (?=\S)").split
     doubtful = re.compile(r" (?:\s|\Z)").search
 
-    def fresh(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    known: dict[str, bytes] = {}  # ids of a blank and the word
-
-    def learn(words: set[str]) -> None:
-        new = list(words - known.keys())
-        for word, ids in zip(new, fresh([" " + w for w in new]), strict=True):
-            known[word] = ids
-
-    def parts(text: str) -> list[str]:
-        return at_blank(text) if doubtful(text) else text.split(" ")
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if not by_words or rules["normalizer"] is not None:
-            return fresh(texts)
-        if len(known) > REMEMBERED:
-            known.clear()
-        # the added tokens stand between texts of their own
-        cut = [at_added.split(t) if added and at_added.search(t) else [t] for t in texts]
-        cut = [[p for p in c if p] for c in cut]
-        split = [[parts(p) if p not in added else p for p in c] for c in cut]
-        learn({w for c in split for p in c if not isinstance(p, str) for w in p[1:]})
-        heads = [p[0] for c in split for p in c if not isinstance(p, str)]
-        first = iter(fresh(heads))
-        look = known.__getitem__
-        out = [
-            b"".join(added[p] if isinstance(p, str) else next(first) + b"".join(map(look, p[1:])) for p in c) for c in split
-        ]
-        for word in [w for w in known if len(w) > _LONGEST_REMEMBERED]:
-            del known[word]
-        return out
+    def part(text: str) -> bytes:
+        words = at_blank(text) if doubtful(text) else text.split(" ")
+        head = plain(words[0]) if words[0] else b""
+        return head + b"".join(map(look, words[1:]))
+
+    def encode(text: str) -> bytes:
+        if at_added is None:
+            return part(text)
+        return b"".join(added[p] if p in added else part(p) for p in at_added(text) if p)
 
     return encode
 
@@ -103,22 +154,21 @@ def pieces(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of at most `sequence` ids."""
     with open(tokenizer, encoding="utf-8") as f:
-        held = docs.sparkSession.sparkContext.broadcast(f.read())
+        held = docs.sparkSession.sparkContext.broadcast({"model": f.read()})
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = encoder(held.value)
+        tables = held.value
+        encode = tables.get("encode") or tables.setdefault("encode", encoder(tables["model"]))
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for low in range(0, len(ids), 256):
-                texts = [string_bytes(t).decode("utf-8", "replace") for t in batch.column(1)[low : low + 256]]
-                rows = []
-                for doc, data in zip(ids[low : low + 256], encode(texts), strict=True):
-                    data += last
-                    n = len(data) // 4
-                    borders = [0, *range(n % sequence or sequence, n + 1, sequence)]
-                    for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
-                        rows.append((doc, k, a, b - a, zlib.crc32(memoryview(data)[4 * a : 4 * b])))
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = encode(string_bytes(text).decode("utf-8", "replace")) + last
+                n = len(data) // 4
+                borders = [0, *range(n % sequence or sequence, n + 1, sequence)]
+                for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
+                    rows.append((doc, k, a, b - a, zlib.crc32(memoryview(data)[4 * a : 4 * b])))
+            if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -171,113 +221,102 @@ class Bins:
         No step is longer than the target's room, and the donors are emptier, so the sum of squares grows.
         """
         room, own = self.size - self.fill[target], self.held[target]
-        best, gives, takes = pool.at_most(0, room), (), 1
-        if best < room:
-            for x, i in enumerate(own):
-                n = self.length[i]
-                for out, total in [((i,), n), *(((i, j), n + self.length[j]) for j in own[x + 1 :])]:
-                    gain = pool.at_most(total, room)
-                    if gain > best:
-                        best, gives = gain, out
-                if best == room:
-                    break
-        if best < room:
-            for i in own:
-                gain, pair = pool.two(self.length[i], room, best)
+        # one piece for none, one for one or two of the target's, two of one donor for one of the target's
+        best, gives, two = at_most(pool.bits, 0, room), (), False
+        for x, i in enumerate(own):
+            if best == room:
+                break
+            n = self.length[i]
+            gain = at_most(pool.bits, n, room)
+            if gain > best:
+                best, gives, two = gain, (i,), False
+            gain = at_most(pool.pair_bits, n, room)
+            if gain > best:
+                best, gives, two = gain, (i,), True
+            for j in own[x + 1 :]:
+                gain = at_most(pool.bits, n + self.length[j], room)
                 if gain > best:
-                    best, gives, takes = gain, (i,), pair
-                if best == room:
-                    break
-        if best <= 0:
+                    best, gives, two = gain, (i, j), False
+        if not best:
             return 0
-        if takes == 1:
-            donor, got = pool.take(best + sum(self.length[i] for i in gives))
-        else:
-            donor, got = takes
+        donor, got = pool.find(best + sum(self.length[i] for i in gives), two)
         for i in got:
             self._give(i, donor, target)
         for i in gives:
             self._give(i, target, donor)
-        pool.changed(donor, got, gives)
+        pool.changed(donor)
         return best
 
     def search(self) -> None:
-        """Steps between bins with room until none helps."""
-        least = -(-sum(self.length) // self.size)
-        while True:
-            open_bins = [b for b, f in enumerate(self.fill) if 0 < f < self.size]
-            if len(self.held) - self.fill.count(0) <= least or len(open_bins) < 2:
-                return
-            donors = nsmallest(min(DONORS, len(open_bins) // 2), open_bins, key=lambda b: (self.fill[b], b))
-            pool, gained = Pool(self, donors), 0
-            border = max(self.fill[b] for b in donors)
-            for b in sorted(set(open_bins) - set(donors), key=lambda b: (-self.fill[b], b)):
-                while self.fill[b] < self.size and (gain := self._exchange(b, pool)):
-                    gained += gain
-            # donors fill each other too, the fullest from the emptier
-            for x, b in enumerate(sorted(donors, key=lambda b: (-self.fill[b], b))):
-                rest = sorted(donors, key=lambda b: (-self.fill[b], b))[x + 1 :]
-                rest = [d for d in rest if 0 < self.fill[d] <= self.fill[b]]
-                if 0 < self.fill[b] < self.size and rest:
-                    inner = Pool(self, rest[-DONORS // 8 :])
-                    while self.fill[b] < self.size and (gain := self._exchange(b, inner)):
-                        gained += gain
-                        if any(self.fill[d] > self.fill[b] for d in inner.bins):
-                            break
-            if not gained or border == 0:
+        """Steps between bins with room until they empty no bin any more.
+
+        The emptiest bins give first; while that empties none, the next ones do, up to `WINDOWS` times.
+        """
+        least, used, window = -(-sum(self.length) // self.size), len(self.held), 0
+        while used > least and window < WINDOWS:
+            open_bins = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.size), key=lambda b: (self.fill[b], b))
+            low = window * DONORS
+            donors = open_bins[low : low + min(DONORS, len(open_bins) // 2)]
+            if not donors:
                 return
+            pool = Pool(self, donors)
+            for b in reversed(open_bins[low + len(donors) :]):
+                while self.fill[b] < self.size and self._exchange(b, pool):
+                    pass
+            # the donors fill each other, the emptier half the fuller
+            donors = sorted((d for d in donors if self.fill[d]), key=lambda b: (self.fill[b], b))
+            half = len(donors) // 2
+            pool = Pool(self, donors[:half])
+            for b in reversed(donors[half:]):
+                while self.fill[b] < self.size and self._exchange(b, pool):
+                    pass
+            now = len(self.fill) - self.fill.count(0)
+            used, window = now, 0 if now < used else window + 1
+
+
+def at_most(bits: int, out: int, room: int) -> int:
+    """The largest n from 1 to `room` for which bit `out` + n is set; 0 if none is."""
+    return ((bits & ((2 << (out + room)) - 1)) >> (out + 1)).bit_length()
 
 
 class Pool:
-    """The pieces of the donors, by length."""
+    """The lengths that the donors can give, alone or in pairs of one donor, as bits."""
 
     def __init__(self, bins: Bins, donors: list[int]):
-        self.all, self.bins = bins, donors
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.bits = 0
-        for d in donors:
-            for i in bins.held[d]:
-                self._add(d, i)
-
-    def _add(self, donor: int, i: int) -> None:
-        n = self.all.length[i]
-        self.at[n].append((donor, i))
-        self.bits |= 1 << n
-
-    def _drop(self, donor: int, i: int) -> None:
-        n = self.all.length[i]
-        self.at[n].remove((donor, i))
-        if not self.at[n]:
-            self.bits ^= 1 << n
-
-    def at_most(self, out: int, room: int) -> int:
-        """The longest piece for `out` in exchange, less `out`: more than nothing, `room` at most; else 0 or less."""
-        return ((self.bits & ((2 << (out + room)) - 1)) >> (out + 1)).bit_length()
-
-    def two(self, out: int, room: int, least: int):
-        """Two pieces of one donor for one of length `out`: the gain above `least`, and which."""
-        best, found = least, None
-        for d in self.bins:
-            held = self.all.held[d]
-            for x, i in enumerate(held):
-                for j in held[x + 1 :]:
-                    gain = self.all.length[i] + self.all.length[j] - out
-                    if best < gain <= room:
-                        best, found = gain, (d, (i, j))
-                        if gain == room:
-                            return best, found
-        return best, found
-
-    def take(self, length: int) -> tuple[int, tuple[int]]:
-        # the emptiest donor that has one
-        donor, i = min(self.at[length], key=lambda x: (self.all.fill[x[0]], x))
-        return donor, (i,)
-
-    def changed(self, donor: int, gone, come) -> None:
-        for i in gone:
-            self._drop(donor, i)
-        for i in come:
-            self._add(donor, i)
+        self.all, self.donors = bins, donors
+        self.own: dict[int, tuple[int, int]] = {d: self._of(d) for d in donors}
+        self._join()
+
+    def _of(self, donor: int) -> tuple[int, int]:
+        counts = Counter(self.all.length[i] for i in self.all.held[donor])
+        single = sum(1 << n for n in counts)
+        double = 0
+        for n, k in counts.items():
+            double |= (single if k > 1 else single ^ (1 << n)) << n
+        return single, double
+
+    def _join(self) -> None:
+        self.bits = self.pair_bits = 0
+        for single, double in self.own.values():
+            self.bits |= single
+            self.pair_bits |= double
+
+    def find(self, length: int, two: bool) -> tuple[int, tuple[int, ...]]:
+        """The first donor, the emptiest when the pool was made, that has this length, and its pieces."""
+        donor = next(d for d in self.donors if self.own[d][two] >> length & 1)
+        held, n = self.all.held[donor], self.all.length
+        if not two:
+            return donor, (next(i for i in held if n[i] == length),)
+        at: dict[int, int] = {}
+        for i in held:
+            if length - n[i] in at:
+                return donor, (at[length - n[i]], i)
+            at[n[i]] = i
+        raise AssertionError("a pair was promised")
+
+    def changed(self, donor: int) -> None:
+        self.own[donor] = self._of(donor)
+        self._join()
 
 
 def pack_lengths(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:

@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgrid.llm import collocations, decontaminate, exact, licenses, pii, sentencepiece_bpe, simhash, substrings, toolcalls, toxicity, warc
+from leadgrid.llm import collocations, decontaminate, exact, licenses, packing, pii, sentencepiece_bpe, simhash, substrings, toolcalls, toxicity, warc
 
 #: vocabulary files of public tokenizers; LEADGRID_TOKENIZERS names another folder
 TOKENIZERS = os.environ.get("LEADGRID_TOKENIZERS", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{BYTE_MODEL}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_collocations": op11_collocations,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
