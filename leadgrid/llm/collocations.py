@@ -39,7 +39,7 @@ TOP = 2000
 ABSORBED = 50
 UNKNOWN_LANG = "und"
 #: words in one row of a relation
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _ROWS = 1 << 16
 #: no UTF-8 text holds this byte: it stands for the end of a piece
 _END = b"\xff"
@@ -137,18 +137,22 @@ def _pruned(lang: str, items: pa.Array, codes: np.ndarray, bits: np.ndarray) ->
     return items.filter(pa.array(kept)), fresh[codes]
 
 
-def _joined(items: pa.Array, codes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The merge join with itself at the next position: distinct longer phrases, their counts, and codes by position."""
+def _neighbours(size: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The merge join with itself at the next position: where it has rows, and both codes as one number."""
     at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
-    left, right = codes[at].astype(np.int64) - 1, codes[at + 1].astype(np.int64) - 1
-    pair, which, n = np.unique(left * len(items) + right, return_inverse=True, return_counts=True)
-    last = pc.replace_substring_regex(items, pattern="^.* ", replacement="")
-    longer = pc.binary_join_element_wise(
-        items.take(pa.array(pair // max(len(items), 1))), last.take(pa.array(pair % max(len(items), 1))), " "
-    )
-    out = np.zeros(len(codes), dtype=np.uint32)
-    out[at] = which.reshape(-1) + 1
-    return longer, n, out
+    pair = codes[at].astype(np.int64)
+    pair -= 1
+    pair *= size
+    pair += codes[at + 1]
+    pair -= 1
+    return at, pair
+
+
+def _phrases(items: pa.Array, pair: np.ndarray) -> pa.Array:
+    """The phrase of each pair of overlapping shorter ones."""
+    left, right = np.divmod(pair, max(len(items), 1))
+    last = pc.replace_substring_regex(items.take(pa.array(right)), pattern="^.* ", replacement="")
+    return pc.binary_join_element_wise(items.take(pa.array(left)), last, " ")
 
 
 def count_longer(relation: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -157,9 +161,13 @@ def count_longer(relation: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         for lang, items, codes in _rows(batches):
-            longer, n, _ = _joined(*_pruned(lang, items, codes, held.value))
-            for i in range(0, len(longer), _ROWS):
-                part = longer.slice(i, _ROWS)
+            items, codes = _pruned(lang, items, codes, held.value)
+            pair = _neighbours(len(items), codes)[1]
+            pair.sort()
+            starts = np.flatnonzero(np.diff(pair, prepend=-1))
+            n, pair = np.diff(starts, append=len(pair)), pair[starts]
+            for i in range(0, len(pair), _ROWS):
+                part = _phrases(items, pair[i : i + _ROWS])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + _ROWS], pa.int64())], ["lang", "item", "n"]
                 )
@@ -174,10 +182,14 @@ def longer(relation: DataFrame, bits: np.ndarray, longer_bits: np.ndarray) -> Da
 
     def run(batches):
         for lang, items, codes in _rows(batches):
-            found, _, at = _joined(*_pruned(lang, items, codes, held.value))
-            found, at = _pruned(lang, found, at, held_longer.value)
+            items, codes = _pruned(lang, items, codes, held.value)
+            at, pair = _neighbours(len(items), codes)
+            pair, which = np.unique(pair, return_inverse=True)
+            longer_codes = np.zeros(len(codes), dtype=np.uint32)
+            longer_codes[at] = which.reshape(-1) + 1
+            found, longer_codes = _pruned(lang, _phrases(items, pair), longer_codes, held_longer.value)
             if len(found):
-                yield _row(lang, found, at)
+                yield _row(lang, found, longer_codes)
 
     return relation.mapInArrow(run, _RELATION)
 
