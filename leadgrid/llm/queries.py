@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgrid.llm import collocations, decontaminate, exact, licenses, packing, pii, sentencepiece_bpe, simhash, substrings, toolcalls, toxicity, warc
+from leadgrid.llm import collocations, decontaminate, exact, licenses, packing, pii, prefixes, sentencepiece_bpe, simhash, substrings, toolcalls, toxicity, warc
 
 #: vocabulary files of public tokenizers; LEADGRID_TOKENIZERS names another folder
 TOKENIZERS = os.environ.get("LEADGRID_TOKENIZERS", "/opt/tokenizers")
@@ -66,6 +66,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{BYTE_MODEL}")
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_packing": op13_packing,
 }
 
@@ -217,3 +222,34 @@ ORACLES["op11_collocations"] = rf"""
     WHERE longer IS NULL OR 100 * longer < {collocations.ABSORBED} * a
     QUALIFY rank <= {collocations.TOP}
 """
+
+# CRC-32 by bits, as DuckDB has none
+_CRC32 = """xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i::UBIGINT)),
+                             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+
+ORACLES["op12_prefix_trie"] = f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i FROM c),
+    s AS (SELECT conv_id, conv_id - conv_id % {prefixes.BLOCK} AS base, {_CRC32} % {prefixes.SHARED} AS h
+          FROM (SELECT DISTINCT conv_id FROM c)),
+    l AS (SELECT s.conv_id, i AS depth, role, text FROM s JOIN t ON t.conv_id = base AND i <= h),
+    m AS (SELECT s.conv_id, h, count(l.depth) AS n FROM s LEFT JOIN l USING (conv_id) GROUP BY ALL),
+    r AS (FROM l UNION ALL SELECT conv_id, i - h::BIGINT + n, role, text FROM t JOIN m USING (conv_id) WHERE i > h),
+    p AS (SELECT conv_id, depth, length(text) AS size,
+                 string_agg(md5(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r),
+    q AS (FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM s),
+    n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM q GROUP BY key, depth),
+    e AS (SELECT a.*, b.key AS parent, b.conv_id AS parent_conv_id
+          FROM n a LEFT JOIN (SELECT n.*, q.conv_id AS member FROM n JOIN q USING (key, depth)) b ON b.member = a.conv_id AND b.depth = a.depth - 1),
+    k AS (SELECT n.key, n.depth, count(e.key) AS n_children FROM n LEFT JOIN e ON e.parent = n.key AND e.depth = n.depth + 1 GROUP BY ALL),
+    f AS (SELECT n.*, n_children FROM n JOIN k USING (key, depth)),
+    u AS (SELECT q.key, q.depth, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * f.size) AS saved_tokens
+          FROM f JOIN q ON q.conv_id = f.conv_id AND q.depth <= f.depth GROUP BY ALL),
+    d AS (SELECT arg_max(key, depth) AS key, max(depth) AS depth, conv_id FROM q GROUP BY conv_id),
+    z AS (SELECT key, depth, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM d GROUP BY ALL)
+    SELECT e.conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+           coalesce(ends_sha256, sha256('')) AS ends_sha256
+    FROM e JOIN k USING (key, depth) JOIN u USING (key, depth) LEFT JOIN z USING (key, depth)
+"""
