@@ -9,8 +9,8 @@ is made of are, so counts are exact.
 A stored relation is packed: one row holds the occurrences of many whole texts of one language in order of piece and
 position, as codes of the phrases listed beside them, with 0 where no frequent phrase starts, such as the end of a piece.
 Neighbours in the sequence thus are neighbours in a piece, and the merge join is one pass over sorted columns. Rows are
-cut at text borders after `CHUNK` words, so a task holds one such row at a time; a hot phrase reaches the shuffle
-as one row for each of them. The semi-join asks a bit filter of bounded size, whose false positives only cost
+cut at text borders, after `CHUNK` words at most, so a task's memory is bounded; a hot phrase reaches the shuffle as one
+row for each of them. The semi-join asks a bit filter of bounded size, whose false positives only cost
 occurrences of infrequent phrases that the exact counts drop again.
 
 Null and empty texts have no pieces; null languages count as `und` and so join a language of that name. Repeated rows
@@ -38,8 +38,9 @@ TOP = 2000
 #: a candidate goes if a longer one that holds it has this share of its occurrences, in percent
 ABSORBED = 50
 UNKNOWN_LANG = "und"
-#: words in one row of a relation
-CHUNK = 1 << 20
+#: words that a task holds, of all languages; then those of the largest one become a row
+CHUNK = 1 << 19
+_LANGS = 1 << 10
 _ROWS = 1 << 16
 #: no UTF-8 text holds this byte: it stands for the end of a piece
 _END = b"\xff"
@@ -89,6 +90,7 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     def run(batches):
         held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
         sizes: dict[str, int] = {}
+        size = 0
 
         def flush(lang):
             codes, parts = held.pop(lang)
@@ -104,11 +106,12 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     continue
                 codes, parts = held.setdefault(lang, (_Codes(), []))
                 parts.append(np.fromiter(map(codes.__getitem__, found), dtype=np.uint32, count=len(found)))
-                sizes[lang] = sizes.get(lang, 64) + len(found)
-                if sizes[lang] >= chunk:
-                    yield flush(lang)
-            if sum(sizes.values()) >= 2 * chunk:
-                yield from map(flush, list(held))
+                sizes[lang] = sizes.get(lang, 0) + len(found)
+                size += len(found)
+                if size >= chunk or len(sizes) > _LANGS:
+                    most = max(sizes, key=sizes.get)
+                    size -= sizes[most]
+                    yield flush(most)
         yield from map(flush, list(held))
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
