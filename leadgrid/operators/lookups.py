@@ -8,13 +8,15 @@ still many bounded groups, and one shuffle serves any number of offsets.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadgrid.functions.temporal import epoch_hour, from_epoch_hour
+from leadgrid.functions.temporal import epoch_hour
 
 BLOCK = "_block"
+DAY = 24
 MIN_BLOCK_HOURS = 24 * 56
 
 
@@ -63,58 +65,61 @@ def over_hours(
     return rows.where(own).drop("_hour", BLOCK)
 
 
-def values_before(
-    hourly: DataFrame,
-    series: tuple[str, ...],
-    value: str,
-    hours: Mapping[str, int],
-    time_col: str = "target_hour",
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """Per hour of a series its value, its ``carry`` columns and, per name,
-    ``struct(ts, value)`` read exactly that many hours earlier.
-
-    ``ts`` is the hour the value was sent from, as provenance; the struct is
-    null when the series has no value at that hour. Every value is sent forward
-    to the hours that look back to it and gathered there by an aggregate inside
-    the block, so the rows are shuffled once, before they multiply. The number
-    of partitions is given, as they would otherwise be packed by the size they
-    have before.
+@dataclass(frozen=True)
+class DayBlocks:
+    """Past values by (series, block): ``table`` has one row for each, with the
+    days that hold values and, per day, the values of its hours."""
+
+    table: DataFrame
+    series: tuple[str, ...]
+    days: int
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.series, BLOCK]
+
+    def block(self, hour: Column) -> Column:
+        """The block in which the values around ``hour`` are found."""
+        return block_of(F.floor(hour / DAY), self.days)
+
+    def value(self, hour: Column) -> Column:
+        """The value at an hour, null where there is none, from the row of the
+        block it is read from."""
+        at = F.array_position(F.col("_days"), F.floor(hour / DAY))
+        return F.when(at > 0, F.get(F.get("_values", (at - 1).cast("int")), F.pmod(hour, F.lit(DAY)).cast("int")))
+
+    def hours(self) -> DataFrame:
+        """One row per hour of a series that has a value, with its block's arrays."""
+        own = F.col("_day").between(F.col(BLOCK), F.col(BLOCK) + self.days - 1)
+        kept = [*self.keys, "_days", "_values"]
+        days = self.table.select(*kept, F.posexplode("_days").alias("_at", "_day")).where(own)
+        hours = days.select(*kept, "_day", F.posexplode(F.get("_values", F.col("_at"))).alias("_of_day", "_value"))
+        return hours.where(F.col("_value").isNotNull()).select(*kept, (F.col("_day") * DAY + F.col("_of_day")).alias("_hour"))
+
+
+def day_blocks(
+    hourly: DataFrame, series: tuple[str, ...], value: str, back: int, ahead: int = 0, time_col: str = "target_hour"
+) -> DayBlocks:
+    """The hourly values from which any hour of a block can read those up to
+    ``back`` hours before it, and ``ahead`` after it, by their distance.
+
+    Hours are gathered to days and days to blocks in one shuffle of the narrow
+    hourly rows; the neighbouring days that a block reads from are copied into
+    it. Days without values take no room, so a group holds at most the block's
+    and its history's days that the series has.
     """
-    reach = max(hours.values())
-    length = block_hours(reach)
-    offsets = sorted({0, *hours.values()})
-    keys = [*series, BLOCK]
+    behind, beyond = -(-back // DAY), -(-ahead // DAY)
+    length = max(MIN_BLOCK_HOURS // DAY, 4 * (behind + beyond))
     partitions = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at, ahead = F.col("_at"), F.col("_ahead")
-
-    spread = (
-        _with_history(hourly.select(*series, time_col, value, *carry), time_col, reach)
-        .select(*keys, "_hour", F.col(value).alias("_value"), *carry)
-        .repartition(partitions, *keys)
-    )
-    targets = F.explode(F.array(*[F.lit(n) for n in offsets])).alias("_ahead")
-    sent = spread.select(*keys, "_hour", "_value", *carry, targets).withColumn("_at", F.col("_hour") + ahead)
-    gathered = (
-        sent.where(block_of(at, length) == F.col(BLOCK))
-        .groupBy(*keys, "_at")
-        .agg(
-            F.max(ahead == 0).alias("_present"),
-            *[F.max(F.when(ahead == n, F.col("_value"))).alias(f"_value_{n}") for n in offsets],
-            *[F.max(F.when(ahead == 0, F.col(c))).alias(c) for c in carry],
-        )
-    )
-
-    def read(n: int) -> Column:
-        found = F.col(f"_value_{n}")
-        source = F.struct(from_epoch_hour(at - n).alias("ts"), found.alias("value"))
-        return F.when(found.isNotNull(), source)
-
-    # an hour that was only looked back from is not an hour of the series
-    return gathered.where("_present").select(
-        *series,
-        from_epoch_hour(at).alias(time_col),
-        F.col("_value_0").alias(value),
-        *carry,
-        *[read(n).alias(name) for name, n in hours.items()],
-    )
+    hour = epoch_hour(F.col(time_col))
+    day = F.floor(hour / DAY)
+    blocks = F.sequence(block_of(day - beyond, length), block_of(day + behind, length), F.lit(length).cast("bigint"))
+    keys = [*series, BLOCK]
+    spread = hourly.select(
+        *series, day.alias("_day"), F.pmod(hour, F.lit(DAY)).alias("_of_day"), F.col(value).alias("_value"), F.explode(blocks).alias(BLOCK)
+    ).repartition(partitions, *keys)
+    hours = F.array(*[F.max(F.when(F.col("_of_day") == h, F.col("_value"))) for h in range(DAY)])
+    days = spread.groupBy(*keys, "_day").agg(hours.alias("_values"))
+    gathered = days.groupBy(*keys).agg(F.collect_list(F.struct("_day", "_values")).alias("_found"))
+    found = lambda name: F.transform("_found", lambda d: d[name]).alias(f"{name}s" if name == "_day" else name)
+    return DayBlocks(gathered.select(*keys, found("_day"), found("_values")), series, length)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadgrid.config import PitConfig
+from leadgrid.functions.temporal import epoch_hour, trunc_hour
 from leadgrid.operators.features import (
     add_cutoff,
     add_degree_hinges,
@@ -17,48 +18,36 @@ from leadgrid.operators.features import (
     keep_trainable,
     mart_columns,
 )
-from leadgrid.operators.lookups import values_before
-
+from leadgrid.operators.lookups import BLOCK, DayBlocks, day_blocks
 
 #: hours of a shared forecast that are broadcast, some 20 years
 SHARED_HOURS = 24 * 366 * 20
 
 
-def hour_features(hourly: DataFrame, holidays: DataFrame, cfg: PitConfig) -> DataFrame:
-    """Everything that depends on the target hour alone, one row per hour.
-
-    All past values come from one pass over the hourly series; ``_lags`` holds
-    the lagged demand of every lead in lead order and ``_lag_hours`` the hours
-    they were read from. Calendar features are joined first, while the rows are
-    narrow and not yet fanned out to leads.
-    """
-    value, calendar = "avg_initial_demand_outturn", ("hour", "day", "is_holiday")
-    reads = {f"_lead_{n}": cfg.lag_hours(n) for n in cfg.leads}
-    reads |= {f"_{name}": hours for name, hours in cfg.anchor_columns.items()}
-    dated = attach_calendar(hourly.withColumnRenamed("target_hour", "target_ts"), holidays, cfg)
-    return values_before(dated, cfg.series, value, reads, "target_ts", calendar).select(
-        *cfg.series,
-        "target_ts",
-        *calendar,
-        F.col(value).alias("demand_mw"),
-        F.array(*[f"_lead_{n}.value" for n in cfg.leads]).alias("_lags"),
-        F.array(*[f"_lead_{n}.ts" for n in cfg.leads]).alias("_lag_hours"),
-        *[F.col(f"_{name}.value").alias(f"_{name}") for name in cfg.anchor_columns],
-    )
+def lead_span(forecast: DataFrame) -> tuple[int, int] | None:
+    """Least and greatest lead: of a stored forecast, from its files' statistics."""
+    least, most = forecast.agg(F.min("lead_days"), F.max("lead_days")).first()
+    return None if least is None else (least, most)
 
 
-def _meet(forecast: DataFrame, features: DataFrame, key: list[str], cfg: PitConfig) -> DataFrame:
-    """Forecast rows with the features of their hour.
+def _hours_met(forecast: DataFrame, past: DayBlocks, key: list[str]) -> DataFrame:
+    """Forecast rows next to the values around their hour.
 
     A forecast that lacks a series column serves many series, and its hours
     would be hot keys. Its rows are gathered by hour, a few leads each, and
-    that table of hours is broadcast if it is not too long.
+    that table of hours is broadcast if it is not too long; the hours of every
+    series come from its own values.
     """
-    if set(cfg.series) <= set(key):
-        return forecast.join(features, key)
-    runs = F.collect_list(F.struct(*[c for c in forecast.columns if c not in key])).alias("_runs")
-    hours = broadcast_small(forecast.groupBy(*key).agg(runs), SHARED_HOURS)
-    return features.join(hours, key).select(*features.columns, F.inline("_runs"))
+    at = epoch_hour(F.col("target_ts"))
+    # no series has values at other times than full hours
+    forecast = forecast.where(trunc_hour(F.col("target_ts")) == F.col("target_ts")).withColumn("_hour", at)
+    if set(past.series) <= set(key):
+        return forecast.withColumn(BLOCK, past.block(F.col("_hour"))).join(past.table, past.keys)
+    shared = [c for c in key if c != "target_ts"]
+    runs = F.collect_list(F.struct(*[c for c in forecast.columns if c not in (*shared, "_hour")])).alias("_runs")
+    hours = broadcast_small(forecast.groupBy(*shared, "_hour").agg(runs), SHARED_HOURS)
+    met = past.hours().join(hours, [*shared, "_hour"])
+    return met.select(*past.series, "_days", "_values", "_hour", F.inline("_runs"))
 
 
 def build_mart(
@@ -66,35 +55,40 @@ def build_mart(
     hourly: DataFrame,
     holidays: DataFrame,
     cfg: PitConfig,
+    leads: tuple[int, int] | None = None,
 ) -> DataFrame:
     """One row per (target, lead) that has a label and a lagged demand.
 
-    The hourly side is looked up before it meets the leads, so forecast rows,
-    the longest input, are shuffled once. An inner join is enough: a target
-    without an hourly row has no label and would be dropped. A forecast without
-    series columns serves every series.
+    Demand is gathered by (series, block of days), and forecast rows, the
+    longest input, are shuffled once to the block of their target. There label,
+    anchors and the lagged demand of any lead, negative ones too, are read by
+    their distance. An inner join is enough: a target without demand has no
+    label. A forecast without series columns serves every series.
 
-    Rows of leads outside ``0..max_lead``, in most forecasts none, go through
-    the join chain. The forecast is read for both parts: pass a stored one.
+    How far a block reaches follows from the least and greatest lead. They are
+    looked up if not given, so pass a stored forecast or ``leads``.
 
     An anchor ``h`` hours back was published by the cutoff exactly when ``h``
     is at least the lead's own distance.
     """
+    least, most = leads or lead_span(forecast) or (0, 0)
+    distances = [*cfg.anchor_columns.values(), cfg.lag_hours(least), cfg.lag_hours(most)]
+    back, ahead = max(0, *distances), max(0, *(-d for d in distances))
+    past = day_blocks(hourly, cfg.series, "avg_initial_demand_outturn", back, ahead)
     shared = [c for c in cfg.series if c in forecast.columns]
-    lead = F.col("lead_days")
-    within = lead.between(0, cfg.max_lead)
-    rows = _meet(forecast.where(within), hour_features(hourly, holidays, cfg), [*shared, "target_ts"], cfg)
-    rows = add_cutoff(rows, cfg).withColumns(
-        {"demand_lag_mw": F.get("_lags", lead), "demand_lag_ts": F.get("_lag_hours", lead)}
-    )
-    distance = lead * 24 + cfg.publication_lag_hours
-    anchors = {
-        name: F.when(distance <= hours, F.col(f"_{name}"))
-        for name, hours in cfg.anchor_columns.items()
+    hour, distance = F.col("_hour"), F.col("lead_days") * 24 + cfg.publication_lag_hours
+    met = _hours_met(forecast, past, [*shared, "target_ts"])
+    values = {
+        "demand_mw": past.value(hour),
+        "demand_lag_mw": past.value(hour - distance),
+        **{name: F.when(distance <= h, past.value(hour - h)) for name, h in cfg.anchor_columns.items()},
     }
-    rows = add_degree_hinges(rows.withColumns(anchors), cfg)
-    mart = keep_trainable(rows).select(*mart_columns(cfg))
-    return mart.unionByName(build_mart_by_joins(forecast.where(~within), hourly, holidays, cfg))
+    rows = met.select(
+        *cfg.series, *[c for c in forecast.columns if c not in cfg.series], *[v.alias(n) for n, v in values.items()]
+    )
+    rows = add_cutoff(keep_trainable(rows), cfg)
+    rows = rows.withColumn("demand_lag_ts", trunc_hour(F.col("cutoff")))
+    return add_degree_hinges(attach_calendar(rows, holidays, cfg), cfg).select(*mart_columns(cfg))
 
 
 def joined_features(

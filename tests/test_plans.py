@@ -37,34 +37,29 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def main_part(plan: str) -> str:
-    """The first side of the union with the other leads."""
-    lines = plan.split("\n")
-    top = next(i for i, line in enumerate(lines) if "Union" in line)
-    depth = lines[top].index("Union")
-    side = []
-    for line in lines[top + 1 :]:
-        if side and line[depth:].startswith("+- "):
-            break
-        side.append(line)
-    return "\n".join(side)
-
-
-def test_the_mart_shuffles_the_forecast_once(inputs, no_broadcast):
-    plan = main_part(plan_of(build_mart(*inputs, CFG)))
-    # forecast by target; hourly by block and by target; holidays are counted and broadcast
-    assert plan.count("Exchange hashpartitioning") == 3 + 1  # the distinct holidays
+def test_the_mart_reads_and_shuffles_each_input_once(inputs, no_broadcast):
+    plan = plan_of(build_mart(*inputs, CFG))
+    # forecast and hourly by block; holidays are counted and broadcast
+    assert plan.count("Exchange hashpartitioning") == 2 + 1  # the distinct holidays
+    assert plan.count("FileScan") == 3 and "Union" not in plan
     assert plan.count("SortMergeJoin") == 1
     assert "BroadcastHashJoin [_local_date" in plan
 
 
-def test_one_shuffle_from_the_melt_to_the_mart(spark, inputs, no_broadcast):
-    """The pivot deals records out as the join needs them."""
+def test_other_leads_take_no_other_way(spark, inputs, no_broadcast):
+    forecast, hourly, holidays = inputs
+    every = stored(forecast.withColumn("lead_days", F.col("lead_days") * 3 - 1), "leads")
+    plan = plan_of(build_mart(every, hourly, holidays, CFG))
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 1
+
+
+def test_two_shuffles_from_the_melt_to_the_mart(spark, inputs, no_broadcast):
+    """Records meet in the pivot, its rows in the block of their target."""
     _, hourly, holidays = inputs
     two = F.explode(F.array(F.lit("x"), F.lit("y")))
     long = stored(long_frame(spark, "2024-01-01", 20).withColumn("s", two), "long")
-    plan = main_part(plan_of(build_mart(staging.pivot_forecast(long, CFG), hourly, holidays, CFG)))
-    assert plan.count("Exchange hashpartitioning") == 3 + 1
+    plan = plan_of(build_mart(staging.pivot_forecast(long, CFG), hourly, holidays, CFG, leads=(0, 7)))
+    assert plan.count("Exchange hashpartitioning") == 4
     assert plan.count("REPARTITION_BY_NUM") >= 1
 
 
@@ -77,13 +72,13 @@ def test_completeness_needs_one_shuffle(spark, no_broadcast):
 def test_shared_weather_is_not_shuffled_to_its_hours(spark, inputs, no_broadcast):
     forecast, hourly, holidays = inputs
     shared = stored(forecast.where("s = 'x'").drop("s"), "shared")
-    plan = main_part(plan_of(build_mart(shared, hourly, holidays, CFG)))
-    assert "BroadcastHashJoin [target_ts" in plan and "SortMergeJoin" not in plan
+    plan = plan_of(build_mart(shared, hourly, holidays, CFG))
+    assert "BroadcastHashJoin [_hour" in plan and "SortMergeJoin" not in plan
 
 
 def test_the_join_chain_shuffles_more(inputs, no_broadcast):
     chain = plan_of(build_mart_by_joins(*inputs, CFG))
-    assert chain.count("Exchange") > main_part(plan_of(build_mart(*inputs, CFG))).count("Exchange")
+    assert chain.count("Exchange") > plan_of(build_mart(*inputs, CFG)).count("Exchange")
 
 
 def test_the_mart_reads_only_its_columns(inputs):
