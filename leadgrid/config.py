@@ -10,6 +10,8 @@ LAYERS = {
     "weather_forecast": "silver",
     "bank_holidays": "silver",
     "demand_hourly": "silver",
+    "demand_blocks": "silver",
+    "forecast_blocks": "silver",
     "demand_features": "gold",
 }
 

@@ -78,10 +78,6 @@ class DayBlocks:
     def keys(self) -> list[str]:
         return [*self.series, BLOCK]
 
-    def block(self, hour: Column) -> Column:
-        """The block in which the values around ``hour`` are found."""
-        return block_of(F.floor(hour / DAY), self.days)
-
     def value(self, hour: Column) -> Column:
         """The value at an hour, null where there is none, from the row of the
         block it is read from."""

@@ -18,7 +18,7 @@ from leadgrid.operators.features import (
     keep_trainable,
     mart_columns,
 )
-from leadgrid.operators.lookups import BLOCK, DayBlocks, day_blocks
+from leadgrid.operators.lookups import BLOCK, DAY, DayBlocks, block_of, day_blocks
 
 #: hours of a shared forecast that are broadcast, some 20 years
 SHARED_HOURS = 24 * 366 * 20
@@ -30,26 +30,55 @@ def lead_span(forecast: DataFrame) -> tuple[int, int] | None:
     return None if least is None else (least, most)
 
 
-def _hours_met(forecast: DataFrame, past: DayBlocks, key: list[str]) -> DataFrame:
-    """Forecast rows next to the values around their hour.
+def past_demand(hourly: DataFrame, cfg: PitConfig, leads: tuple[int, int]) -> DayBlocks:
+    """Hourly demand by (series, block), as far back and ahead as these leads read."""
+    distances = [*cfg.anchor_columns.values(), *map(cfg.lag_hours, leads)]
+    back, ahead = max(0, *distances), max(0, *(-d for d in distances))
+    return day_blocks(hourly, cfg.series, "avg_initial_demand_outturn", back, ahead)
+
+
+def by_block(forecast: DataFrame, days: int) -> DataFrame:
+    """Forecast rows with their target's hour and block of ``days`` days.
+
+    No series has values at other times than full hours."""
+    on_the_hour = forecast.where(trunc_hour(F.col("target_ts")) == F.col("target_ts"))
+    hour = epoch_hour(F.col("target_ts"))
+    return on_the_hour.withColumns({"_hour": hour, BLOCK: block_of(F.floor(hour / DAY), days)})
 
-    A forecast that lacks a series column serves many series, and its hours
-    would be hot keys. Its rows are gathered by hour, a few leads each, and
-    that table of hours is broadcast if it is not too long; the hours of every
-    series come from its own values.
+
+def _shared_met(forecast: DataFrame, past: DayBlocks) -> DataFrame:
+    """Rows of a forecast that lacks a series column, for every series.
+
+    Its hours would be hot keys. They are gathered by hour, a few leads each,
+    and that table of hours is broadcast if it is not too long; the hours of
+    every series come from its own values.
     """
-    at = epoch_hour(F.col("target_ts"))
-    # no series has values at other times than full hours
-    forecast = forecast.where(trunc_hour(F.col("target_ts")) == F.col("target_ts")).withColumn("_hour", at)
-    if set(past.series) <= set(key):
-        return forecast.withColumn(BLOCK, past.block(F.col("_hour"))).join(past.table, past.keys)
-    shared = [c for c in key if c != "target_ts"]
-    runs = F.collect_list(F.struct(*[c for c in forecast.columns if c not in (*shared, "_hour")])).alias("_runs")
-    hours = broadcast_small(forecast.groupBy(*shared, "_hour").agg(runs), SHARED_HOURS)
+    shared = [c for c in past.series if c in forecast.columns]
+    rows = by_block(forecast, past.days).drop(BLOCK)
+    runs = F.collect_list(F.struct(*[c for c in rows.columns if c not in (*shared, "_hour")])).alias("_runs")
+    hours = broadcast_small(rows.groupBy(*shared, "_hour").agg(runs), SHARED_HOURS)
     met = past.hours().join(hours, [*shared, "_hour"])
     return met.select(*past.series, "_days", "_values", "_hour", F.inline("_runs"))
 
 
+def read_past(met: DataFrame, past: DayBlocks, holidays: DataFrame, cfg: PitConfig) -> DataFrame:
+    """The mart, from forecast rows next to the values around their hour.
+
+    An anchor ``h`` hours back was published by the cutoff exactly when ``h``
+    is at least the lead's own distance.
+    """
+    hour, distance = F.col("_hour"), F.col("lead_days") * 24 + cfg.publication_lag_hours
+    values = {
+        "demand_mw": past.value(hour),
+        "demand_lag_mw": past.value(hour - distance),
+        **{name: F.when(distance <= h, past.value(hour - h)) for name, h in cfg.anchor_columns.items()},
+    }
+    kept = [c for c in met.columns if c not in ("_days", "_values", "_hour", BLOCK)]
+    rows = add_cutoff(keep_trainable(met.select(*kept, *[v.alias(n) for n, v in values.items()])), cfg)
+    rows = rows.withColumn("demand_lag_ts", trunc_hour(F.col("cutoff")))
+    return add_degree_hinges(attach_calendar(rows, holidays, cfg), cfg).select(*mart_columns(cfg))
+
+
 def build_mart(
     forecast: DataFrame,
     hourly: DataFrame,
@@ -67,28 +96,13 @@ def build_mart(
 
     How far a block reaches follows from the least and greatest lead. They are
     looked up if not given, so pass a stored forecast or ``leads``.
-
-    An anchor ``h`` hours back was published by the cutoff exactly when ``h``
-    is at least the lead's own distance.
     """
-    least, most = leads or lead_span(forecast) or (0, 0)
-    distances = [*cfg.anchor_columns.values(), cfg.lag_hours(least), cfg.lag_hours(most)]
-    back, ahead = max(0, *distances), max(0, *(-d for d in distances))
-    past = day_blocks(hourly, cfg.series, "avg_initial_demand_outturn", back, ahead)
-    shared = [c for c in cfg.series if c in forecast.columns]
-    hour, distance = F.col("_hour"), F.col("lead_days") * 24 + cfg.publication_lag_hours
-    met = _hours_met(forecast, past, [*shared, "target_ts"])
-    values = {
-        "demand_mw": past.value(hour),
-        "demand_lag_mw": past.value(hour - distance),
-        **{name: F.when(distance <= h, past.value(hour - h)) for name, h in cfg.anchor_columns.items()},
-    }
-    rows = met.select(
-        *cfg.series, *[c for c in forecast.columns if c not in cfg.series], *[v.alias(n) for n, v in values.items()]
-    )
-    rows = add_cutoff(keep_trainable(rows), cfg)
-    rows = rows.withColumn("demand_lag_ts", trunc_hour(F.col("cutoff")))
-    return add_degree_hinges(attach_calendar(rows, holidays, cfg), cfg).select(*mart_columns(cfg))
+    past = past_demand(hourly, cfg, leads or lead_span(forecast) or (0, cfg.max_lead))
+    if set(cfg.series) <= set(forecast.columns):
+        met = by_block(forecast, past.days).join(past.table, past.keys)
+    else:
+        met = _shared_met(forecast, past)
+    return read_past(met, past, holidays, cfg)
 
 
 def joined_features(

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadgrid.config import PitConfig
 from leadgrid.operators import checks, scoring, staging
+from leadgrid.operators.lookups import BLOCK, DayBlocks
 from leadgrid.plans import walk_forward as wf
-from leadgrid.plans.mart import build_mart
+from leadgrid.plans.mart import by_block, lead_span, past_demand, read_past
 from leadgrid.sources import bronze
 from leadgrid.sources.storage import as_table, as_view, load, stored
 
@@ -42,15 +43,33 @@ def build_silver(
     as_table(staging.hourly_demand(staged, cfg), "demand_hourly", layer)
 
 
+def lay_out(spark: SparkSession, cfg: PitConfig, silver: str | None = None) -> tuple[DataFrame, DayBlocks]:
+    """Demand and forecast as Silver tables in buckets of (series, block), so
+    that they meet without a shuffle, now and in later reads.
+
+    A block holds weeks of one series, so none is hot. The forecast is written
+    first, in the blocks that the configured leads need; if it holds leads that
+    reach further, demand needs longer blocks and the join shuffles it once.
+    """
+    keys = [*cfg.series, BLOCK]
+    hourly = load(spark, "demand_hourly", silver)
+    usual = past_demand(hourly, cfg, (0, cfg.max_lead))
+    forecast = as_table(by_block(load(spark, "weather_forecast", silver), usual.days), "forecast_blocks", silver, bucket_by=keys)
+    past = past_demand(hourly, cfg, lead_span(forecast) or (0, cfg.max_lead))
+    stored_blocks = as_table(past.table, "demand_blocks", silver, bucket_by=keys)
+    if past.days != usual.days:
+        forecast = by_block(forecast.drop("_hour", BLOCK), past.days)
+    return forecast, replace(past, table=stored_blocks)
+
+
 def build_gold(
     spark: SparkSession, cfg: PitConfig, partition_by_month: bool = False, silver: str | None = None,
     gold: str | None = None,
 ) -> DataFrame:
-    """The mart table, stored before it is checked so that it is built once.
-    The staged forecast is stored for the build, as the mart reads it twice."""
-    forecast = stored(load(spark, "weather_forecast", silver), "forecast")
-    hourly, holidays = (load(spark, t, silver) for t in ("demand_hourly", "bank_holidays"))
-    mart = build_mart(forecast, hourly, holidays, cfg)
+    """The mart table, stored before it is checked so that it is built once,
+    from demand and forecast laid out for their join."""
+    forecast, past = lay_out(spark, cfg, silver)
+    mart = read_past(forecast.join(past.table, past.keys), past, load(spark, "bank_holidays", silver), cfg)
     if not partition_by_month:
         return as_table(mart, "demand_features", gold)
     month = F.trunc("target_ts", "month").alias("target_month")

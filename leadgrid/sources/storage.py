@@ -65,12 +65,16 @@ def as_view(df: DataFrame, table: str, layer: str | None = None) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=()) -> DataFrame:
+def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=(), bucket_by=()) -> DataFrame:
     """Silver and Gold tables: a full rebuild, stored as Parquet.
 
     A schema that does not exist yet is created in the session's warehouse. If
     the catalog ends with the session, so do its tables: they get a folder of
     the run there, and no later run finds files that no catalog knows.
+
+    ``bucket_by`` deals rows into as many sorted buckets as the session has
+    shuffle partitions, so tables that have the same keys meet without a
+    shuffle. Choose keys of which none holds much of the table.
     """
     spark, name = df.sparkSession, table_name(table, layer)
     schema, place = name.split(".")[0], ""
@@ -78,7 +82,12 @@ def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=(
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         place = f" LOCATION '{warehouse}/{spark.sparkContext.applicationId}/{schema}.db'"
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}{place}")
-    df.write.mode("overwrite").partitionBy(*partition_by).format("parquet").saveAsTable(name)
+    writer = df.write
+    if bucket_by:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # dealt out as the buckets are, so that each is one file
+        writer = df.repartition(buckets, *bucket_by).write.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    writer.mode("overwrite").partitionBy(*partition_by).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

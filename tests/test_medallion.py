@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from leadgrid.catalog import queries, standins
 from leadgrid.catalog.standins import DAILY
-from leadgrid.operators import tiling
+from leadgrid.operators import reshape, staging, tiling
 from leadgrid.plans import medallion, walk_forward
+from leadgrid.plans.mart import build_mart_by_joins, read_past
 from leadgrid.sources import bronze
-from leadgrid.sources.storage import load, scratch_path
+from leadgrid.sources.storage import as_view, load, scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -66,3 +67,32 @@ def test_unusable_payloads_stop_the_build(spark):
 
 def test_paths_are_plain_values():
     assert dataclasses.asdict(medallion.BronzePaths("d", "f", "h")) == {"demand": "d", "forecast": "f", "holidays": "h"}
+
+
+def test_stored_sides_of_the_mart_meet_without_a_shuffle(spark, built):
+    """Buckets of the same keys: neither table is dealt out again."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        forecast, past = medallion.lay_out(spark, DAILY)
+        plan = forecast.join(past.table, past.keys)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 1 and plan.count("FileScan") == 2
+        mart = read_past(forecast.join(past.table, past.keys), past, load(spark, "bank_holidays"), DAILY)
+        plan = mart._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the distinct holidays
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_leads_that_reach_further_change_no_row(spark):
+    inputs = queries.by_priority(spark, SF_DIR)
+    far = dataclasses.replace(DAILY, max_lead=30)
+    long = reshape.melt_previous_runs(standins.weather_wide(inputs.demand, far, 24), far, reshape.variable_names("temperature_2m", 30))
+    as_view(staging.pivot_forecast(long, DAILY), "weather_forecast", "silver_far")
+    as_view(inputs.hourly, "demand_hourly", "silver_far")
+    as_view(inputs.holidays, "bank_holidays", "silver_far")
+    mart = medallion.build_gold(spark, DAILY, silver="silver_far", gold="gold_far")
+    joined = build_mart_by_joins(staging.pivot_forecast(long, DAILY), inputs.hourly, inputs.holidays, DAILY)
+    assert mart.agg(F.max("lead_days")).first()[0] == 30
+    assert mart.exceptAll(joined.select(*mart.columns)).count() == 0 and mart.count() == joined.count()
