@@ -354,6 +354,8 @@ FROM cut c LEFT JOIN rolled r ON r.series_id = c.series_id AND r.target_hour = d
     "check_mart": _inputs("event") + _checks(*_MART_CHECKS),
     "check_all_layers": _inputs("event")
     + _checks(*_DEMAND_CHECKS, *_HOURLY_CHECKS, *_FORECAST_CHECKS, *_HOLIDAY_CHECKS, *_MART_CHECKS),
+    "check_observed": _inputs("event")
+    + _checks(*_DEMAND_CHECKS, *_HOURLY_CHECKS, *_FORECAST_CHECKS, *_HOLIDAY_CHECKS, *_MART_CHECKS),
     "check_demand_faults": _inputs("event")
     + _on(
         """SELECT series_id, start_time, CASE WHEN hour(start_time) = 5 AND day(start_time) = 2 THEN NULL

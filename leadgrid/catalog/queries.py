@@ -18,7 +18,7 @@ from leadgrid.operators import checks, features, reshape, scoring, staging, tili
 from leadgrid.plans import ingest, medallion, tracking, walk_forward
 from leadgrid.plans.mart import build_mart, build_mart_by_joins, serving_rows
 from leadgrid.sources import bronze
-from leadgrid.sources.storage import as_table, as_view, scratch_path, stored
+from leadgrid.sources.storage import as_table, as_view, load, scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,6 +252,17 @@ def check_all_layers(spark, sf_dir):
     return medallion.run_checks(spark, HOURLY)
 
 
+@query
+def check_observed(spark, sf_dir):
+    """The same checks, seen while the layers are written; sequence and
+    holidays, which need rows of their own, are checked on the stored tables."""
+    on_demand = medallion.build_silver(spark, _land_all(spark, sf_dir), HOURLY, "silver_observed")
+    _, seen = medallion.checked_gold(spark, HOURLY, silver="silver_observed", gold="gold_observed")
+    hourly, holidays = (load(spark, t, "silver_observed") for t in ("demand_hourly", "bank_holidays"))
+    rest = checks.hourly_checks(hourly, HOURLY).unionByName(checks.holiday_checks(holidays))
+    return on_demand.unionByName(seen).unionByName(rest)
+
+
 @query
 def check_payload(spark, sf_dir):
     """Tripwires on payloads with faults: outturns above 10,000 are withheld,

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadgrid.config import PitConfig
@@ -140,11 +140,13 @@ def _null_rules(prefix: str, columns: Iterable[str]) -> dict[str, Column]:
     return {f"{prefix}.{c} not null": F.col(c).isNull() for c in columns}
 
 
+def demand_rules() -> dict[str, Column]:
+    return _null_rules("demand", STAGED_DEMAND_NOT_NULL) | {"demand positive": F.col("initial_demand_outturn") <= 0}
+
+
 def demand_checks(demand: DataFrame, cfg: PitConfig) -> DataFrame:
-    rules = _null_rules("demand", STAGED_DEMAND_NOT_NULL)
-    rules["demand positive"] = F.col("initial_demand_outturn") <= 0
     keys = [*cfg.series, "start_time"]
-    return grain_and_row_counts(demand, "demand.start_time unique", keys, rules, "start_time")
+    return grain_and_row_counts(demand, "demand.start_time unique", keys, demand_rules(), "start_time")
 
 
 def hourly_checks(hourly: DataFrame, cfg: PitConfig) -> DataFrame:
@@ -155,10 +157,13 @@ def hourly_checks(hourly: DataFrame, cfg: PitConfig) -> DataFrame:
     return rows.unionByName(count_violations(breaks))
 
 
+def forecast_rules() -> dict[str, Column]:
+    return {"weather_forecast temperature range": range_rule("temperature_2m", *TEMPERATURE_RANGE)}
+
+
 def forecast_checks(forecast: DataFrame, cfg: PitConfig) -> DataFrame:
     keys = [*(c for c in cfg.series if c in forecast.columns), "target_ts", "issue_ts"]
-    rules = {"weather_forecast temperature range": range_rule("temperature_2m", *TEMPERATURE_RANGE)}
-    return grain_and_row_counts(forecast, "weather_forecast grain unique", keys, rules)
+    return grain_and_row_counts(forecast, "weather_forecast grain unique", keys, forecast_rules())
 
 
 def holiday_checks(holidays: DataFrame) -> DataFrame:
@@ -166,41 +171,79 @@ def holiday_checks(holidays: DataFrame) -> DataFrame:
     return grain_and_row_counts(holidays, "bank_holidays grain unique", keys, {})
 
 
-def mart_checks(mart: DataFrame, cfg: PitConfig) -> DataFrame:
-    """All mart checks from one evaluation of the mart."""
-    rules = _null_rules("demand_features", MART_NOT_NULL)
-    rules |= {
+def mart_rules(cfg: PitConfig) -> dict[str, Column]:
+    return _null_rules("demand_features", MART_NOT_NULL) | {
         "demand_features leakage": leakage_rule(cfg),
         "demand_features hinge sign": hinge_rule(cfg),
     }
-    return grain_and_row_counts(mart, "demand_features grain unique", cfg.grain, rules)
+
+
+def mart_checks(mart: DataFrame, cfg: PitConfig) -> DataFrame:
+    """All mart checks from one evaluation of the mart."""
+    return grain_and_row_counts(mart, "demand_features grain unique", cfg.grain, mart_rules(cfg))
+
+
+COPY = "_copy"
+
+
+def mark_copies(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``COPY``, true on one row of each key that occurs more than
+    once. Rows that are dealt out by some of the keys are not shuffled."""
+    return df.withColumn(COPY, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))) == 2)
+
+
+class Watch:
+    """Counts gathered while a frame is used for something else, such as a
+    write, so that checks cost no evaluation of their own.
+
+    Use ``df`` in the place of the frame; ``results`` waits for the action. A
+    task that runs again may count a violation twice, but none is missed.
+    """
+
+    def __init__(self, df: DataFrame, rules: Mapping[str, Column], aggregates: Mapping[str, Column] | None = None):
+        counts = {name: F.count_if(rule) for name, rule in rules.items()} | dict(aggregates or {})
+        self.names = list(counts)
+        self._seen = Observation()
+        self.df = df.observe(self._seen, *[count.alias(f"_{i}") for i, count in enumerate(counts.values())])
+
+    def counts(self) -> list[tuple[str, int]]:
+        seen = self._seen.get
+        return [(name, seen[f"_{i}"] or 0) for i, name in enumerate(self.names)]
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        """(check, n_violations)."""
+        return spark.createDataFrame(self.counts(), "check string, n_violations bigint")
+
+
+def enforce_watched(*watches: Watch) -> None:
+    """Raise if any watch saw a violation."""
+    failed = [(name, n) for watch in watches for name, n in watch.counts() if n]
+    if failed:
+        raise ValueError("; ".join(f"{name}: {n}" for name, n in failed))
 
 
 def _lacks(key: str, record: Column) -> Column:
     return record[key].isNull()
 
 
+def payload_counts(required: Iterable[str], name: str) -> dict[str, Column]:
+    """Aggregates over landed envelopes: missing or empty ``data``, missing keys."""
+    lacking = {c: F.coalesce(F.size(F.filter("data", partial(_lacks, c))), F.lit(0)) for c in required}
+    counts = {
+        "no payload": F.when(F.count(F.lit(1)) == 0, 1).otherwise(0),
+        "no data key": F.count_if(F.col("data").isNull()),
+        "empty data": F.count_if(F.size("data") == 0),
+        **{f"missing {c}": F.coalesce(F.sum(n), F.lit(0)) for c, n in lacking.items()},
+    }
+    return {f"{name} {fault}": n.cast("bigint") for fault, n in counts.items()}
+
+
 def payload_checks(envelopes: DataFrame, required: Iterable[str], name: str) -> DataFrame:
-    """Tripwire on landed envelopes: missing or empty ``data``, missing keys."""
-    required = list(required)
-    missing = [
-        F.coalesce(F.size(F.filter("data", partial(_lacks, c))), F.lit(0)).alias(c) for c in required
-    ]
-    size = F.size("data")
-    rows = envelopes.select(F.col("data").isNull().alias("_none"), size.alias("_size"), *missing)
-    totals = rows.agg(
-        F.count_if("_none").alias("no data key"),
-        F.count_if(F.col("_size") == 0).alias("empty data"),
-        F.count_if(F.lit(True)).alias("_payloads"),
-        *[F.sum(c).alias(f"missing {c}") for c in required],
-    ).withColumn("no payload", F.when(F.col("_payloads") == 0, 1).otherwise(0))
-    faults = ["no payload", "no data key", "empty data", *[f"missing {c}" for c in required]]
+    """Tripwire on landed envelopes, a row for each of ``payload_counts``."""
+    counts = payload_counts(required, name)
+    totals = envelopes.agg(*[n.alias(f"_{i}") for i, n in enumerate(counts.values())])
     pairs = [
-        F.struct(
-            F.lit(f"{name} {fault}").alias("check"),
-            F.coalesce(F.col(f"`{fault}`"), F.lit(0)).cast("bigint").alias("n_violations"),
-        )
-        for fault in faults
+        F.struct(F.lit(check).alias("check"), F.col(f"_{i}").alias("n_violations")) for i, check in enumerate(counts)
     ]
     return totals.select(F.inline(F.array(*pairs)))
 

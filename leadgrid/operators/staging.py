@@ -88,3 +88,21 @@ def hourly_demand(demand: DataFrame, cfg: PitConfig) -> DataFrame:
     )
     at = from_epoch_hour(F.col("_hour")).alias("target_hour")
     return hours.select(*cfg.series, at, "avg_initial_demand_outturn")
+
+
+def half_hours(demand: DataFrame, cfg: PitConfig) -> DataFrame:
+    """Rows per (series, start_time): their number, and sum and number of the
+    known outturns, from which ``hours_of`` makes hours."""
+    value = F.col("initial_demand_outturn")
+    return demand.groupBy(*cfg.series, "start_time").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"), F.count(value).alias("_known")
+    )
+
+
+def hours_of(halves: DataFrame, cfg: PitConfig) -> DataFrame:
+    """As ``hourly_demand``, from half hours that were counted on the way."""
+    hours = halves.groupBy(*cfg.series, epoch_hour(F.col("start_time")).alias("_hour")).agg(
+        (F.sum("_sum").cast("double") / F.nullif(F.sum("_known"), F.lit(0))).alias("avg_initial_demand_outturn")
+    )
+    at = from_epoch_hour(F.col("_hour")).alias("target_hour")
+    return hours.select(*cfg.series, at, "avg_initial_demand_outturn")

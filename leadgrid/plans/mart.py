@@ -61,8 +61,11 @@ def _shared_met(forecast: DataFrame, past: DayBlocks) -> DataFrame:
     return met.select(*past.series, "_days", "_values", "_hour", F.inline("_runs"))
 
 
-def read_past(met: DataFrame, past: DayBlocks, holidays: DataFrame, cfg: PitConfig) -> DataFrame:
-    """The mart, from forecast rows next to the values around their hour.
+def read_past(
+    met: DataFrame, past: DayBlocks, holidays: DataFrame, cfg: PitConfig, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """The mart, from forecast rows next to the values around their hour, with
+    the forecast's columns ``extra``.
 
     An anchor ``h`` hours back was published by the cutoff exactly when ``h``
     is at least the lead's own distance.
@@ -76,7 +79,7 @@ def read_past(met: DataFrame, past: DayBlocks, holidays: DataFrame, cfg: PitConf
     kept = [c for c in met.columns if c not in ("_days", "_values", "_hour", BLOCK)]
     rows = add_cutoff(keep_trainable(met.select(*kept, *[v.alias(n) for n, v in values.items()])), cfg)
     rows = rows.withColumn("demand_lag_ts", trunc_hour(F.col("cutoff")))
-    return add_degree_hinges(attach_calendar(rows, holidays, cfg), cfg).select(*mart_columns(cfg))
+    return add_degree_hinges(attach_calendar(rows, holidays, cfg), cfg).select(*mart_columns(cfg), *extra)
 
 
 def build_mart(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,55 +26,88 @@ class BronzePaths:
 
 def build_silver(
     spark: SparkSession, paths: BronzePaths, cfg: PitConfig, layer: str | None = None
-) -> None:
-    """Staging views over Bronze, and the hourly table.
-
-    The tripwires run on what was landed; the hourly table is stored because
-    every later read of past demand goes to it. ``layer`` names another Silver,
-    so that builds can share a session.
+) -> DataFrame:
+    """Staging views over Bronze, and the hourly table; returns the (check,
+    n_violations) seen on demand.
+
+    Tripwires and row checks are counted while the hourly table is written from
+    what was landed, so Bronze is read once; any violation raises before the
+    table is published. The hourly table is stored because every later read of
+    past demand goes to it. ``layer`` names another Silver, so that builds can
+    share a session.
     """
     demand = bronze.read_demand(spark, paths.demand, cfg)
     holidays = bronze.read_holidays(spark, paths.holidays)
-    checks.enforce(checks.payload_checks(demand, checks.DEMAND_REQUIRED, "demand"))
     checks.enforce(checks.holiday_payload_checks(holidays))
-    staged = as_view(staging.stage_demand(demand, cfg), "demand", layer)
+    as_view(staging.stage_demand(demand, cfg), "demand", layer)
     forecast = bronze.read_forecast(spark, paths.forecast, cfg)
     as_view(staging.stage_forecast(forecast, cfg), "weather_forecast", layer)
     as_view(staging.stage_holidays(holidays), "bank_holidays", layer)
-    as_table(staging.hourly_demand(staged, cfg), "demand_hourly", layer)
 
+    landed = checks.Watch(demand, {}, checks.payload_counts(checks.DEMAND_REQUIRED, "demand"))
+    rows = checks.Watch(staging.stage_demand(landed.df, cfg), checks.demand_rules())
+    copied = (F.col("_n") > 1) & F.col("start_time").isNotNull()
+    halves = checks.Watch(staging.half_hours(rows.df, cfg), {"demand.start_time unique": copied})
+    judge = lambda: checks.enforce_watched(landed, rows, halves)
+    as_table(staging.hours_of(halves.df, cfg), "demand_hourly", layer, judge=judge)
+    return rows.results(spark).unionByName(halves.results(spark))
+
+
+class Laid(NamedTuple):
+    forecast: DataFrame
+    past: DayBlocks
+    seen: checks.Watch
 
-def lay_out(spark: SparkSession, cfg: PitConfig, silver: str | None = None) -> tuple[DataFrame, DayBlocks]:
+
+def lay_out(spark: SparkSession, cfg: PitConfig, silver: str | None = None) -> Laid:
     """Demand and forecast as Silver tables in buckets of (series, block), so
     that they meet without a shuffle, now and in later reads.
 
     A block holds weeks of one series, so none is hot. The forecast is written
-    first, in the blocks that the configured leads need; if it holds leads that
-    reach further, demand needs longer blocks and the join shuffles it once.
+    first, checked on the way, in the blocks that the configured leads need; if
+    it holds leads that reach further, demand needs longer blocks and the join
+    shuffles it once.
     """
     keys = [*cfg.series, BLOCK]
     hourly = load(spark, "demand_hourly", silver)
     usual = past_demand(hourly, cfg, (0, cfg.max_lead))
-    forecast = as_table(by_block(load(spark, "weather_forecast", silver), usual.days), "forecast_blocks", silver, bucket_by=keys)
+    marked = checks.mark_copies(load(spark, "weather_forecast", silver), [*cfg.series, "target_ts", "issue_ts"])
+    seen = checks.Watch(marked, checks.forecast_rules() | {"weather_forecast grain unique": F.col(checks.COPY)})
+    rows = by_block(seen.df.drop(checks.COPY), usual.days)
+    forecast = as_table(rows, "forecast_blocks", silver, bucket_by=keys, judge=lambda: checks.enforce_watched(seen))
     past = past_demand(hourly, cfg, lead_span(forecast) or (0, cfg.max_lead))
     stored_blocks = as_table(past.table, "demand_blocks", silver, bucket_by=keys)
     if past.days != usual.days:
         forecast = by_block(forecast.drop("_hour", BLOCK), past.days)
-    return forecast, replace(past, table=stored_blocks)
+    return Laid(forecast, replace(past, table=stored_blocks), seen)
 
 
-def build_gold(
+def checked_gold(
     spark: SparkSession, cfg: PitConfig, partition_by_month: bool = False, silver: str | None = None,
     gold: str | None = None,
-) -> DataFrame:
-    """The mart table, stored before it is checked so that it is built once,
-    from demand and forecast laid out for their join."""
-    forecast, past = lay_out(spark, cfg, silver)
-    mart = read_past(forecast.join(past.table, past.keys), past, load(spark, "bank_holidays", silver), cfg)
-    if not partition_by_month:
-        return as_table(mart, "demand_features", gold)
-    month = F.trunc("target_ts", "month").alias("target_month")
-    return as_table(mart.select("*", month), "demand_features", gold, partition_by=["target_month"])
+) -> tuple[DataFrame, DataFrame]:
+    """The mart table, from demand and forecast laid out for their join, and the
+    (check, n_violations) seen on forecast and mart.
+
+    The mart is evaluated once: its checks are counted while it is written, and
+    it is published if they hold.
+    """
+    forecast, past, on_forecast = lay_out(spark, cfg, silver)
+    # rows of a key lie in one block, so marking copies needs no shuffle
+    met = checks.mark_copies(forecast.join(past.table, past.keys), [*past.keys, "target_ts", "lead_days"])
+    mart = read_past(met, past, load(spark, "bank_holidays", silver), cfg, (checks.COPY,))
+    seen = checks.Watch(mart, checks.mart_rules(cfg) | {"demand_features grain unique": F.col(checks.COPY)})
+    rows, months = seen.df.drop(checks.COPY), ["target_month"] if partition_by_month else []
+    if months:
+        rows = rows.select("*", F.trunc("target_ts", "month").alias("target_month"))
+    judge = lambda: checks.enforce_watched(seen)
+    table = as_table(rows, "demand_features", gold, partition_by=months, judge=judge)
+    return table, on_forecast.results(spark).unionByName(seen.results(spark))
+
+
+def build_gold(spark: SparkSession, cfg: PitConfig, **how) -> DataFrame:
+    """The mart table; see ``checked_gold``."""
+    return checked_gold(spark, cfg, **how)[0]
 
 
 def run_checks(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,7 +66,10 @@ def as_view(df: DataFrame, table: str, layer: str | None = None) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=(), bucket_by=()) -> DataFrame:
+def as_table(
+    df: DataFrame, table: str, layer: str | None = None, partition_by=(), bucket_by=(),
+    judge: Callable[[], None] | None = None,
+) -> DataFrame:
     """Silver and Gold tables: a full rebuild, stored as Parquet.
 
     A schema that does not exist yet is created in the session's warehouse. If
@@ -75,6 +79,10 @@ def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=(
     ``bucket_by`` deals rows into as many sorted buckets as the session has
     shuffle partitions, so tables that have the same keys meet without a
     shuffle. Choose keys of which none holds much of the table.
+
+    ``judge`` is called when the rows are written but not yet published; if it
+    raises, the table is as it was, and what was written stays aside under the
+    name with ``__unchecked``.
     """
     spark, name = df.sparkSession, table_name(table, layer)
     schema, place = name.split(".")[0], ""
@@ -87,7 +95,12 @@ def as_table(df: DataFrame, table: str, layer: str | None = None, partition_by=(
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # dealt out as the buckets are, so that each is one file
         writer = df.repartition(buckets, *bucket_by).write.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
-    writer.mode("overwrite").partitionBy(*partition_by).format("parquet").saveAsTable(name)
+    target = name if judge is None else f"{name}__unchecked"
+    writer.mode("overwrite").partitionBy(*partition_by).format("parquet").saveAsTable(target)
+    if judge is not None:
+        judge()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"ALTER TABLE {target} RENAME TO {name}")
     return spark.table(name)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadgrid.catalog import queries, standins
 from leadgrid.catalog.standins import DAILY
-from leadgrid.operators import reshape, staging, tiling
+from leadgrid.operators import checks, reshape, staging, tiling
 from leadgrid.plans import medallion, walk_forward
 from leadgrid.plans.mart import build_mart_by_joins, read_past
 from leadgrid.sources import bronze
@@ -75,7 +75,7 @@ def test_stored_sides_of_the_mart_meet_without_a_shuffle(spark, built):
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")
     try:
-        forecast, past = medallion.lay_out(spark, DAILY)
+        forecast, past, _ = medallion.lay_out(spark, DAILY)
         plan = forecast.join(past.table, past.keys)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("SortMergeJoin") == 1 and plan.count("FileScan") == 2
         mart = read_past(forecast.join(past.table, past.keys), past, load(spark, "bank_holidays"), DAILY)
@@ -96,3 +96,29 @@ def test_leads_that_reach_further_change_no_row(spark):
     joined = build_mart_by_joins(staging.pivot_forecast(long, DAILY), inputs.hourly, inputs.holidays, DAILY)
     assert mart.agg(F.max("lead_days")).first()[0] == 30
     assert mart.exceptAll(joined.select(*mart.columns)).count() == 0 and mart.count() == joined.count()
+
+
+def test_a_fault_is_seen_while_writing_and_nothing_is_published(spark):
+    """Negative and doubled demand, and a mart with copies, stop before the table is there."""
+    negative = lambda e: e.withColumn(
+        "data", F.transform("data", lambda r: r.withField("initialDemandOutturn", -r["initialDemandOutturn"]))
+    )
+    for spoil, message in ((negative, "demand positive"), (lambda e: e.unionByName(e), "demand.start_time unique")):
+        with pytest.raises(ValueError, match=message):
+            medallion.build_silver(spark, landed(spark, spoil), DAILY, "silver_faulty")
+        assert not spark.catalog.tableExists("silver_faulty.demand_hourly")
+    medallion.build_silver(spark, landed(spark), DAILY, "silver_faulty")
+    forecast = load(spark, "weather_forecast", "silver_faulty")
+    as_view(forecast.unionByName(forecast.where("lead_days = 2")), "weather_forecast", "silver_faulty")
+    with pytest.raises(ValueError, match="weather_forecast grain unique"):
+        medallion.build_gold(spark, DAILY, silver="silver_faulty", gold="gold_faulty")
+    assert not spark.catalog.tableExists("gold_faulty.demand_features")
+
+
+def test_observed_copies_are_counted_by_key(spark):
+    rows = spark.createDataFrame([(1,), (1,), (1,), (2,), (3,), (3,), (None,), (None,)], "k int")
+    watch = checks.Watch(checks.mark_copies(rows, ["k"]), {"null": F.col("k").isNull(), "copies": F.col(checks.COPY)})
+    assert watch.df.count() == 8
+    assert dict(watch.counts()) == {"null": 2, "copies": 3}
+    with pytest.raises(ValueError, match="null: 2; copies: 3"):
+        checks.enforce_watched(watch)
