@@ -511,3 +511,34 @@ WHERE EXISTS (SELECT 1 FROM folds WHERE target_ts >= test_start AND target_ts <
     + f"""SELECT {_MART_COLUMNS} FROM joined WHERE demand_lag_mw IS NOT NULL
   AND issue_ts = (SELECT CAST(CAST(max(o_orderdate) AS DATE) - 7 AS TIMESTAMP) FROM orders)""",
 }
+
+ORACLES |= {
+    "malformed_files": _inputs("event")
+    + """SELECT settlement_date, count(*) FILTER (WHERE settlement_period % 3 = 0) AS n_malformed,
+  count(*) FILTER (WHERE settlement_period % 3 <> 0) AS n_read
+FROM staged WHERE day(settlement_date) = 2 GROUP BY 1 HAVING n_malformed > 0""",
+    "fold_rows": _inputs("order")
+    + ", "
+    + _HOLDOUT
+    + """, sides AS (
+  SELECT test_start, 'train' AS side, TIMESTAMP '0001-01-01' AS lo, CAST(train_end AS TIMESTAMP) AS hi FROM folds
+  UNION ALL SELECT test_start, 'test', CAST(test_start AS TIMESTAMP), CAST(test_end AS TIMESTAMP) FROM folds)
+SELECT test_start, side, series_id, lead_days, count(*) AS n, min(target_ts) AS first_target, max(target_ts) AS last_target
+FROM mart JOIN sides ON target_ts >= lo AND target_ts < hi GROUP BY 1, 2, 3, 4""",
+    "accuracy_incremental": ORACLES["accuracy_tracker"],
+    "batch_forecast_rows": _inputs("order")
+    + """SELECT series_id, target_ts, lead_days, CAST(issue_ts AS DATE) AS issue_date FROM joined
+WHERE demand_lag_mw IS NOT NULL
+  AND issue_ts = (SELECT CAST(CAST(max(o_orderdate) AS DATE) - 7 AS TIMESTAMP) FROM orders)""",
+    "sweep_rows": ORACLES["ablation_rows"].replace("SELECT lead_days, count(*) AS n_full", "SELECT seed, lead_days, count(*) AS n_full")
+    .replace("AS mean_demand_ablated FROM scored", "AS mean_demand_ablated FROM scored, (SELECT unnest([42, 0, 1, 2, 3]) AS seed)")
+    .replace("GROUP BY 1", "GROUP BY 1, 2"),
+    "model_inputs": _inputs("order")
+    + "SELECT series_id, target_ts, lead_days, CAST(hour AS DOUBLE) AS x_hour, CAST(day - 1 AS DOUBLE) AS x_day, "
+    "CAST(lead_days AS DOUBLE) AS x_lead_days, CAST(is_holiday AS DOUBLE) AS x_is_holiday, demand_lag_mw AS x_demand_lag_mw, "
+    + ", ".join(
+        f"coalesce({c}, 0) AS x_{c}, CAST({c} IS NULL AS DOUBLE) AS x_{c}_missing"
+        for c in ("temperature_2m", "heating_degrees", "cooling_degrees", "lag_7d", "lag_14d")
+    )
+    + " FROM mart",
+}

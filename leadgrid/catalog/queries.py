@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadgrid import schemas
 from leadgrid.catalog import standins
 from leadgrid.catalog.standins import DAILY, HOURLY, NATIONAL, VARIABLE, table
 from leadgrid.config import PitConfig
@@ -298,6 +299,21 @@ def check_payload(spark, sf_dir):
     return results[0].unionByName(results[1]).unionByName(results[2])
 
 
+@query
+def malformed_files(spark, sf_dir):
+    """Days whose files hold cut-off lines, found next to what can be read."""
+    path = scratch_path(spark, "bronze-malformed")
+    envelopes = bronze.demand_envelopes(standins.event_demand(spark, sf_dir), HOURLY)
+    line = F.to_json(F.struct("data"))
+    cut = (F.dayofmonth("settlement_date") == 2) & (F.col("data")[0]["settlementPeriod"] % 3 == 0)
+    lines = envelopes.select(F.when(cut, F.substring(line, 1, 40)).otherwise(line).alias("value"), "settlement_date")
+    lines.repartition("settlement_date").write.partitionBy("settlement_date").text(path)
+    record = schemas.with_series(schemas.DEMAND_RECORD, HOURLY.series)
+    found = bronze.malformed_files(spark, path, schemas.envelope(record, bronze.DEMAND_KEY))
+    day = F.regexp_extract("file", "settlement_date=([0-9-]+)", 1).cast("date")
+    return found.select(day.alias("settlement_date"), "n_malformed", "n_read")
+
+
 # Backfill windows ----------------------------------------------------------
 
 
@@ -670,6 +686,15 @@ def fold_membership(spark, sf_dir):
     return tiling.fold_membership(mart_daily(spark, sf_dir), _fold_list(spark, sf_dir))
 
 
+@query
+def fold_rows(spark, sf_dir):
+    """Rows of every fold's sides, told by series and lead."""
+    rows = tiling.fold_rows(mart_daily(spark, sf_dir), _fold_list(spark, sf_dir))
+    return rows.groupBy("test_start", "side", "series_id", "lead_days").agg(
+        F.count("*").alias("n"), F.min("target_ts").alias("first_target"), F.max("target_ts").alias("last_target")
+    )
+
+
 @query
 def fold_checks(spark, sf_dir):
     """Faults of the holdout's folds, three bad ones planted among them: one
@@ -769,6 +794,24 @@ def accuracy_tracker(spark, sf_dir):
     return over_time.withColumn("rmse", F.round("rmse", 4))
 
 
+@query
+def accuracy_incremental(spark, sf_dir):
+    """The same error from stored daily sums, brought up to date by three
+    batches of actuals: most of the past, the holdout, and days that came late."""
+    inputs = by_priority(spark, sf_dir)
+    mart = scoring.with_legal_anchor(scoring.with_baseline(inputs.mart(), DAILY))
+    forecasts = stored(mart.select("series_id", "target_ts", "lead_days", scoring.BASELINE), "forecasts")
+    hourly = stored(inputs.hourly, "hourly")
+    path = scratch_path(spark, "accuracy")
+    day = F.col("target_hour").cast("date")
+    recent, late = day >= F.lit(holdout_start(order_span(spark, sf_dir)[1])), F.dayofmonth(day) % 7 == 0
+    known = F.lit(False)
+    for batch in (~recent & ~late, recent, ~recent & late):
+        known = known | batch
+        tracking.update_accuracy(path, forecasts, hourly.where(known), hourly.where(batch), DAILY, scoring.BASELINE)
+    return tracking.stored_accuracy(spark, path, 28).withColumn("rmse", F.round("rmse", 4))
+
+
 @query
 def promotion(spark, sf_dir):
     rows = _baseline_rows(spark, sf_dir)
@@ -827,13 +870,42 @@ def serving_features(spark, sf_dir):
 
 @query
 def batch_forecast(spark, sf_dir):
-    """A model fitted on the past, forecasting the last complete issue date."""
+    """A model fitted on the past and stored; loaded by run date, it forecasts
+    the last complete issue date."""
     inputs = by_priority(spark, sf_dir)
     run_date = order_span(spark, sf_dir)[1] - dt.timedelta(days=DAILY.max_lead)
     frame = walk_forward.training_frame(inputs.mart(), DAILY)
+    models, forecasts = scratch_path(spark, "models"), scratch_path(spark, "forecasts")
     past = tracking.published(frame, run_date, DAILY)
-    model = walk_forward.fit(past, walk_forward.FEATURES, QUICK)
+    tracking.save_model(walk_forward.fit(past, walk_forward.FEATURES, QUICK), models, "v1", run_date, DAILY, QUICK)
+    _, model = tracking.load_model(spark, models, run_date, DAILY)
     rows = serving_rows(inputs.forecast, inputs.hourly, inputs.holidays, DAILY)
-    path = scratch_path(spark, "forecasts")
-    tracking.store_forecasts(tracking.batch_forecast(model, rows, run_date, DAILY), path)
-    return spark.read.parquet(path)
+    tracking.store_forecasts(tracking.batch_forecast(model, rows, run_date, DAILY), forecasts)
+    return spark.read.parquet(forecasts)
+
+
+@query
+def batch_forecast_rows(spark, sf_dir):
+    """Which forecasts the stored model makes."""
+    rows = batch_forecast(spark, sf_dir).where(F.col(scoring.MODEL).isNotNull())
+    return rows.select("series_id", "target_ts", "lead_days", "issue_date")
+
+
+@query
+def sweep_rows(spark, sf_dir):
+    """Rows and mean demand that every seed's two runs were scored on."""
+    columns = ("n_full", "n_ablated", "mean_demand_full", "mean_demand_ablated")
+    return seed_sweep_gbt(spark, sf_dir).select("seed", "lead_days", *columns)
+
+
+@query
+def seed_noise(spark, sf_dir):
+    """Mean, deviation and spread over the seeds, per lead and measure."""
+    return walk_forward.noise_floor(seed_sweep_gbt(spark, sf_dir))
+
+
+@query
+def model_inputs(spark, sf_dir):
+    """What goes into a fit: every encoded column, with its key."""
+    frame = walk_forward.encoded_frame(mart_daily(spark, sf_dir), DAILY)
+    return frame.select("series_id", "target_ts", "lead_days", *walk_forward.input_columns(walk_forward.FEATURES))

@@ -248,6 +248,13 @@ def payload_checks(envelopes: DataFrame, required: Iterable[str], name: str) ->
     return totals.select(F.inline(F.array(*pairs)))
 
 
+def long_frame_counts(name: str = "forecast") -> dict[str, Column]:
+    """Aggregates over melted records: whether there are none, and what they lack."""
+    empty = F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint")
+    lacking = {f"{name} missing {c}": F.count_if(F.col(c).isNull()) for c in FORECAST_REQUIRED}
+    return {f"{name} empty": empty} | lacking
+
+
 def long_frame_checks(long: DataFrame, name: str = "forecast") -> DataFrame:
     """Tripwire on melted records: no row at all, or a required value missing.
 
@@ -256,13 +263,9 @@ def long_frame_checks(long: DataFrame, name: str = "forecast") -> DataFrame:
     absent = [c for c in FORECAST_REQUIRED if c not in long.columns]
     if absent:
         raise ValueError(f"missing columns: {', '.join(absent)}")
-    counted = long.agg(
-        F.when(F.count("*") == 0, 1).otherwise(0).cast("bigint").alias("empty"),
-        *[F.count_if(F.col(c).isNull()).alias(f"missing {c}") for c in FORECAST_REQUIRED],
-    )
+    counted = long.agg(*[n.alias(check) for check, n in long_frame_counts(name).items()])
     pairs = [
-        F.struct(F.lit(f"{name} {c}").alias("check"), F.col(f"`{c}`").alias("n_violations"))
-        for c in counted.columns
+        F.struct(F.lit(check).alias("check"), F.col(f"`{check}`").alias("n_violations")) for check in counted.columns
     ]
     return counted.select(F.inline(F.array(*pairs)))
 

@@ -142,6 +142,35 @@ def fold_membership(rows: DataFrame, fold_list: list[Fold], train_start: dt.date
     )
 
 
+def fold_rows(rows: DataFrame, fold_list: list[Fold], train_start: dt.date | None = None) -> DataFrame:
+    """Each row once for every fold and side it belongs to: its columns, the
+    fold's three dates and ``side``, "train" or "test".
+
+    A range join through months: a fold's sides are listed by the months they
+    touch, rows meet their month's list by equality, and the bounds are checked
+    where a month is cut. Listed folds are bounded by folds times months, so they
+    are broadcast and rows stay where they are.
+    """
+    spark = rows.sparkSession
+    listed = spark.createDataFrame(fold_list, "train_end date, test_start date, test_end date")
+    month = F.trunc(F.col("target_ts").cast("date"), "month")
+    begin = F.lit(train_start) if train_start is not None else F.lit(None).cast("date")
+    first = rows.agg(F.min("target_ts").cast("date")).first()[0]  # where open training begins
+    sides = F.array(
+        F.struct(F.lit("train").alias("side"), F.coalesce(begin, F.lit(first)).alias("_lo"), F.col("train_end").alias("_hi")),
+        F.struct(F.lit("test").alias("side"), F.col("test_start").alias("_lo"), F.col("test_end").alias("_hi")),
+    )
+    months = F.sequence(F.trunc("_lo", "month"), F.date_sub("_hi", 1), F.expr("INTERVAL 1 MONTH"))
+    buckets = (
+        listed.select("*", F.inline(sides))
+        .where(F.col("_lo") < F.col("_hi"))
+        .withColumn("_month", F.explode(months))
+    )
+    day = F.col("target_ts").cast("date")
+    met = rows.withColumn("_month", month).join(F.broadcast(buckets), "_month")
+    return met.where((day >= F.col("_lo")) & (day < F.col("_hi"))).drop("_month", "_lo", "_hi")
+
+
 def membership_violations(membership: DataFrame) -> DataFrame:
     """Folds with an empty side, or training data not before the test data."""
     return membership.where(

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -135,58 +136,102 @@ def check_folds(frame: DataFrame, folds: list[Fold], train_start: dt.date | None
         raise ValueError(f"folds with an empty or overlapping side: {bad}")
 
 
-def walk_forward(
+class Variant(NamedTuple):
+    """One way to train: its name in the results, features and parameters."""
+
+    run: str
+    features: tuple[str, ...]
+    params: TreeParams
+
+
+def walk_forwards(
     frame: DataFrame,
     folds: list[Fold],
     cfg: PitConfig,
-    features: Iterable[str] = FEATURES,
-    params: TreeParams = PARAMS,
+    variants: list[Variant],
     train_start: dt.date | None = None,
     parallelism: int = 1,
     checked: bool = False,
 ) -> DataFrame:
-    """Out-of-sample predictions of every fold, in one table.
+    """Out-of-sample predictions of every variant and fold, in one table that
+    is keyed by ``run``.
 
     Each fold trains on ``[train_start, train_end)`` and predicts
-    ``[test_start, test_end)``. ``parallelism`` fits run at a time. Predictions
-    are stored, so scoring them does not evaluate the models again. Folds are
-    checked first, in a pass over the frame, unless they are ``checked``.
+    ``[test_start, test_end)``. All fits share one pool, ``parallelism`` at a
+    time, so none waits for a variant to end. Predictions are stored, so scoring
+    them does not evaluate the models again. Folds are checked first, in a pass
+    over the frame, unless they are ``checked``.
     """
     if not checked:
         check_folds(frame, folds, train_start)
-    features = tuple(features)
 
-    def run(fold: Fold) -> DataFrame:
-        model = fit(between(frame, train_start, fold.train_end), features, params)
-        return predicted(model, between(frame, fold.test_start, fold.test_end), cfg)
+    def one(job: tuple[Variant, Fold]) -> DataFrame:
+        variant, fold = job
+        model = fit(between(frame, train_start, fold.train_end), variant.features, variant.params)
+        rows = predicted(model, between(frame, fold.test_start, fold.test_end), cfg)
+        return stored(rows.withColumn("run", F.lit(variant.run)), "fold")
 
-    run = inheritable_thread_target(frame.sparkSession)(run)
-    with ThreadPool(min(parallelism, len(folds))) as pool:
-        parts = pool.map(run, folds)
+    jobs = [(variant, fold) for variant in variants for fold in folds]
+    one = inheritable_thread_target(frame.sparkSession)(one)
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        parts = pool.map(one, jobs, chunksize=1)
     return stored(reduce(DataFrame.unionByName, parts), "predictions")
 
 
-def ablation(
-    frame: DataFrame, folds: list[Fold], cfg: PitConfig, params=PARAMS, checked: bool = False, **how
+def walk_forward(
+    frame: DataFrame,
+    folds: list[Fold],
+    cfg: PitConfig,
+    features: Iterable[str] = FEATURES,
+    params: TreeParams = PARAMS,
+    **how,
 ) -> DataFrame:
+    """Out-of-sample predictions of every fold, in one table; see ``walk_forwards``."""
+    return walk_forwards(frame, folds, cfg, [Variant("", tuple(features), params)], **how).drop("run")
+
+
+def _ablations(frame: DataFrame, folds: list[Fold], cfg: PitConfig, params: dict[str, TreeParams], **how) -> dict[str, DataFrame]:
+    """For each named parameters the scores per lead with all features and
+    without weather, on the same rows."""
+    sides = {"full": FEATURES, "ablated": NON_WEATHER_FEATURES}
+    variants = [Variant(f"{name} {side}", names, p) for name, p in params.items() for side, names in sides.items()]
+    rows = with_legal_anchor(walk_forwards(frame, folds, cfg, variants, **how))
+    scores = {
+        v.run: score_by_lead(rows.where(F.col("run") == v.run), MODEL) for v in variants
+    }
+    return {name: ablation_difference(scores[f"{name} full"], scores[f"{name} ablated"]) for name in params}
+
+
+def ablation(frame: DataFrame, folds: list[Fold], cfg: PitConfig, params=PARAMS, **how) -> DataFrame:
     """Scores per lead with all features and without weather, on the same rows."""
-    if not checked:
-        check_folds(frame, folds, how.get("train_start"))
-    how["checked"] = True
-    full, without = (
-        score_by_lead(with_legal_anchor(walk_forward(frame, folds, cfg, names, params, **how)), MODEL)
-        for names in (FEATURES, NON_WEATHER_FEATURES)
-    )
-    return ablation_difference(full, without)
+    return _ablations(frame, folds, cfg, {"one": params}, **how)["one"]
 
 
 def seed_sweep(
     frame: DataFrame, folds: list[Fold], cfg: PitConfig, seeds=(42, 0, 1, 2, 3), params=BAGGED, **how
 ) -> DataFrame:
-    """The ablation once per seed, bagged: its spread is the noise floor."""
-    check_folds(frame, folds, how.get("train_start"))
-    runs = [
-        ablation(frame, folds, cfg, replace(params, seed=seed), True, **how).withColumn("seed", F.lit(seed))
-        for seed in seeds
-    ]
-    return reduce(DataFrame.unionByName, runs)
+    """The ablation once per seed, bagged, as one table keyed by seed and lead;
+    all fits of all seeds share one pool."""
+    runs = _ablations(frame, folds, cfg, {str(seed): replace(params, seed=seed) for seed in seeds}, **how)
+    return reduce(DataFrame.unionByName, [run.withColumn("seed", F.lit(int(seed))) for seed, run in runs.items()])
+
+
+def noise_floor(sweep: DataFrame, measures: Iterable[str] = ("rmse_pct_full", "rmse_pct_ablated", "pct_diff")) -> DataFrame:
+    """Per lead and measure what changing the seed alone does: number of seeds,
+    mean, standard deviation (of a sample), least, greatest and spread, and
+    whether all seeds have one sign.
+
+    An effect is real if it is large next to the spread and of one sign.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]))
+    rows = sweep.select("lead_days", each.alias("x")).select("lead_days", "x.measure", "x.value")
+    value = F.col("value")
+    return rows.groupBy("lead_days", "measure").agg(
+        F.count(value).alias("n_seeds"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("sd"),
+        F.min(value).alias("least"),
+        F.max(value).alias("greatest"),
+        (F.max(value) - F.min(value)).alias("spread"),
+        (F.min(F.signum(value)) == F.max(F.signum(value))).alias("one_sign"),
+    )

@@ -20,6 +20,7 @@ from leadgrid.sources.storage import stored
 
 DEMAND_KEY = "settlement_date"
 FORECAST_KEY = "issue_date"
+CORRUPT = "_corrupt"
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -31,10 +32,9 @@ def _read_days(spark, path: str, schema: T.StructType, key: str, lo: dt.date | N
     named one by one, so no other day is listed; a day that was not landed has
     no rows. With one bound, partitions are pruned after listing."""
     if lo is not None and hi is not None:
-        days = [lo + dt.timedelta(days=i) for i in range((hi - lo).days + 1)]
-        if not days:
+        if lo > hi:
             return spark.createDataFrame([], schema)
-        one_of = "{" + ",".join(day.isoformat() for day in days) + "}"
+        one_of = _one_of(lo, hi)
         reader = spark.read.schema(schema).option("mode", "FAILFAST").option("basePath", path)
         if not _exists(spark, f"{path}/{key}={one_of}"):
             return spark.createDataFrame([], schema)
@@ -47,6 +47,11 @@ def _read_days(spark, path: str, schema: T.StructType, key: str, lo: dt.date | N
     return df
 
 
+def _one_of(lo: dt.date, hi: dt.date) -> str:
+    """A path pattern for the days of a closed range."""
+    return "{" + ",".join((lo + dt.timedelta(days=i)).isoformat() for i in range((hi - lo).days + 1)) + "}"
+
+
 def _exists(spark: SparkSession, pattern: str) -> bool:
     """Whether a path pattern names anything in its file system."""
     jvm = spark._jvm
@@ -69,6 +74,22 @@ def read_holidays(spark, path: str) -> DataFrame:
     return _read(spark, path, schemas.HOLIDAY_FEED)
 
 
+def malformed_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, n_malformed, n_read) of the files that hold lines which are no
+    envelope; ``n_read`` is the records that their other lines hold.
+
+    The readers fail on such a line without saying how many there are. This
+    reads on, keeps the line's text in a column, and counts by file.
+    """
+    permissive = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.schema(permissive).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    read = F.coalesce(F.when(F.col(CORRUPT).isNull(), F.size("data")), F.lit(0))
+    counted = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count(CORRUPT).alias("n_malformed"), F.sum(read).alias("n_read")
+    )
+    return counted.where(F.col("n_malformed") > 0)
+
+
 def demand_envelopes(demand: DataFrame, cfg: PitConfig) -> DataFrame:
     """Silver demand as landed: one envelope per record, keyed by settlement date."""
     record = F.struct(
@@ -127,39 +148,47 @@ def rows_per_issue(long: DataFrame, cfg: PitConfig) -> DataFrame:
     return long.groupBy(*cfg.series, "issue_ts").agg(F.count("*").alias("n"))
 
 
-def by_issue(long: DataFrame, cfg: PitConfig, per_lead: int = 24, variables: int = 1) -> DataFrame:
+def by_issue(
+    long: DataFrame, cfg: PitConfig, per_lead: int = 24, variables: int = 1, also: tuple[str, ...] = ()
+) -> DataFrame:
     """The records with ``_n`` and ``_whole``: the distinct records of the
     series' issue date, and whether these are every lead and hour.
 
     Distinct (target, variable) pairs are counted, so copies do not make a
     truncated date look full. A group is one issue date of one series, so the
-    records are shuffled once and in small groups.
+    records are shuffled once and in small groups. ``also`` names columns that
+    tell fetches apart.
     """
     pairs = F.collect_set(F.struct("target_ts", "variable"))
-    n = F.size(pairs.over(Window.partitionBy(*cfg.series, "issue_ts")))
+    n = F.size(pairs.over(Window.partitionBy(*also, *cfg.series, "issue_ts")))
     expected = len(cfg.leads) * per_lead * variables
     return long.withColumn("_n", n).withColumn("_whole", F.col("_n") == expected)
 
 
-def withheld_issues(judged: DataFrame, cfg: PitConfig) -> DataFrame:
+def withheld_issues(judged: DataFrame, cfg: PitConfig, also: tuple[str, ...] = ()) -> DataFrame:
     """(series, issue_ts, n) of what ``by_issue`` holds to be incomplete."""
     n = F.first("_n").cast("bigint").alias("n")
-    return judged.where(~F.col("_whole")).groupBy(*cfg.series, "issue_ts").agg(n)
+    return judged.where(~F.col("_whole")).groupBy(*also, *cfg.series, "issue_ts").agg(n)
 
 
-def merge_forecast(long: DataFrame, path: str, cfg: PitConfig) -> None:
+def merge_forecast(long: DataFrame, path: str, cfg: PitConfig, is_stored: bool = False) -> None:
     """Land records into the shared partition space.
 
     A record replaces landed ones of its own series, target, issue time and
     variable (at whatever lead it was read); all else in its partition stays.
-    Only the partitions of the incoming issue dates are read and written.
+    Only the partitions of the incoming issue dates are read and written. Where
+    none of them exists yet, the records are landed as they are; only a merge is
+    written elsewhere first. Say so if the records are stored already.
     """
     spark = long.sparkSession
-    incoming = stored(long, "incoming")
+    incoming = long if is_stored else stored(long, "incoming")
     day = F.col("issue_ts").cast("date")
     span = incoming.agg(F.min(day), F.max(day)).first()
     if span[0] is None:
         return
+    if not _exists(spark, f"{path}/{FORECAST_KEY}={_one_of(*span)}"):
+        land(forecast_envelopes(incoming), path, FORECAST_KEY)
+        return
     envelopes = forecast_envelopes(incoming)
     days = F.broadcast(incoming.select(day.alias(FORECAST_KEY)).distinct())
     landed = read_forecast(spark, path, cfg, *span).join(days, FORECAST_KEY, "left_semi")
@@ -196,5 +225,5 @@ def land_complete_forecast(
     """Land a fetch of ``[lo, hi]``: of each series the issue dates that are
     whole. Returns the (series, issue_ts, n) that were withheld."""
     judged = stored(by_issue(writable(long, lo, hi, cfg), cfg, per_lead, variables), "judged")
-    merge_forecast(judged.where("_whole").drop("_n", "_whole"), path, cfg)
+    merge_forecast(judged.where("_whole").drop("_n", "_whole"), path, cfg, is_stored=True)
     return withheld_issues(judged, cfg)

@@ -10,7 +10,7 @@ from leadgrid.catalog.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # no SQL: models
-ROWS_ONLY = {"walk_forward_gbt", "ablation_gbt", "seed_sweep_gbt", "batch_forecast"}
+ROWS_ONLY = {"walk_forward_gbt", "ablation_gbt", "seed_sweep_gbt", "seed_noise", "batch_forecast"}
 # neither products of tables nor Python workers belong in a data query
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow")
 
