@@ -175,18 +175,21 @@ _PHRASES = " UNION ALL ".join(
     for phrase, label in licenses.PHRASES.items()
 )
 _TEMPLATES = ", ".join(
-    f"('{label}', [{', '.join(repr(w.decode()) for w in words)}])" for label, words in licenses.template_words(licenses.TEMPLATES)
+    f"('{label}', [{', '.join(repr(w.decode()) for w in words)}], {licenses.width_of(text)})"
+    for (label, words), (_, text) in zip(licenses.template_words(licenses.TEMPLATES), licenses.TEMPLATES, strict=True)
 )
-_LINE = _ALNUM.replace("coalesce(text, '')", "line")
 
 ORACLES["op6_license_scan"] = rf"""
     WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
     p AS ({_PHRASES}),
     b AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word,
                  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
-    l AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\r\n|\n|\r')) AS line FROM documents),
-    t AS (SELECT * FROM (VALUES {_TEMPLATES}) v(label, words)),
-    m AS (SELECT doc_id, label, len(list_intersect(list_distinct({_LINE}), words)) / len(words) AS share FROM l CROSS JOIN t),
+    t AS (SELECT * FROM (VALUES {_TEMPLATES}) v(label, words, width)),
+    y AS (SELECT label, width, len(words) AS size, unnest(words) AS word FROM t),
+    e AS (SELECT doc_id, row, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT *, row_number() OVER () AS row FROM d)),
+    o AS (SELECT doc_id, row, i, label, width, size, word FROM e JOIN y USING (word)),
+    m AS (SELECT a.doc_id, a.row, a.label, a.i, count(DISTINCT b.word) / any_value(a.size) AS share
+          FROM o a JOIN o b ON b.row = a.row AND b.label = a.label AND b.i >= a.i AND b.i < a.i + a.width GROUP BY ALL),
     g AS (SELECT doc_id, label, share FROM m WHERE share >= {licenses.THRESHOLD} - 1e-9),
     a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
           FROM (SELECT doc_id, label FROM g UNION SELECT doc_id, label FROM p) GROUP BY doc_id),

@@ -1,3 +1,4 @@
+import random
 import re
 
 import messy
@@ -12,7 +13,7 @@ def words_of(text):
 
 
 def brute(texts, templates, phrases, threshold):
-    sets = [(label, set(words_of(t))) for label, t in templates]
+    sets = [(label, set(words_of(t)), len(words_of(t)) + len(words_of(t)) // 4) for label, t in templates]
     out = []
     for i, t in texts:
         w, at, base, more, best = words_of(t), [], set(), set(), 0.0
@@ -21,10 +22,10 @@ def brute(texts, templates, phrases, threshold):
             places = [a for a in range(len(w)) if w[a : a + len(p)] == p]
             at += places
             base |= {label} if places else set()
-        for line in re.split("\r\n|\n|\r", t or ""):
-            have = set(words_of(line))
-            for label, words in sets:
-                share = len(have & words) / len(words)
+        known = set().union(*(words for _, words, _ in sets))
+        for a in [a for a, word in enumerate(w) if word in known]:
+            for label, words, width in sets:
+                share = len(words.intersection(w[a : a + width])) / len(words)
                 if share >= threshold - 1e-9:
                     more.add(label)
                     best = max(best, share)
@@ -42,6 +43,13 @@ def texts():
         (33, "permission is granted free of charge to any person obtaining a copy of this software hereby"),
         (34, "CC BY CC BY cc by"),
         (35, "cc\tby-nc 4.0\rlicensed under cc by nc 4"),
+        (37, "either version 3 of the License, or\n(at your option) any later version."),
+        (38, " * distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY"),
+        (39, "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted"),
+        (40, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0"),
+        (41, "Permission is hereby granted, free\nof charge, to any\nperson obtaining a copy\nof this software"),
+        (42, "# " + "\n# ".join(dict(licenses.TEMPLATES)["bsd-body"].replace("code", "text").splitlines())),
+        (43, "hereby granted " + messy.prose(5, 60) + " free of charge permission is to any person obtaining"),
         (36, messy.prose(8, 400) + "\nReleased under the MIT License\n" + messy.prose(9, 400)),
     ]
 
@@ -64,3 +72,22 @@ def test_templates_of_common_words(spark):
 
 def test_empty(spark):
     assert licenses.scan(messy.empty(spark)).collect() == []
+
+
+def test_wrapped_notices_are_found(spark):
+    """However lines end, and with a word changed."""
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(messy.frame(spark, texts())).collect()}
+    found = {37: "gpl-or-later", 38: "no-warranty", 39: "bsd-redistribution", 40: "mpl-notice", 41: "mit-permission", 42: "bsd-body"}
+    assert all(label in got[i] for i, label in found.items()) and got[43] == [""]
+
+
+def test_runs_hold_what_every_window_holds():
+    pick = random.Random(4)
+    for _ in range(200):
+        words = [pick.randrange(12) for _ in range(pick.randint(0, 40))]
+        at = [(i, w) for i, w in enumerate(words) if w < 6]
+        rare, width = frozenset({0, 1}), pick.randint(1, 9)
+        runs = licenses.blocks_of([i for i, _ in at], [w for _, w in at], width, rare, 2)
+        windows = [{w for w in words[i : i + width] if w < 6} for i in range(len(words))]
+        wanted = [w for w in windows if len(w) >= 2 and w & rare]
+        assert all(any(w <= set(r) for r in runs) for w in wanted) and all(set(r) in wanted for r in runs)
