@@ -5,6 +5,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from fixtures import CFG, H, at, hours, long_frame
@@ -236,3 +237,39 @@ def test_tables_by_layer(spark):
 def test_series_columns_lead_the_record():
     record = schemas.with_series(schemas.DEMAND_RECORD, PitConfig(series=("meter",)).series)
     assert record.names[0] == "meter"
+
+
+def test_malformed_lines_are_located(spark, tmp_path):
+    good = '{"data":[{"title":"x","date":"2024-01-01"},{"title":"y","date":"2024-01-02"}]}'
+    for name, lines in {"a": [good, good[:30], good], "b": [good], "c": ["{", "not json", ""], "d": []}.items():
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    record = T.StructType([T.StructField("title", T.StringType()), T.StructField("date", T.StringType())])
+    schema = T.StructType([T.StructField("data", T.ArrayType(record))])
+    got = {os.path.basename(r["file"]): (r["n_malformed"], r["n_read"]) for r in bronze.malformed_files(spark, f"file://{tmp_path}", schema).collect()}
+    assert got == {"a.json": (1, 4), "c.json": (2, 0)}
+
+
+def test_windows_withhold_what_each_of_them_lacks(spark, tmp_path):
+    """A gap in one window's fetch keeps back its issue dates, and only these; the fetch is read once."""
+    wide = spark.createDataFrame(
+        [(t, *[float(n) for n in range(8)]) for t in hours("2024-07-01", 24 * 40) if t != at("2024-07-20 05:00:00")],
+        "date timestamp_ntz, " + ", ".join(f"{n} double" for n in reshape.variable_names("temperature_2m", 7)),
+    )
+    span = spark.createDataFrame([(dt.date(2024, 7, 1), dt.date(2024, 8, 9))], "start_date date, end_date date")
+    withheld = ingest.ingest_windows(wide, f"{tmp_path}/f", span, 12, CFG, "temperature_2m").collect()
+    lacking = {dt.date(2024, 7, 20) - dt.timedelta(days=n) for n in range(8)}
+    assert {r["issue_ts"].date() for r in withheld} == lacking and {r["n"] for r in withheld} == {191}
+    assert len({r["window_start"] for r in withheld}) > 1
+    landed_dates = {p.split("=")[1] for p in glob.glob(f"{tmp_path}/f/issue_date=*")}
+    assert landed_dates == {str(dt.date(2024, 7, 1) + dt.timedelta(days=i)) for i in range(33)} - {str(d) for d in lacking}
+
+
+def test_a_window_without_records_stops_a_backfill(spark, tmp_path):
+    wide = spark.createDataFrame(
+        [(t, *[1.0] * 8) for t in hours("2024-07-01", 24 * 15)],
+        "date timestamp_ntz, " + ", ".join(f"{n} double" for n in reshape.variable_names("temperature_2m", 7)),
+    )
+    span = spark.createDataFrame([(dt.date(2024, 7, 1), dt.date(2024, 8, 30))], "start_date date, end_date date")
+    with pytest.raises(ValueError, match="windows without records: .'2024-07-16'"):
+        ingest.ingest_windows(wide, f"{tmp_path}/f", span, 12, CFG, "temperature_2m")
+    assert not os.path.exists(f"{tmp_path}/f")

@@ -1,10 +1,15 @@
 import datetime as dt
+import glob
 import math
+import os
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import CFG, forecast_frame, holiday_frame, hourly_frame, hours
+from leadgrid.config import PitConfig
 from leadgrid.operators import scoring, tiling
 from leadgrid.plans import tracking, walk_forward as wf
 from leadgrid.plans.mart import build_mart, serving_rows
@@ -142,3 +147,76 @@ def test_promotion(spark):
     challenger = spark.createDataFrame([(recent, 0, 10.0, 11.0), (recent, 1, 10.0, 11.0), (old, 0, 10.0, 99.0)], schema)
     got = {r["lead_days"]: r["promote"] for r in tracking.promotion(champion, challenger, dt.date(2024, 1, 1), CFG).collect()}
     assert got == {0: True, 1: False}
+
+
+def test_late_and_corrected_actuals_change_their_months_only(spark, tmp_path):
+    times = hours("2024-01-01", 24 * 90, 24)
+    pick = random.Random(3)
+    actual = {t: float(pick.randint(900, 1100)) for t in times}
+    forecasts = spark.createDataFrame([(t, n, 1000.0 + n) for t in times for n in range(3)], "target_ts timestamp_ntz, lead_days int, p double")
+    path, late = str(tmp_path / "errors"), [t for t in times if t.day % 5 == 0]
+
+    def arrive(known, new):
+        tracking.update_accuracy(path, forecasts, hourly_frame(spark, known, actual.get), hourly_frame(spark, new, actual.get), CFG, "p")
+
+    def whole():
+        tracked = tracking.with_actuals(forecasts, hourly_frame(spark, times, actual.get), CFG)
+        return sorted(tuple(r) for r in tracking.accuracy_over_time(tracked, "p", 28).collect())
+
+    on_time = [t for t in times if t not in late]
+    arrive(on_time, on_time)
+    assert sorted(tuple(r) for r in tracking.stored_accuracy(spark, path, 28).collect()) != whole()
+    arrive(times, late)
+    assert sorted(tuple(r) for r in tracking.stored_accuracy(spark, path, 28).collect()) == whole()
+    before = {p: os.path.getmtime(p) for p in glob.glob(f"{path}/target_month=*/*.parquet")}
+    corrected = times[40]
+    actual[corrected] += 50.0
+    arrive(times, [corrected])
+    arrive(times, [corrected])  # again: nothing is counted twice
+    assert sorted(tuple(r) for r in tracking.stored_accuracy(spark, path, 28).collect()) == whole()
+    after = set(glob.glob(f"{path}/target_month=*/*.parquet"))
+    assert {p.split("target_month=")[1][:10] for p in set(before) - after} == {"2024-02-01"}
+
+
+def test_a_stored_model_predicts_the_same(spark, tmp_path, frame, folds):
+    path, day = str(tmp_path / "models"), dt.date(2024, 4, 1)
+    small = wf.TreeParams(trees=3, step=0.3, depth=3, bins=32)
+    model = wf.fit(tracking.published(frame, day, CFG), wf.FEATURES, small)
+    tracking.save_model(model, path, "a", day, CFG, small)
+    tracking.save_model(wf.fit(wf.between(frame, None, dt.date(2024, 3, 1)), wf.FEATURES, small), path, "b", dt.date(2024, 3, 1), CFG, small)
+    held = wf.between(frame, folds[0].test_start, folds[0].test_end)
+    for run_date, version in ((day, "a"), (dt.date(2024, 3, 15), "b"), (dt.date(2030, 1, 1), "a")):
+        got, loaded = tracking.load_model(spark, path, run_date, CFG)
+        assert got == version
+        if version == "a":
+            assert wf.predicted(loaded, held, CFG).exceptAll(wf.predicted(model, held, CFG)).count() == 0
+    facts = {r["version"]: r["trained_to"] for r in tracking.stored_models(spark, path).collect()}
+    assert facts == {"a": day, "b": dt.date(2024, 3, 1)}
+    with pytest.raises(ValueError, match="no model"):
+        tracking.load_model(spark, path, dt.date(2024, 1, 1), CFG)
+    with pytest.raises(ValueError, match="other rules"):
+        tracking.load_model(spark, path, day, PitConfig(publication_lag_hours=9))
+
+
+def test_noise_floor_is_the_spread_over_seeds(spark):
+    pick = random.Random(1)
+    rows = [(lead, seed, pick.random(), pick.random() - 2, pick.random() - 0.5) for lead in range(3) for seed in range(5)]
+    sweep = spark.createDataFrame(rows, "lead_days int, seed int, rmse_pct_full double, rmse_pct_ablated double, pct_diff double")
+    got = {(r["lead_days"], r["measure"]): r for r in wf.noise_floor(sweep).collect()}
+    assert len(got) == 9
+    for (lead, measure), r in got.items():
+        at = {"rmse_pct_full": 2, "rmse_pct_ablated": 3, "pct_diff": 4}[measure]
+        values = [row[at] for row in rows if row[0] == lead]
+        assert r["n_seeds"] == 5 and math.isclose(r["sd"], statistics.stdev(values)) and math.isclose(r["mean"], statistics.mean(values))
+        assert math.isclose(r["spread"], max(values) - min(values))
+        assert r["one_sign"] == (len({math.copysign(1, v) for v in values}) == 1)
+
+
+def test_variants_in_one_pool_are_those_alone(frame, folds, predictions):
+    small = wf.TreeParams(trees=2, step=0.3, depth=2, bins=16)
+    variants = [wf.Variant("x", wf.FEATURES, small), wf.Variant("y", wf.NON_WEATHER_FEATURES, small)]
+    both = wf.walk_forwards(frame, folds, CFG, variants, parallelism=4)
+    for v in variants:
+        alone = wf.walk_forward(frame, folds, CFG, v.features, small)
+        assert both.where(F.col("run") == v.run).drop("run").exceptAll(alone).count() == 0
+    assert both.count() == 2 * predictions.count()

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,28 @@ def test_membership(spark):
     assert tiling.membership_violations(got).count() == 0
     empty = tiling.fold_membership(frame.where("target_ts < '2025-07-01'"), [fold])
     assert tiling.membership_violations(empty).count() == 1
+
+
+@pytest.mark.parametrize("train_start", [None, dt.date(2024, 2, 10)])
+def test_fold_rows_are_the_members_of_each_side(spark, train_start):
+    pick = random.Random(5)
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=pick.randrange(24 * 200)) for _ in range(400)]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "target_ts timestamp_ntz, id int")
+    folds = [
+        tiling.Fold(dt.date(2024, 3, 25), dt.date(2024, 4, 1), dt.date(2024, 5, 1)),
+        tiling.Fold(dt.date(2024, 4, 8), dt.date(2024, 4, 15), dt.date(2024, 6, 15)),
+        tiling.Fold(dt.date(2023, 1, 1), dt.date(2024, 7, 1), dt.date(2024, 7, 2)),
+    ]
+    want = set()
+    for f in folds:
+        for i, t in enumerate(times):
+            if (train_start is None or t.date() >= train_start) and t.date() < f.train_end:
+                want.add((f.test_start, "train", i))
+            if f.test_start <= t.date() < f.test_end:
+                want.add((f.test_start, "test", i))
+    found = tiling.fold_rows(rows, folds, train_start)
+    got = [(r["test_start"], r["side"], r["id"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    sizes = {(r["test_start"], s): r[f"n_{s}"] for r in tiling.fold_membership(rows, folds, train_start).collect() for s in ("train", "test")}
+    counted = {(r["test_start"], r["side"]): r["count"] for r in found.groupBy("test_start", "side").count().collect()}
+    assert {k: n for k, n in sizes.items() if n} == counted
