@@ -213,7 +213,7 @@ def test_noise_floor_is_the_spread_over_seeds(spark):
 
 
 def test_variants_in_one_pool_are_those_alone(frame, folds, predictions):
-    small = wf.TreeParams(trees=2, step=0.3, depth=2, bins=16)
+    small = wf.TreeParams(trees=2, step=0.3, depth=2, bins=32)
     variants = [wf.Variant("x", wf.FEATURES, small), wf.Variant("y", wf.NON_WEATHER_FEATURES, small)]
     both = wf.walk_forwards(frame, folds, CFG, variants, parallelism=4)
     for v in variants:
