@@ -213,7 +213,8 @@ def mine(
     frequent = every.filter(F.col("f") >= least)
     found, bits = frequent.select("lang", F.lit(1).alias("k"), "item", "f"), _filter(frequent)
     for k in range(2, longest + 1):
-        counted = count_longer(relation, bits).groupBy("lang", "item").agg(F.sum("n").alias("f"))
+        # counts were added up by the relation's rows, where most phrases are distinct: they are dealt out before the rest is
+        counted = count_longer(relation, bits).repartition("lang", "item").groupBy("lang", "item").agg(F.sum("n").alias("f"))
         frequent = stored(counted.filter(F.col("f") >= least), f"phrases-f{k}")
         found = found.unionByName(frequent.select("lang", F.lit(k).alias("k"), "item", "f"))
         if k < longest:
