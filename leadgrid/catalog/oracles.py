@@ -530,9 +530,12 @@ FROM mart JOIN sides ON target_ts >= lo AND target_ts < hi GROUP BY 1, 2, 3, 4""
     + """SELECT series_id, target_ts, lead_days, CAST(issue_ts AS DATE) AS issue_date FROM joined
 WHERE demand_lag_mw IS NOT NULL
   AND issue_ts = (SELECT CAST(CAST(max(o_orderdate) AS DATE) - 7 AS TIMESTAMP) FROM orders)""",
-    "sweep_rows": ORACLES["ablation_rows"].replace("SELECT lead_days, count(*) AS n_full", "SELECT seed, lead_days, count(*) AS n_full")
-    .replace("AS mean_demand_ablated FROM scored", "AS mean_demand_ablated FROM scored, (SELECT unnest([42, 0, 1, 2, 3]) AS seed)")
-    .replace("GROUP BY 1", "GROUP BY 1, 2"),
+    "sweep_rows": _inputs("order")
+    + ", "
+    + _HOLDOUT
+    + """SELECT seed, lead_days, count(*) AS n_full, count(*) AS n_ablated, avg(demand_mw) AS mean_demand_full,
+  avg(demand_mw) AS mean_demand_ablated FROM scored CROSS JOIN (SELECT unnest([42, 0, 1, 2, 3]) AS seed)
+WHERE EXISTS (SELECT 1 FROM folds WHERE target_ts >= test_start AND target_ts < test_end) GROUP BY 1, 2""",
     "model_inputs": _inputs("order")
     + "SELECT series_id, target_ts, lead_days, CAST(hour AS DOUBLE) AS x_hour, CAST(day - 1 AS DOUBLE) AS x_day, "
     "CAST(lead_days AS DOUBLE) AS x_lead_days, CAST(is_holiday AS DOUBLE) AS x_is_holiday, demand_lag_mw AS x_demand_lag_mw, "
