@@ -7,7 +7,8 @@ bitfield of the positions from which nothing fits keeps the search linear.
 
 No merge crosses two neighbouring characters that no piece holds side by side, the start of a word in most models. Texts
 are cut there, and the parts encoded one at a time and remembered. Characters without a piece become byte pieces, or the unknown piece in models
-without these. Null texts count as empty and give the begin and end ids only; every row gives one row.
+without these. Null texts count as empty and give the begin and end ids only; every row gives one row, repeated rows and null ids
+too. Very long texts are encoded word by word, other columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
