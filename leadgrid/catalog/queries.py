@@ -25,8 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Fewer trees for the registered runs; all else, and the full count, is in walk_forward.
-QUICK = walk_forward.TreeParams(trees=2, step=0.3)
-QUICK_BAGGED = replace(QUICK, trees=1, row_share=0.8, feature_share="0.8")
+QUICK = walk_forward.TreeParams(trees=10, step=0.3)
+QUICK_BAGGED = replace(QUICK, trees=2, row_share=0.8, feature_share="0.8")
 HOLDOUT_MONTHS = 12
 
 
