@@ -12,7 +12,9 @@ files, not whole files, are the unit of work, so archives of any size are read i
 
 Null payloads are empty, null urls and ids leave out their header; line breaks in urls are percent-encoded. What follows
 a break of the chain in a file (bytes that are no record) is not reached and not returned; a record that the end of the
-file cuts short is returned as far as it goes.
+file cuts short is returned as far as it goes. A block that is not HTTP, as in records that describe the archive, is all
+payload; a revisit without a digest or a length has nulls there. Repeated rows are records of their own, other columns are
+not read, payloads of any length may cross splits, and an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -256,10 +258,13 @@ def _parsed(batches):
             for line in head.decode("utf-8", "replace").split("\r\n"):
                 name, _, value = line.partition(":")
                 fields[name.lower()] = value.strip()
-            http, _, payload = rest[: _content_length(head)].partition(END.encode())
+            http, payload = b"", rest[: _content_length(head)]
+            if payload.startswith(b"HTTP/") or fields.get("content-type", "").lower().startswith("application/http"):
+                http, _, payload = payload.partition(END.encode())
             kind = fields.get("warc-type")
             if kind == "revisit":
-                size, digest, payload = _content_length(http), fields["warc-payload-digest"].removeprefix("sha1:"), None
+                told = fields.get("warc-payload-digest")
+                size, digest, payload = _content_length(http), told and told.removeprefix("sha1:"), None
             else:
                 size, digest = len(payload), hashlib.sha1(payload).hexdigest()
             ids = _number(fields.get("warc-record-id")), _number(fields.get("warc-refers-to"))

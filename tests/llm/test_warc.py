@@ -76,5 +76,33 @@ def test_foreign_archives(spark, tmp_path):
     assert sorted(bytes(r.payload) for r in rows) == [b"pay"] + [b"payload"] * 5
 
 
+def test_records_of_other_kinds(spark, tmp_path):
+    """Blocks that are no HTTP, requests, and revisits that tell nothing of their payload."""
+
+    def record(kind, block, *headers):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n\r\n"
+
+    info = "software: x\r\n\r\nformat: y"
+    request = "GET / HTTP/1.1\r\nHost: x\r\n\r\nbody"
+    text = (
+        record("warcinfo", info, "Content-Type: application/warc-fields")
+        + record("resource", "a\r\n\r\nb", "Content-Type: text/plain", "WARC-Target-URI: file:///x")
+        + record("request", request, "Content-Type: application/http; msgtype=request")
+        + record("revisit", "HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n")
+        + record("revisit", "", "WARC-Payload-Digest: sha1:ABC")
+        + record("response", "HTTP/1.1 200 OK\r\n\r\nlast")
+    )
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    got = [(r.type, r.payload and bytes(r.payload).decode(), r.payload_bytes, r.url) for r in warc.read(spark, f"file://{tmp_path}").collect()]
+    want = [
+        ("warcinfo", info, len(info), None), ("resource", "a\r\n\r\nb", 6, "file:///x"), ("request", "body", 4, None),
+        ("revisit", None, 12, None), ("revisit", None, None, None), ("response", "last", 4, None),
+    ]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    digests = {r.payload_digest for r in warc.read(spark, f"file://{tmp_path}").collect() if r.type == "revisit"}
+    assert digests == {None, "ABC"}
+
+
 def test_empty(spark):
     assert warc.roundtrip(frame(spark, pages()).limit(0)).collect() == []
