@@ -39,7 +39,7 @@ TOP = 2000
 ABSORBED = 50
 UNKNOWN_LANG = "und"
 #: words that a task holds, of all languages; then those of the largest one become a row
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _LANGS = 1 << 10
 _ROWS = 1 << 16
 #: no UTF-8 text holds this byte: it stands for the end of a piece
@@ -99,7 +99,7 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             return _row(lang, items, np.concatenate(parts))
 
         for batch in batches:
-            langs = batch.column(1).to_pylist()
+            langs, text = batch.column(1).to_pylist(), None
             for text, lang in zip(batch.column(0), langs, strict=True):
                 found = words(string_bytes(text))
                 if len(found) == 1:
@@ -112,6 +112,8 @@ def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     most = max(sizes, key=sizes.get)
                     size -= sizes[most]
                     yield flush(most)
+            del batch, text
+            pa.default_memory_pool().release_unused()
         yield from map(flush, list(held))
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG))
@@ -126,10 +128,14 @@ def _hashes(lang: str, items: pa.Array) -> np.ndarray:
 
 
 def _rows(batches):
+    """The rows of a relation; a batch is let go before the next one is read."""
     for batch in batches:
         for i in range(batch.num_rows):
             items = batch.column("items")[i].values
             yield batch.column("lang")[i].as_py(), items, np.frombuffer(batch.column("codes")[i].as_buffer(), dtype="<u4")
+            del items
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def _pruned(lang: str, items: pa.Array, codes: np.ndarray, bits: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -175,7 +181,7 @@ def count_longer(relation: DataFrame, bits: np.ndarray) -> DataFrame:
                     [pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + _ROWS], pa.int64())], ["lang", "item", "n"]
                 )
 
-    return relation.mapInArrow(run, _COUNTS)
+    return relation.select("lang", "items", "codes").mapInArrow(run, _COUNTS)
 
 
 def longer(relation: DataFrame, bits: np.ndarray, longer_bits: np.ndarray) -> DataFrame:
@@ -190,11 +196,12 @@ def longer(relation: DataFrame, bits: np.ndarray, longer_bits: np.ndarray) -> Da
             pair, which = np.unique(pair, return_inverse=True)
             longer_codes = np.zeros(len(codes), dtype=np.uint32)
             longer_codes[at] = which.reshape(-1) + 1
+            del at, which, codes
             found, longer_codes = _pruned(lang, _phrases(items, pair), longer_codes, held_longer.value)
             if len(found):
                 yield _row(lang, found, longer_codes)
 
-    return relation.mapInArrow(run, _RELATION)
+    return relation.select("lang", "items", "codes").mapInArrow(run, _RELATION)
 
 
 def _filter(frequent: DataFrame) -> np.ndarray:
