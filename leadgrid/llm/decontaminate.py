@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadgrid.llm import bloom
-from leadgrid.llm.text import ALNUM_TABLE, alnum_words, merged, string_bytes, text_bytes
+from leadgrid.llm.text import ALNUM_TABLE, alnum_words, merged, slices, string_bytes, text_bytes
 from leadgrid.sources.storage import stored
 
 WINDOW = 10
@@ -318,7 +318,7 @@ def _cleaner(held, longest_share: float, text_at: int, chars_at: int | None):
 
     def run(batches):
         match = Matcher(pickle.loads(held.value))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_at)):
             yield _rewritten(batch, [cleaned(match, string_bytes(t)) for t in batch.column(text_at)], text_at, chars_at)
 
     return run
@@ -350,7 +350,7 @@ def _cutter(share: float | None, text_at: int, chars_at: int | None):
         return None if share is not None and _too_much(found, alnum_words(data), share) else without(data, found)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_at)):
             plain = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
             new = [cut(string_bytes(t), s) for t, s in zip(batch.column(text_at), batch.column(-1).to_pylist(), strict=True)]
             yield _rewritten(plain, new, text_at, chars_at)

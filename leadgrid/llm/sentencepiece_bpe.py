@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadgrid.llm.text import text_bytes
+from leadgrid.llm.text import slices, text_bytes
 
 SPACE = "▁"
 #: words of a generation, and piece pairs, that a worker remembers from task to task, in entries
@@ -259,22 +259,15 @@ def encoder(tables: dict) -> Callable[[str], bytes]:
     return encode
 
 
-def encode_decode(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
-) -> DataFrame:
-    """One row per document: id, number of ids with the begin and end ids, the ids, and the text they decode to.
-
-    With `digests` the last two are lower-case hex SHA-256 strings, so that ids and texts need not leave the task.
-    """
-    with open(model_path, "rb") as f:
-        tables = docs.sparkSession.sparkContext.broadcast(read_model(f.read()))
+def _encoding(held, digests: bool):
+    """(id, count, ids, decoded text) of the rows of (id, text); a part of a batch at a time."""
 
     def run(batches):
-        held = tables.value
-        sp = sentencepiece.SentencePieceProcessor(model_proto=held["model"])
-        encode = held.get("encode") or held.setdefault("encode", encoder(held))
-        begin, end = (np.array(x, dtype="<u4").tobytes() for x in held["ends"])
-        for batch in batches:
+        tables = held.value
+        sp = sentencepiece.SentencePieceProcessor(model_proto=tables["model"])
+        encode = tables.get("encode") or tables.setdefault("encode", encoder(tables))
+        begin, end = (np.array(x, dtype="<u4").tobytes() for x in tables["ends"])
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             counts, encoded, texts = [], [], []
             for text in batch.column(1):
                 ids = begin + encode(sp.normalize(text.as_buffer().to_pybytes().decode("utf-8", "replace"))) + end
@@ -287,5 +280,17 @@ def encode_decode(
                 ["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
             )
 
+    return run
+
+
+def encode_decode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+) -> DataFrame:
+    """One row per document: id, number of ids with the begin and end ids, the ids, and the text they decode to.
+
+    With `digests` the last two are lower-case hex SHA-256 strings, so that ids and texts need not leave the task.
+    """
+    with open(model_path, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(read_model(f.read()))
     kind = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else SCHEMA
-    return docs.select(F.col(id_col).cast("bigint"), text_bytes(text_col)).mapInArrow(run, kind)
+    return docs.select(F.col(id_col).cast("bigint"), text_bytes(text_col)).mapInArrow(_encoding(held, digests), kind)

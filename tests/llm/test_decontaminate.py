@@ -1,9 +1,13 @@
 import hashlib
+import pickle
 import re
+from types import SimpleNamespace
 
 import messy
+import pyarrow as pa
 import pytest
 from leadgrid.llm import decontaminate
+from leadgrid.llm import text as llm_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -100,3 +104,17 @@ def test_empty_tables(spark):
     none = decontaminate.report(messy.frame(spark, texts()), bench.limit(0)).collect()
     assert len(none) == len(texts()) and not any(r.contaminated for r in none)
     assert decontaminate.clean(messy.frame(spark, texts()), bench.limit(0)).count() == len(texts())
+
+
+def test_a_batch_is_cleaned_in_parts(monkeypatch):
+    """New texts of a whole batch are never held: many parts come out, with the rows of one."""
+    leak = messy.prose(99, 12)
+    texts = [f"{messy.prose(n, 30)} {leak if n % 3 else ''} {messy.prose(n + 50, 9)}" for n in range(20)] + [None, "", leak]
+    held = SimpleNamespace(value=pickle.dumps(decontaminate.automaton([("x", leak.encode().split())], 10)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    whole = list(decontaminate._cleaner(held, 0.8, 1, None)(iter([batch])))
+    assert len(whole) == 1 and whole[0].num_rows == len(texts) - 1
+    monkeypatch.setattr(llm_text, "PART_BYTES", 500)
+    parts = list(decontaminate._cleaner(held, 0.8, 1, None)(iter([batch])))
+    assert len(parts) > 10
+    assert [row for part in parts for row in part.to_pylist()] == whole[0].to_pylist()

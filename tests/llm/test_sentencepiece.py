@@ -1,11 +1,14 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import messy
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from leadgrid.llm import sentencepiece_bpe
+from leadgrid.llm import text as llm_text
 from leadgrid.llm.queries import PIECE_MODEL, TOKENIZERS
 
 PATH = f"{TOKENIZERS}/{PIECE_MODEL}"
@@ -76,3 +79,29 @@ def test_documents(spark, model):
 
 def test_empty(spark):
     assert sentencepiece_bpe.encode_decode(messy.empty(spark), PATH).collect() == []
+
+
+@pytest.mark.parametrize("digests", [False, True])
+def test_a_batch_is_worked_on_in_parts(model, monkeypatch, digests):
+    """Neither ids nor texts of a whole batch are held: a part comes out before the next is encoded."""
+    sp, tables = model
+    texts = [messy.prose(n, 40) for n in range(30)] + ["", "a" * 5000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    seen = []
+    monkeypatch.setattr(llm_text, "PART_BYTES", 1000)
+    monkeypatch.setattr(sentencepiece_bpe, "encoder", lambda tables, real=sentencepiece_bpe.encoder: lambda t, one=real(tables): seen.append(t) or one(t))
+    out = sentencepiece_bpe._encoding(SimpleNamespace(value=dict(tables)), digests)(iter([batch]))
+    got = [next(out)]
+    assert 0 < len(seen) < 10
+    got += out
+    assert all(sum(len(texts[i]) for i in part.column(0).to_pylist()) <= 1000 or part.num_rows == 1 for part in got)
+    rows = [row for part in got for row in part.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for row, t in zip(rows, texts, strict=True):
+        ids = [sp.bos_id(), *sp.encode(t), sp.eos_id()]
+        raw = np.array(ids, dtype="<u4").tobytes()
+        assert row["n_tokens"] == len(ids)
+        if digests:
+            assert row["ids_sha256"] == hashlib.sha256(raw).hexdigest() and row["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+        else:
+            assert row["ids"] == raw and row["decoded"] == sp.decode(ids)
