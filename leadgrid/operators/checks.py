@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import partial, reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,18 +198,31 @@ class Watch:
     write, so that checks cost no evaluation of their own.
 
     Use ``df`` in the place of the frame; ``results`` waits for the action. A
-    task that runs again may count a violation twice, but none is missed.
+    task that runs again may count a violation twice, but none is missed: where
+    no row comes out further on, adaptive execution may put an empty relation
+    in the place of the plan, counts included, and the frame is then counted by
+    itself.
     """
 
     def __init__(self, df: DataFrame, rules: Mapping[str, Column], aggregates: Mapping[str, Column] | None = None):
         counts = {name: F.count_if(rule) for name, rule in rules.items()} | dict(aggregates or {})
         self.names = list(counts)
-        self._seen = Observation()
-        self.df = df.observe(self._seen, *[count.alias(f"_{i}") for i, count in enumerate(counts.values())])
+        self._seen, self._found = Observation(), None
+        totals = [count.alias(f"_{i}") for i, count in enumerate(counts.values())]
+        self._totals = df.agg(*totals)
+        self.df = df.observe(self._seen, *totals)
+
+    def _observed(self) -> dict:
+        """What the action counted; empty if its plan ended without the counts."""
+        try:
+            return self._seen.get
+        except Py4JJavaError:
+            return {}
 
     def counts(self) -> list[tuple[str, int]]:
-        seen = self._seen.get
-        return [(name, seen[f"_{i}"] or 0) for i, name in enumerate(self.names)]
+        if self._found is None:
+            self._found = self._observed() or self._totals.first().asDict()
+        return [(name, self._found[f"_{i}"] or 0) for i, name in enumerate(self.names)]
 
     def results(self, spark: SparkSession) -> DataFrame:
         """(check, n_violations)."""

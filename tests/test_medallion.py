@@ -10,7 +10,7 @@ from leadgrid.operators import checks, reshape, staging, tiling
 from leadgrid.plans import medallion, walk_forward
 from leadgrid.plans.mart import build_mart_by_joins, read_past
 from leadgrid.sources import bronze
-from leadgrid.sources.storage import as_view, load, scratch_path
+from leadgrid.sources.storage import as_table, as_view, load, scratch_path
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -122,3 +122,24 @@ def test_observed_copies_are_counted_by_key(spark):
     assert dict(watch.counts()) == {"null": 2, "copies": 3}
     with pytest.raises(ValueError, match="null: 2; copies: 3"):
         checks.enforce_watched(watch)
+
+
+def test_a_partitioned_table_that_was_judged_holds_its_rows(spark):
+    values = [("2020-01-01", "a"), ("2020-01-01", "b/c=d %41"), ("2020-02-01", "it's \\ so"), (None, None)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values * 2)], "id int, m string, k string")
+    rows = rows.withColumn("m", F.col("m").cast("date"))
+    for _ in range(2):  # a rebuild takes the place of the table
+        table = as_table(rows, "judged", "gold_judged", partition_by=["m", "k"], judge=lambda: None)
+        assert sorted(table.select(*rows.columns).collect()) == sorted(rows.collect())
+    assert load(spark, "judged", "gold_judged").where("m = date'2020-02-01'").count() == 2
+
+
+def test_counts_of_a_plan_that_turns_out_empty_are_not_lost(spark):
+    """All rows go before the last shuffle, so adaptive execution drops what was counted behind it."""
+    rows = spark.range(100).withColumn("odd", F.pmod(F.xxhash64("id"), F.lit(2)) == 1)
+    watch = checks.Watch(rows, {"id from 90": F.col("id") >= 90}, {"rows": F.count(F.lit(1))})
+    none = watch.df.where(F.xxhash64("id") == 1).repartition(3, "odd").groupBy("odd").count()
+    none.write.parquet(scratch_path(spark, "test-none"))
+    assert dict(watch.counts()) == {"id from 90": 10, "rows": 100}
+    with pytest.raises(ValueError, match="id from 90: 10"):
+        checks.enforce_watched(watch)
