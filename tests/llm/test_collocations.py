@@ -1,7 +1,10 @@
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import messy
+import numpy as np
+import pyarrow as pa
 import pytest
 from leadgrid.llm import collocations
 
@@ -111,3 +114,52 @@ def test_cut_ties_go_to_the_first(spark):
 def test_empty(spark):
     assert mined(spark, [(None, "en"), ("one word. only", "en")]) == []
     assert collocations.phrases(messy.empty(spark)).collect() == []
+
+
+class Here:
+    """A stored relation whose tasks run in this process."""
+
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+
+    def __init__(self, relation):
+        self.relation = relation
+
+    def select(self, *columns):
+        return Here(self.relation.select(*columns))
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.relation.toArrow().to_batches())))
+
+
+def test_only_phrases_that_may_be_frequent_are_spelled_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(["a b c", *(f"x{i} y{i} z" for i in range(500))]), "en")], "text string, lang string")
+    relation = collocations.occurrences(docs)
+    words = spark.createDataFrame([("en", w) for w in ["a", "b", "z", *(f"{c}{i}" for c in "xy" for i in range(500))]], "lang string, item string")
+    pairs = spark.createDataFrame([("en", "a b"), ("en", "x7 y7")], "lang string, item string")
+    spelled, join = [], collocations.pc.binary_join_element_wise
+    monkeypatch.setattr(collocations.pc, "binary_join_element_wise", lambda *a: spelled.extend(join(*a).to_pylist()) or join(*a))
+    rows = collocations.longer(Here(relation), collocations._filter(words), collocations._filter(pairs))
+    # the filter may let some more through; 1,500 pairs stand side by side
+    assert {"a b", "x7 y7"} <= set(spelled) and len(spelled) < 100
+    assert sum(len(r.column("items")[0].as_py().split("\n")) for r in rows) == len(spelled)
+
+
+@pytest.mark.parametrize("lang", ["en", "", "日本"])
+def test_filters_are_asked_for_the_hashes_they_hold(spark, lang):
+    pick = random.Random(5)
+    for k in (1, 2, 4):
+        items = sorted({" ".join(pick.choice(["a", "b", "Ünï", "日本", "\x1c", "\u00a0é"]) for _ in range(k)) for _ in range(50)})
+        df = spark.createDataFrame([(lang, i) for i in items], "lang string, item string")
+        told = dict(tuple(r) for r in df.select("item", collocations._hash()).collect())
+        whole, last = collocations._hashes(lang, pa.array(items))
+        assert whole.view(np.int64).tolist() == [told[i] for i in items]
+        assert last.tolist() == collocations._hashes(lang, pa.array([i.split(" ")[-1] for i in items]))[0].tolist()
+
+
+def test_codes_are_the_words_of_pieces():
+    texts = [t for _, t in messy.texts() if t and len(t) < 5000] + ["\tTab\t\ttab. .;\x0b  a\u00a0b\x00C ", "...", " "]
+    items, codes = collocations._coded([t.encode() for t in texts])
+    found = " ".join(["."] + [items[int(c) - 1].as_py() if c else "." for c in codes]).split(" ")
+    wanted = [word for t in texts for piece in plain_pieces(t) for word in [*piece, "."]]
+    squeezed = [w for w, before in zip(found[1:], found) if w != "." or before != "."]
+    assert squeezed == wanted
